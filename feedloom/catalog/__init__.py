@@ -6,7 +6,7 @@ import importlib
 
 from feedloom.catalog.base import CHECKS, QUERIES
 
-_MODULES = ("reports", "report_views")
+_MODULES = ("reports", "report_views", "compare", "usage", "evaluate")
 
 
 def _load() -> None:

@@ -58,3 +58,38 @@ def strip_bullets(text: Column) -> Column:
     t = F.regexp_replace(t, rf"[ \t]+[{_B}][ \t]+", "; ")
     t = F.regexp_replace(t, rf":{WS}*;{WS}*", ": ")
     return F.regexp_replace(t, rf"(;{WS}*)+", "; ")
+
+
+def term_sort_key(term: Column) -> Column:
+    """(unknown, year, season) of a term such as 'Fall 2025', '25-Fall' or 'F25'; unknown terms sort last."""
+    t = F.lower(F.coalesce(term, F.lit("")))
+    season = F.lit(None).cast("int")
+    for rank, words in ((4, ("fall", "autumn")), (3, ("summer",)), (2, ("spring",)), (1, ("winter",))):
+        for w in words:
+            season = F.when(t.contains(w), F.lit(rank)).otherwise(season)
+    full = F.regexp_extract(t, r"(20\d{2})", 1)
+    short = F.regexp_extract(t, r"(^|[^\d])(\d{2})([^\d]|$)", 2)
+    year = F.when(full != "", full.cast("int")).when(short != "", short.cast("int") + 2000)
+    letter = F.regexp_extract(t, rf"(^|[^a-z])([wsuf]){WS}*-?{WS}*\d{{2}}", 2)
+    by_letter = F.when(letter == "w", 1).when(letter == "s", 2).when(letter == "u", 3).when(letter == "f", 4)
+    return F.struct(
+        F.when(year.isNull(), 1).otherwise(0).alias("unknown"),
+        F.coalesce(year, F.lit(0)).alias("year"),
+        F.when(year.isNull(), 0).otherwise(F.coalesce(season, by_letter, F.lit(0))).alias("season"),
+    )
+
+
+def norm_question(text: Column) -> Column:
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"{WS}+", " ")
+    return F.trim(F.regexp_replace(spaced, "[^a-z0-9 ]", ""))
+
+
+def sentiment_from_score(score: Column) -> Column:
+    return F.when(score <= 2, "negative").when(score >= 4, "positive").otherwise("neutral")
+
+
+def credit_year_start(as_of: Column, month_day: str = dims.CREDIT_YEAR_START) -> Column:
+    """Start date of the credit year that contains ``as_of``."""
+    month, day = (int(p) for p in month_day.split("-"))
+    this_year = F.make_date(F.year(as_of), F.lit(month), F.lit(day))
+    return F.when(this_year <= as_of, this_year).otherwise(F.make_date(F.year(as_of) - 1, F.lit(month), F.lit(day)))
