@@ -129,13 +129,16 @@ NOISE_PATTERNS = [
     r"\b\d+\s+\d+(\.\d+)?%$",
     r"^\d+\s*-\s*[a-z].*,\s*\d+\s*-",
     r"^(mean|median|mode|standard deviation|std\.? dev\.?|variance|count)\b[\s:]*[\d.]+$",
-    r"\d+(\.\d+)?%(\s+[\d.]+){2,}$",
+    r"\d%\s[\s\d.]*[\d.]\s[\s\d.]*[\d.]$",
     r"^response table\b",
     r"^(more|less) than \d+$",
     r"^(for )?additional information\.?$",
-    r"^(high|low|excellent|very good|good|fair|poor|outstanding|satisfactory|unsatisfactory|needs improvement|"
-    r"too much|too little|about right|neutral|strongly agree|agree|disagree|strongly disagree|n/a|na|dna|m|sd|n|\s|/)+$",
 ]
+# A text made only of these words, blanks and slashes is a printed scale, not an answer.
+NOISE_SCALE_WORDS = (
+    "high|low|excellent|very good|good|fair|poor|outstanding|satisfactory|unsatisfactory|needs improvement|too much|"
+    "too little|about right|neutral|strongly agree|agree|disagree|strongly disagree|n/a|na|dna|m|sd|n"
+)
 NO_ANSWER = [
     "n/a", "na", "none", "nope", "no", "nothing", "no comment", "no comments", "nothing else", "not applicable",
     "nothing to add", "no thanks", "nah", "", "-", "idk", "no response",
@@ -221,6 +224,31 @@ def ascii_folding() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), several
 
 
+@lru_cache(maxsize=1)
+def compatibility_map() -> tuple[str, str, dict[str, str], dict[str, str]]:
+    """Rule-built compatibility composition (NFKC).
+
+    Returns a one-to-one ``translate``, a map for characters that become several, and a map from a base letter with
+    its combining marks to the composed letter.
+    """
+    source, target, several, composed = [], [], {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code <= 0xDFFF:
+            continue
+        char = chr(code)
+        form = unicodedata.normalize("NFKC", char)
+        if form != char:
+            if len(form) == 1:
+                source.append(char)
+                target.append(form)
+            else:
+                several[char] = form
+        parts = unicodedata.normalize("NFD", char)
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == char and not 0xAC00 <= code <= 0xD7A3:
+            composed[parts] = char
+    return "".join(source), "".join(target), several, composed
+
+
 def local_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A constant table as SQL VALUES: a local relation with a known size that Catalyst can fold and broadcast."""
 

@@ -5,7 +5,10 @@ Patterns that the checks share are module constants in a spelling Java and RE2 r
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom import dims
@@ -23,6 +26,21 @@ def norm_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{WS}+", " "))
 
 
+def _char_map(mapping: dict[str, str]) -> Column:
+    """A constant map from one literal; building it entry by entry would bloat the plan."""
+    return F.from_json(F.lit(json.dumps(mapping)), "map<string,string>")
+
+
+def _expand(text: Column, mapping: dict[str, str]) -> Column:
+    """Replace single characters by several; ASCII characters skip the lookup."""
+    table = _char_map(mapping)
+    each = F.transform(
+        F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)),
+        lambda c: F.when(c > "\x7f", F.coalesce(F.try_element_at(table, c), c)).otherwise(c),
+    )
+    return F.when(text.rlike("[" + "".join(sorted(mapping)) + "]"), F.array_join(each, "")).otherwise(text)
+
+
 def nfkd_ascii(text: Column) -> Column:
     """Compatibility-decompose and keep the ASCII characters.
 
@@ -30,17 +48,23 @@ def nfkd_ascii(text: Column) -> Column:
     fold to several (ligatures, fractions) are expanded first. Pure ASCII text skips both.
     """
     source, target, several = dims.ascii_folding()
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    chars = "[" + "".join(sorted(several)) + "]"
-    expanded = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
-    )
-    folded = F.regexp_replace(
-        F.translate(F.when(text.rlike(chars), expanded).otherwise(text), source, target), r"[^\x00-\x7F]", ""
-    )
+    folded = F.regexp_replace(F.translate(_expand(text, several), source, target), r"[^\x00-\x7F]", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility-compose: one-to-one and one-to-several characters, then letters followed by combining marks."""
+    source, target, several, composed = dims.compatibility_map()
+    one = F.translate(_expand(text, several), source, target)
+    marks = _char_map(composed)
+    clusters = F.transform(
+        F.regexp_extract_all(one, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0)),
+        lambda c: F.when(F.length(c) > 1, F.coalesce(F.try_element_at(marks, c), c)).otherwise(c),
+    )
+    full = F.when(one.rlike(r"\p{M}"), F.array_join(clusters, "")).otherwise(one)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), full).otherwise(text)
+
+
 def canonical_key(text: Column) -> Column:
     """ASCII-folded, lower-case, runs of letters and digits joined by a blank."""
     return F.trim(F.regexp_replace(F.lower(nfkd_ascii(text)), "[^a-z0-9]+", " "))
@@ -93,3 +117,258 @@ def credit_year_start(as_of: Column, month_day: str = dims.CREDIT_YEAR_START) ->
     month, day = (int(p) for p in month_day.split("-"))
     this_year = F.make_date(F.year(as_of), F.lit(month), F.lit(day))
     return F.when(this_year <= as_of, this_year).otherwise(F.make_date(F.year(as_of) - 1, F.lit(month), F.lit(day)))
+
+
+def clean_text(text: Column) -> Column:
+    """Normalize, drop NUL, strip bullets, restore apostrophes, rejoin words cut at a line end, collapse blanks."""
+    t = F.replace(nfkc(text), F.lit("\x00"), F.lit(""))
+    t = F.replace(strip_bullets(t), F.lit("\ufffd"), F.lit("'"))
+    return norm_whitespace(F.regexp_replace(t, "([a-z])- ([a-z])", "$1$2"))
+
+
+def prepare_text(text: Column) -> Column:
+    """The form in which answers are compared and stored: bullets stripped, blanks collapsed."""
+    return norm_whitespace(F.replace(strip_bullets(text), F.lit("\ufffd"), F.lit("'")))
+
+
+def norm_typography(text: Column) -> Column:
+    return norm_whitespace(F.lower(F.translate(text, dims.TYPOGRAPHY_FROM, dims.TYPOGRAPHY_TO)))
+
+
+def truncate_text(text: Column, limit: int = 420) -> Column:
+    t = norm_whitespace(text)
+    cut = F.concat(F.regexp_replace(F.substring(t, 1, limit - 3), f"{WS}+$", ""), F.lit("..."))
+    return F.when(F.length(t) <= limit, t).otherwise(cut)
+
+
+def question_header(header: Column) -> Column:
+    """Drop the export's ``Qn_`` prefix and repeated parts; parts are joined by a long dash."""
+    h = F.regexp_replace(clean_text(header), r"^Q\d+_", "")
+    parts = F.array_distinct(F.filter(F.transform(F.split(h, "_"), strip_space), lambda p: p != ""))
+    return F.when(F.size(parts) > 0, F.array_join(parts, " \u2014 ")).otherwise(h)
+
+
+def course_term_parts(course_id: Column) -> Column:
+    """(course, term) of ids such as ``CHEM_14A_Fall2025``."""
+    p = F.split(course_id, "_")
+    full = F.size(p) >= 3
+    return F.struct(
+        F.when(full, F.concat_ws(" ", F.try_element_at(p, F.lit(1)), F.try_element_at(p, F.lit(2)))).otherwise(course_id).alias("course"),
+        F.when(full, F.try_element_at(p, F.lit(3))).otherwise("Imported").alias("term"),
+    )
+
+
+def file_stem(name: Column) -> Column:
+    """File name without directory and last suffix: the course id of an uploaded file."""
+    return F.regexp_replace(F.regexp_replace(name, r"^.*[/\\]", ""), r"(?<=.)\.[^.]*$", "")
+
+
+def topic_summary(topic: Column, summary: Column) -> Column:
+    """``Summary of X: text`` with the text after the last marker, on one line, without a closing note."""
+    t = strip_space(F.replace(F.replace(summary, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
+    marker = F.concat(F.lit(rf"(?i)Summary{WS}+of{WS}+\Q"), topic, F.lit(rf"\E{WS}*:"))
+    t = strip_space(F.element_at(F.split(t, marker), -1))
+    t = F.regexp_replace(t, r"[ \t]+", " ")
+    t = strip_space(F.regexp_replace(t, rf"{WS}*\n{WS}*", " "))
+    t = strip_space(F.regexp_replace(t, rf"(?i)\bNote:{WS}*.*$", ""))
+    head = F.concat(F.lit("Summary of "), topic, F.lit(":"))
+    return F.when(t != "", F.concat_ws(" ", head, t)).otherwise(head)
+
+
+def theme_text(summary: Column, topic: Column) -> Column:
+    """The written themes of a stored summary: count sentence, label and the Other sentence removed."""
+    t = F.regexp_replace(F.coalesce(summary, F.lit("")), rf"(?i)^Summary of .*?(positive|neutral|negative)\.{WS}*", "")
+    t = F.regexp_replace(t, F.concat(F.lit(r"(?i)^Summary of \Q"), topic, F.lit(rf"\E:{WS}*")), F.lit(""))
+    t = F.regexp_replace(t, rf"(?i)^\d+ generic or uncategorized comments?; excluded from rubric averages\.{WS}*", "")
+    return strip_space(t)
+
+
+def score_band(score: Column, cuts: tuple[tuple[float, str], ...] = ((2.5, "low"), (3.75, "mid")), top: str = "high") -> Column:
+    band = F.when(score.isNull(), "none")
+    for limit, name in cuts:
+        band = band.when(score < limit, name)
+    return band.otherwise(top)
+
+
+CLASSIC_BANDS = ((1.5, "red"), (3.0, "orange"), (4.0, "amber"))
+
+EMPTY_VALUES = ["", "null", "none", "n/a", "na"]
+
+
+def parse_score(value: Column) -> Column:
+    """Text to a whole score 1 to 5: the first standalone digit 1-5, or null."""
+    t = F.lower(strip_space(value))
+    digit = F.regexp_extract(t, r"\b[1-5]\b", 0)
+    return F.when(~t.isin(EMPTY_VALUES) & (digit != ""), digit.cast("int"))
+
+
+def parse_score_number(value: Column) -> Column:
+    """A number (not text) to a whole score: decimals cut off, clamped to 1-5."""
+    return F.least(F.greatest(value.cast("double").cast("int"), F.lit(1)), F.lit(5))
+
+
+def parse_confidence(value: Column) -> Column:
+    """Text to 0-1: a percentage, else the first number; numbers above 1 are percentages; missing is 0."""
+    t = F.lower(strip_space(F.coalesce(value, F.lit(""))))
+    percent = F.regexp_extract(t, rf"(\d+(?:\.\d+)?){WS}*%", 1)
+    number = F.regexp_extract(t, r"\d+(?:\.\d+)?", 0)
+    x = number.try_cast("double")
+    unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    return (
+        F.when(t.isin(EMPTY_VALUES), 0.0)
+        .when(percent != "", unit(percent.try_cast("double") / 100))
+        .when(number != "", unit(F.when(x > 1, x / 100).otherwise(x)))
+        .otherwise(0.0)
+    )
+
+
+def parse_confidence_number(value: Column) -> Column:
+    x = value.cast("double")
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.when(x > 1, x / 100).otherwise(x), F.lit(0.0))))
+
+
+def truthy_label(value: Column) -> Column:
+    return ~F.lower(strip_space(F.coalesce(value, F.lit("")))).isin("", "0", "false", "n", "nan", "no", "none")
+
+
+def clamp_score_default(value: Column, default: int = 3) -> Column:
+    """Whole number clamped to 1-5; anything else is the default."""
+    t = strip_space(value)
+    n = F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("decimal(38,0)"))
+    return F.coalesce(F.least(F.greatest(n, F.lit(1)), F.lit(5)).cast("int"), F.lit(default))
+
+
+def integer_score_only(value: Column) -> Column:
+    """Only whole numbers count as scores; the empty string of a written report is null."""
+    x = F.nullif(strip_space(value), F.lit("")).try_cast("double")
+    return F.when(x == F.floor(x), x.cast("int"))
+
+
+def round_half_even(score: Column) -> Column:
+    from feedloom.functions.numbers import round2
+
+    return round2(score)
+
+
+def is_no_answer(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "^[ !.]+|[ !.]+$", "").isin(dims.NO_ANSWER)
+
+
+PHRASE_PATTERN = "|".join(re.escape(p).replace("\\ ", " ") for p in dims.NOISE_PHRASES)
+NOISE_PATTERN = "|".join(f"(?:{p})" for p in dims.NOISE_PATTERNS)
+
+
+def is_noise(text: Column) -> Column:
+    """Headers, scale legends, page numbers and rating rows. One alternation per rule family, all in the JVM."""
+    t = F.lower(strip_space(text))
+    left_over = F.regexp_replace(t, f"{dims.NOISE_SCALE_WORDS}|{WS}|/", "")
+    return (
+        (t == "")
+        | (t == "nan")
+        | squish(t).isin(dims.NOISE_WORDS)
+        | t.rlike(PHRASE_PATTERN)
+        | t.rlike(NOISE_PATTERN)
+        | (left_over == "")
+    )
+
+
+PROMPT_START = rf"(?i)^(\d+\.\s+)?please ({dims.PROMPT_VERBS})\b"
+QUESTION_START = rf"(?i)^(\d+\.\s+|q\d+[_.:]?\s*)?({dims.PROMPT_WORDS})\b"
+LIMIT_NOTE = r"(?i)\s*\((maximum|max\.?)[^)]*\)$"
+PROMPT_END = r"(:|: -|:-|\?| -)$"
+NUMBERED = r"^\d+\.\s+\S"
+
+
+def is_question(text: Column) -> Column:
+    """Survey prompts: a request of some length, or a question opening that ends like a prompt."""
+    s = F.regexp_replace(strip_space(text), LIMIT_NOTE, "")
+    opens = s.rlike(QUESTION_START)
+    ends = s.rlike(PROMPT_END)
+    numbered = s.rlike(NUMBERED) & opens & (ends | s.endswith(".") | s.contains("?"))
+    return (F.length(s) <= 400) & (
+        (s.rlike(PROMPT_START) & (F.length(s) > 40)) | numbered | (ends & (opens | s.endswith(": -")))
+    )
+
+
+def is_numbered_item(text: Column) -> Column:
+    return strip_space(text).rlike(NUMBERED) & ~is_question(text)
+
+
+def ends_sentence(text: Column) -> Column:
+    return strip_space(text).rlike("[.!?)\"\u201d']$")
+
+
+def scale_key(label: Column) -> Column:
+    return F.trim(F.replace(F.regexp_replace(F.lower(label), f"[{dims.SPACE_CLASS}\\-]+", " "), F.lit("improve ment"), F.lit("improvement")))
+
+
+def scale_value(label: Column) -> Column:
+    """Scale label to 1-5, or null: a lookup in a fixed table of 14 words."""
+    words = F.create_map(*[F.lit(x) for pair in dims.SCALE_WORDS.items() for x in pair])
+    return F.try_element_at(words, scale_key(label))
+
+
+def is_rating_section(text: Column) -> Column:
+    return text.rlike(f"(?i){dims.RATING_SECTION}")
+
+
+def starts_lower(text: Column) -> Column:
+    return F.substring(text, 1, 1).rlike(r"^\p{Ll}")
+
+
+def word_count(text: Column) -> Column:
+    """Number of words between white space."""
+    return F.size(F.filter(F.split(text, f"{WS}+"), lambda w: w != ""))
+
+
+def extract_json_object(text: Column) -> Column:
+    """From the first ``{`` to the last ``}``, if that parses as JSON; else null."""
+    body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when((body != "") & F.try_parse_json(body).isNotNull(), body)
+
+
+def request_key(*parts: Column) -> Column:
+    """SHA-256 over the JSON of all request parts."""
+    named = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])
+    return F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256)
+
+
+def english_ratio(rows: DataFrame, dictionary: DataFrame, id_col: str, text: str = "text") -> DataFrame:
+    """Add ``english_ratio``: the share of words of 3 and more letters that the dictionary (column ``word``) has.
+
+    Texts that are mostly symbols score 0. The join is an ordinary hash join, which Spark broadcasts only when the
+    dictionary's size allows; otherwise AQE splits the partitions of common words. Hits are counted map-side per text.
+    """
+    visible = F.regexp_replace(F.col(text), f"{WS}+", "")
+    letters = F.length(F.regexp_replace(visible, r"[^\p{L}]+", ""))
+    words = F.transform(
+        F.filter(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w) >= 3), F.lower
+    )
+    exploded = rows.select(id_col, F.explode(words).alias("word"))
+    known = dictionary.select("word").distinct().withColumn("_known", F.lit(True))
+    share = (
+        exploded.join(known, "word", "left")
+        .groupBy(id_col)
+        .agg((F.count("_known") / F.count("*")).alias("_share"))
+    )
+    symbols = (F.length(visible) > 0) & (letters / F.length(visible) < 0.6)
+    return (
+        rows.join(share, id_col, "left")
+        .withColumn(
+            "english_ratio",
+            F.when(symbols, 0.0)
+            .when(F.col("_share").isNull(), F.when(F.length(visible) <= 3, 1.0).otherwise(0.0))
+            .otherwise(F.col("_share")),
+        )
+        .drop("_share")
+    )
+
+
+def is_garbage(ratio: Column) -> Column:
+    return ratio < 0.6
+
+
+def short_topic(rows: DataFrame, names: DataFrame, topic: str = "topic") -> DataFrame:
+    """Display name of a topic (the name itself when there is none); ``names`` is the 13-row topic dimension."""
+    lookup = F.broadcast(names.select(F.col("topic").alias("_t"), F.col("short_name").alias("_s")))
+    return rows.join(lookup, F.col(topic) == F.col("_t"), "left").withColumn("short_topic", F.coalesce("_s", topic)).drop("_t", "_s")
