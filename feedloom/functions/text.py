@@ -38,7 +38,8 @@ def _expand(text: Column, mapping: dict[str, str]) -> Column:
         F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)),
         lambda c: F.when(c > "\x7f", F.coalesce(F.try_element_at(table, c), c)).otherwise(c),
     )
-    return F.when(text.rlike("[" + "".join(sorted(mapping)) + "]"), F.array_join(each, "")).otherwise(text)
+    found = F.translate(text, "".join(sorted(mapping)), "") != text  # hash lookups; a large regex class would be slow
+    return F.when(found, F.array_join(each, "")).otherwise(text)
 
 
 def nfkd_ascii(text: Column) -> Column:
