@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 
 from feedloom import dims
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also in filters and branches, where Catalyst does not share
+    common subexpressions. Without it a chain of text functions would repeat its input many times over."""
+    return F.transform(F.array(value), body)[0]
+
+
 WS = f"[{dims.SPACE_CLASS}]"
 _B = dims.BULLETS
 
@@ -49,21 +55,31 @@ def nfkd_ascii(text: Column) -> Column:
     fold to several (ligatures, fractions) are expanded first. Pure ASCII text skips both.
     """
     source, target, several = dims.ascii_folding()
-    folded = F.regexp_replace(F.translate(_expand(text, several), source, target), r"[^\x00-\x7F]", "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
+
+    def folded(t: Column) -> Column:
+        ascii_only = F.regexp_replace(F.translate(_expand(t, several), source, target), r"[^\x00-\x7F]", "")
+        return F.when(t.rlike(r"[^\x00-\x7F]"), ascii_only).otherwise(t)
+
+    return let(text, folded)
 
 
 def nfkc(text: Column) -> Column:
     """Compatibility-compose: one-to-one and one-to-several characters, then letters followed by combining marks."""
     source, target, several, composed = dims.compatibility_map()
-    one = F.translate(_expand(text, several), source, target)
     marks = _char_map(composed)
-    clusters = F.transform(
-        F.regexp_extract_all(one, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0)),
-        lambda c: F.when(F.length(c) > 1, F.coalesce(F.try_element_at(marks, c), c)).otherwise(c),
-    )
-    full = F.when(one.rlike(r"\p{M}"), F.array_join(clusters, "")).otherwise(one)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), full).otherwise(text)
+
+    def with_marks(one: Column) -> Column:
+        clusters = F.transform(
+            F.regexp_extract_all(one, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0)),
+            lambda c: F.when(F.length(c) > 1, F.coalesce(F.try_element_at(marks, c), c)).otherwise(c),
+        )
+        return F.when(one.rlike(r"\p{M}"), F.array_join(clusters, "")).otherwise(one)
+
+    def composed_text(t: Column) -> Column:
+        full = let(F.translate(_expand(t, several), source, target), with_marks)
+        return F.when(t.rlike(r"[^\x00-\x7F]"), full).otherwise(t)
+
+    return let(text, composed_text)
 
 
 def canonical_key(text: Column) -> Column:
@@ -137,16 +153,22 @@ def norm_typography(text: Column) -> Column:
 
 
 def truncate_text(text: Column, limit: int = 420) -> Column:
-    t = norm_whitespace(text)
-    cut = F.concat(F.regexp_replace(F.substring(t, 1, limit - 3), f"{WS}+$", ""), F.lit("..."))
-    return F.when(F.length(t) <= limit, t).otherwise(cut)
+
+    def cut(t: Column) -> Column:
+        short = F.concat(F.regexp_replace(F.substring(t, 1, limit - 3), f"{WS}+$", ""), F.lit("..."))
+        return F.when(F.length(t) <= limit, t).otherwise(short)
+
+    return let(norm_whitespace(text), cut)
 
 
 def question_header(header: Column) -> Column:
     """Drop the export's ``Qn_`` prefix and repeated parts; parts are joined by a long dash."""
-    h = F.regexp_replace(clean_text(header), r"^Q\d+_", "")
-    parts = F.array_distinct(F.filter(F.transform(F.split(h, "_"), strip_space), lambda p: p != ""))
-    return F.when(F.size(parts) > 0, F.array_join(parts, " \u2014 ")).otherwise(h)
+
+    def parts_of(h: Column) -> Column:
+        parts = F.array_distinct(F.filter(F.transform(F.split(h, "_"), strip_space), lambda p: p != ""))
+        return F.when(F.size(parts) > 0, F.array_join(parts, " \u2014 ")).otherwise(h)
+
+    return let(F.regexp_replace(clean_text(header), r"^Q\d+_", ""), parts_of)
 
 
 def course_term_parts(course_id: Column) -> Column:
@@ -261,16 +283,19 @@ NOISE_PATTERN = "|".join(f"(?:{p})" for p in dims.NOISE_PATTERNS)
 
 def is_noise(text: Column) -> Column:
     """Headers, scale legends, page numbers and rating rows. One alternation per rule family, all in the JVM."""
-    t = F.lower(strip_space(text))
-    left_over = F.regexp_replace(t, f"{dims.NOISE_SCALE_WORDS}|{WS}|/", "")
-    return (
-        (t == "")
-        | (t == "nan")
-        | squish(t).isin(dims.NOISE_WORDS)
-        | t.rlike(PHRASE_PATTERN)
-        | t.rlike(NOISE_PATTERN)
-        | (left_over == "")
-    )
+
+    def noise(t: Column) -> Column:
+        left_over = F.regexp_replace(t, f"{dims.NOISE_SCALE_WORDS}|{WS}|/", "")
+        return (
+            (t == "")
+            | (t == "nan")
+            | squish(t).isin(dims.NOISE_WORDS)
+            | t.rlike(PHRASE_PATTERN)
+            | t.rlike(NOISE_PATTERN)
+            | (left_over == "")
+        )
+
+    return let(F.lower(strip_space(text)), noise)
 
 
 PROMPT_START = rf"(?i)^(\d+\.\s+)?please ({dims.PROMPT_VERBS})\b"
@@ -282,17 +307,20 @@ NUMBERED = r"^\d+\.\s+\S"
 
 def is_question(text: Column) -> Column:
     """Survey prompts: a request of some length, or a question opening that ends like a prompt."""
-    s = F.regexp_replace(strip_space(text), LIMIT_NOTE, "")
-    opens = s.rlike(QUESTION_START)
-    ends = s.rlike(PROMPT_END)
-    numbered = s.rlike(NUMBERED) & opens & (ends | s.endswith(".") | s.contains("?"))
-    return (F.length(s) <= 400) & (
-        (s.rlike(PROMPT_START) & (F.length(s) > 40)) | numbered | (ends & (opens | s.endswith(": -")))
-    )
+
+    def prompt(s: Column) -> Column:
+        opens = s.rlike(QUESTION_START)
+        ends = s.rlike(PROMPT_END)
+        numbered = s.rlike(NUMBERED) & opens & (ends | s.endswith(".") | s.contains("?"))
+        return (F.length(s) <= 400) & (
+            (s.rlike(PROMPT_START) & (F.length(s) > 40)) | numbered | (ends & (opens | s.endswith(": -")))
+        )
+
+    return let(F.regexp_replace(strip_space(text), LIMIT_NOTE, ""), prompt)
 
 
 def is_numbered_item(text: Column) -> Column:
-    return strip_space(text).rlike(NUMBERED) & ~is_question(text)
+    return let(text, lambda t: strip_space(t).rlike(NUMBERED) & ~is_question(t))
 
 
 def ends_sentence(text: Column) -> Column:

@@ -68,7 +68,9 @@ def detect_layout(shape: DataFrame, profile: DataFrame, file_id: Sequence[str])
 
 def keep_text(text: Column) -> Column:
     """Rule part of keeping an answer: not noise, not an empty answer, not a prompt, two words or more."""
-    return ~tx.is_noise(text) & ~tx.is_no_answer(text) & ~tx.is_question(text) & (tx.word_count(text) >= 2)
+    return tx.let(
+        text, lambda t: ~tx.is_noise(t) & ~tx.is_no_answer(t) & ~tx.is_question(t) & (tx.word_count(t) >= 2)
+    )
 
 
 def tidy_responses(cells: DataFrame, profile: DataFrame, dictionary: DataFrame, ids: Sequence[str], file_id: Sequence[str]) -> DataFrame:

@@ -9,21 +9,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom import dims
 from feedloom.functions import text as tx
 from feedloom.operators.extract import keep_text
-from feedloom.operators.ordered import block_of, carry_forward, first_rows, previous, running_sum
+from feedloom.operators.ordered import block_of, carry_forward, first_rows
+from feedloom.operators.stages import checkpointed
 
 
-def _stretches(lines: DataFrame, keys: Sequence[str], breaks: Column, extra: Sequence[str] = ()) -> DataFrame:
-    """Number the stretches between breaks and gather the lines of each (a stretch is one wrapped paragraph)."""
-    block = block_of(F.col("pos"))
-    marked = lines.withColumn("_start", breaks.cast("long"))
-    numbered = running_sum(marked, keys, ["pos"], F.col("_start"), block, "_stretch")
-    return numbered.groupBy(*keys, "_stretch").agg(F.sort_array(F.collect_list(F.struct("pos", *extra, "text"))).alias("_l"))
+def _stretches(lines: DataFrame, keys: Sequence[str], flags: dict[str, Column], breaks, extra: Sequence[str] = ()) -> DataFrame:
+    """Gather the lines between breaks (a stretch is one wrapped paragraph), in two shuffles and one reading.
+
+    ``flags`` are properties of a line; ``breaks(before, line)`` decides from the flags of two neighbours. Lines are
+    cut into blocks of positions and gathered inside each block. Only the first and the last stretch of a block may
+    go on across its border; these, two per block, meet in one window per document. All other stretches stay alone
+    in that window, so a document of any length is spread over many tasks.
+    """
+    l = lines.withColumn("_f", F.struct(*[v.alias(k) for k, v in flags.items()])).withColumn("_blk", block_of(F.col("pos")))
+    inside = Window.partitionBy(*keys, "_blk").orderBy("pos")
+    l = l.withColumn("_before", F.lag("_f").over(inside))
+    l = l.withColumn("_start", F.coalesce(breaks(F.col("_before"), F.col("_f")), F.lit(True)).cast("long"))
+    l = l.withColumn("_part", F.sum("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = l.groupBy(*keys, "_blk", "_part").agg(
+        F.sort_array(F.collect_list(F.struct("pos", *extra, "text"))).alias("_l"),
+        F.min_by("_f", "pos").alias("_first"),
+        F.max_by("_f", "pos").alias("_last"),
+    )
+    n = F.max("_part").over(Window.partitionBy(*keys, "_blk"))
+    seam = (F.col("_part") == 1) | (F.col("_part") == n)
+    # seam stretches share one window partition per document, the others have one each
+    parts = parts.withColumn("_seam", seam).withColumn(
+        "_w", F.when(F.col("_seam"), F.lit("")).otherwise(F.concat_ws(":", "_blk", "_part"))
+    )
+    across = Window.partitionBy(*keys, "_w").orderBy("_blk", "_part")
+    joinable = (F.col("_part") == 1) & ~F.coalesce(breaks(F.lag("_last").over(across), F.col("_first")), F.lit(True))
+    parts = parts.withColumn("_new", (~joinable).cast("long"))
+    parts = parts.withColumn("_run", F.sum("_new").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy(*keys, "_w", "_run").agg(F.flatten(F.array_sort(F.collect_list("_l"))).alias("_l"))
 
 
 def _fold(joins, extra: Sequence[str] = ()) -> Column:
@@ -55,16 +79,15 @@ def segment_lines(lines: DataFrame, keys: Sequence[str] = ("doc_id", "col")) ->
     joined text is tested as it grows.
     """
     t = F.col("text")
-    l = lines.withColumn("_lone", tx.is_noise(t) | tx.is_question(t)).withColumn("_end", tx.ends_sentence(t))
-    l = previous(l, keys, ["pos"], F.struct("_lone", "_end"), block_of(F.col("pos")), "_p")
-    breaks = (
-        F.col("_p").isNull()
-        | F.col("_lone")
-        | tx.is_rating_section(t)
-        | F.col("_p._lone")
-        | (F.col("_p._end") & ~tx.starts_lower(t))
+    flags = {
+        "lone": tx.is_noise(t) | tx.is_question(t),
+        "header": tx.is_rating_section(t),
+        "end": tx.ends_sentence(t),
+        "low": tx.starts_lower(t),
+    }
+    g = _stretches(
+        lines, keys, flags, lambda a, b: a.isNull() | b["lone"] | b["header"] | a["lone"] | (a["end"] & ~b["low"])
     )
-    g = _stretches(l, keys, breaks)
     blocks = _fold(lambda cur, x: ~tx.is_noise(cur["text"]) & ~tx.is_question(cur["text"]))
     return g.select(*keys, F.explode(blocks).alias("b")).select(*keys, "b.pos", "b.text")
 
@@ -77,9 +100,8 @@ def merge_paragraphs(lines: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Dat
     """Join a paragraph to the one before when it goes on in lower case after an unfinished sentence in the same
     column, or continues an unfinished numbered question."""
     t = F.col("text")
-    l = previous(lines.withColumn("_end", tx.ends_sentence(t)), keys, ["pos"], F.struct("_end"), block_of(F.col("pos")), "_p")
-    breaks = F.col("_p").isNull() | F.col("_p._end") | ~tx.starts_lower(t)
-    g = _stretches(l, keys, breaks, ["col"])
+    flags = {"end": tx.ends_sentence(t), "low": tx.starts_lower(t)}
+    g = _stretches(lines, keys, flags, lambda a, b: a.isNull() | a["end"] | ~b["low"], ["col"])
 
     def joins(cur, x):
         question = tx.is_question(cur["text"])
@@ -93,11 +115,16 @@ def merge_paragraphs(lines: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Dat
 def column_bucket(blocks: DataFrame, keep: Sequence[str], x: str = "x0", text: str = "text") -> DataFrame:
     """Text blocks to lines: leading label lines go to column 0, the rest is one line in column ``x / 60 + 1``."""
     cleaned = F.filter(F.transform(F.split(tx.strip_bullets(F.col(text)), "\n"), tx.clean_text), lambda l: l != "")
-    b = blocks.withColumn("_l", cleaned).filter(F.size("_l") > 0)
-    flags = F.transform("_l", lambda l: tx.is_noise(l) | tx.is_question(l) | (tx.squish(l) == "comments"))
-    first_other = F.array_position(flags, False)
-    peeled = F.least(F.when(first_other == 0, F.size("_l")).otherwise(first_other - 1), F.size("_l") - 1).cast("int")
-    b = b.withColumn("_k", peeled)
+
+    def peel(lines: Column) -> Column:
+        label = lambda l: tx.is_noise(l) | tx.is_question(l) | (tx.squish(l) == "comments")
+        at = F.array_position(F.transform(lines, label), False)
+        k = F.least(F.when(at == 0, F.size(lines)).otherwise(at - 1), F.size(lines) - 1).cast("int")
+        return F.struct(lines.alias("l"), k.alias("k"))
+
+    # explode of one element: a generator is a barrier, so the lines are computed once and not pushed into filters
+    b = blocks.select(*blocks.columns, F.explode(F.array(tx.let(cleaned, peel))).alias("_b"))
+    b = b.select(*blocks.columns, F.col("_b.l").alias("_l"), F.col("_b.k").alias("_k")).filter(F.size("_l") > 0)
     labels = F.transform(F.slice("_l", 1, F.col("_k")), lambda l, i: F.struct(i.alias("part"), F.lit(0).cast("bigint").alias("col"), l.alias("line")))
     body = F.struct(
         F.col("_k").alias("part"),
@@ -109,13 +136,22 @@ def column_bucket(blocks: DataFrame, keep: Sequence[str], x: str = "x0", text: s
 
 def classify_blocks(blocks: DataFrame) -> DataFrame:
     """Clean each block, drop a glued "Comments" label and say what it is: rating, question, item or text."""
-    cleaned = tx.clean_text(F.col("text"))
-    bare = F.regexp_replace(cleaned, rf"(?i)^comments{tx.WS}*:?{tx.WS}*-?{tx.WS}+", "")
-    b = blocks.withColumn("text", F.when((bare != cleaned) & (tx.word_count(bare) >= 2), bare).otherwise(cleaned))
-    t = F.col("text")
-    rating = tx.is_rating_section(t) & (F.length(t) < 120)
-    kind = F.when(rating, "rating").when(tx.is_question(t), "question").when(tx.is_numbered_item(t), "item").otherwise("text")
-    return b.withColumn("kind", kind)
+
+    def unglued(cleaned: Column) -> Column:
+        return tx.let(
+            F.regexp_replace(cleaned, rf"(?i)^comments{tx.WS}*:?{tx.WS}*-?{tx.WS}+", ""),
+            lambda bare: F.when((bare != cleaned) & (tx.word_count(bare) >= 2), bare).otherwise(cleaned),
+        )
+
+    def kind(t: Column) -> Column:
+        rating = tx.is_rating_section(t) & (F.length(t) < 120)
+        return F.when(rating, "rating").when(tx.is_question(t), "question").when(
+            tx.strip_space(t).rlike(tx.NUMBERED), "item"
+        ).otherwise("text")
+
+    both = tx.let(tx.let(tx.clean_text(F.col("text")), unglued), lambda t: F.struct(t.alias("text"), kind(t).alias("kind")))
+    rest = [c for c in blocks.columns if c != "text"]
+    return blocks.select(*rest, F.explode(F.array(both)).alias("_b")).select(*rest, "_b.text", "_b.kind")
 
 
 def assign_question(blocks: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -123,24 +159,25 @@ def assign_question(blocks: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Dat
 
     A rating header or a numbered item clears the question; short lines of a rating section are left out.
     """
-    c = classify_blocks(blocks)
+    c = checkpointed(classify_blocks(blocks))
     t, kind = F.col("text"), F.col("kind")
-    own = F.regexp_replace(t, "[ -]+$", "")
-    number = F.regexp_extract(F.when(kind == "question", own).otherwise(t), r"^(\d+)\.\s", 1)
-    c = c.withColumn("_own", F.when(kind == "question", own).when(kind == "item", t)).withColumn("_num", F.when(kind.isin("question", "item"), number))
-    # prompts that point at an earlier numbered question
-    refs = (
-        c.filter(kind == "question")
-        .withColumn("_num", F.regexp_extract("_own", r"(?i)answer to question (\d+)", 1))
-        .filter(F.col("_num") != "")
-        .select(*keys, "pos", "_num")
+    own = F.when(kind == "question", F.regexp_replace(t, "[ -]+$", "")).when(kind == "item", t)
+    c = c.withColumn("_own", own)
+    # prompts that point at an earlier numbered question: both sides meet in one window per (document, number)
+    number = F.nullif(F.regexp_extract("_own", r"^(\d+)\.\s", 1), F.lit(""))
+    wanted = F.when(kind == "question", F.nullif(F.regexp_extract("_own", r"(?i)answer to question (\d+)", 1), F.lit("")))
+    sides = F.array(
+        F.struct(number.alias("num"), F.lit(0).alias("side"), F.col("_own").alias("own")),
+        F.struct(wanted.alias("num"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("own")),
     )
-    targets = c.filter(F.col("_num") != "").select(*keys, "_num", F.col("pos").alias("_tp"), F.col("_own").alias("_target"))
+    asked = c.filter(kind.isin("question", "item")).select(*keys, "pos", F.explode(sides).alias("s"))
+    above = Window.partitionBy(*keys, "num").orderBy("pos", "side").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        refs.join(targets, [*keys, "_num"])
-        .filter(F.col("_tp") <= F.col("pos"))
-        .groupBy(*keys, "pos")
-        .agg(F.max_by("_target", "_tp").alias("_target"))
+        asked.select(*keys, "pos", "s.*")
+        .filter(F.col("num").isNotNull())
+        .withColumn("_target", F.last("own", ignorenulls=True).over(above))
+        .filter((F.col("side") == 1) & F.col("_target").isNotNull())
+        .select(*keys, "pos", "_target")
     )
     c = c.join(found, [*keys, "pos"], "left")
     question = F.when(

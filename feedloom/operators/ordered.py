@@ -3,6 +3,7 @@
 A plain window over ``partitionBy(key)`` puts a whole key in one task. Here every key is cut into blocks that
 follow the order, the window runs inside ``(key, block)``, and a small table with one row per block carries the
 state from block to block. A key that holds a third of all rows is spread over as many tasks as it has blocks.
+The input is read twice (rows, block totals); give a checkpointed input when it is expensive.
 
 ``block`` is a column that is non-decreasing along ``order`` within a key, e.g. ``position div 100000``.
 """
@@ -25,22 +26,10 @@ def _with_block(df: DataFrame, block: Column) -> DataFrame:
     return df.withColumn("_blk", block)
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe left join of the per-block carry table; its key columns are dropped."""
-    on = [*keys, "_blk"]
-    renamed = carry.select(*[F.col(k).alias(f"_r_{i}") for i, k in enumerate(on)],
-                           *[c for c in carry.columns if c not in on])
-    cond = F.lit(True)
-    for i, k in enumerate(on):
-        cond = cond & df[k].eqNullSafe(renamed[f"_r_{i}"])
-    return df.join(renamed, cond, "left").drop(*[f"_r_{i}" for i in range(len(on))])
+    """Left join of the per-block carry table. The rows are already partitioned by (keys, block), so only the small
+    table moves. Keys must not be null."""
+    return df.join(carry, [*keys, "_blk"], "left")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, block: Column, out: str) -> DataFrame:
