@@ -6,7 +6,7 @@ import importlib
 
 from feedloom.catalog.base import CHECKS, QUERIES
 
-_MODULES = ("reports", "report_views", "compare", "usage", "evaluate", "text", "extract")
+_MODULES = ("reports", "report_views", "compare", "usage", "evaluate", "text", "extract", "scoring", "sources")
 
 
 def _load() -> None:

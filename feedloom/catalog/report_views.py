@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from feedloom import dims
 from feedloom.catalog.base import query
 from feedloom.catalog.reports import K
+from feedloom.catalog.text import BULLETED, sql_bullets
 from feedloom.functions.numbers import sql_exact_mean, sql_round2
-from feedloom.operators.ordered import block_of
 from feedloom.plans import report_views as rv
 from feedloom.plans.report import KEYS
 from feedloom.views import table, view
@@ -156,6 +156,17 @@ def shared_question(spark, sf):
     return rv.shared_question(view(spark, sf, "comments"), ["course_id"])
 
 
+@query(
+    "relabel_legacy",
+    f"""SELECT doc_id, CASE WHEN lang = 'de' THEN '{dims.OTHER}' ELSE source END AS topic, replace({sql_bullets(BULLETED)}, '�', '''') AS feedback FROM documents""",
+)
+def relabel_legacy(spark, sf):
+    d = table(spark, sf, "documents").selectExpr(
+        "doc_id", f"CASE WHEN lang = 'de' THEN '{dims.LEGACY_OTHER}' ELSE source END AS topic", f"{BULLETED} AS feedback"
+    )
+    return rv.relabel_legacy(d)
+
+
 @query(
     "report_quality_checks",
     f"""WITH p AS (SELECT {K}, topic_no, count(*) AS n, sum(strlen(feedback)) AS b FROM assignments GROUP BY ALL),

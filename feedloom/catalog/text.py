@@ -277,7 +277,7 @@ NUM_TEXT = """CASE l_linenumber WHEN 1 THEN CAST(CAST(l_quantity AS INT) % 8 AS
 @query(
     "clamp_score_default",
     f"""WITH v AS (SELECT l_orderkey AS ord, {NUM_TEXT} AS x FROM lineitem) SELECT ord, x,
- coalesce(CAST(least(greatest(CASE WHEN regexp_full_match(trim(x), '[+-]?\\d+') THEN TRY_CAST(trim(x) AS INT) END, 1), 5) AS INT), 3) AS y FROM v""",
+ CASE WHEN regexp_full_match(trim(x), '[+-]?\\d+') THEN CAST(least(greatest(TRY_CAST(trim(x) AS INT), 1), 5) AS INT) ELSE 3 END AS y FROM v""",
 )
 def clamp_score_default(spark, sf):
     v = table(spark, sf, "lineitem").selectExpr("l_orderkey AS ord", f"{NUM_TEXT} AS x")

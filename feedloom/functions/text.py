@@ -227,7 +227,8 @@ def parse_score(value: Column) -> Column:
 
 def parse_score_number(value: Column) -> Column:
     """A number (not text) to a whole score: decimals cut off, clamped to 1-5."""
-    return F.least(F.greatest(value.cast("double").cast("int"), F.lit(1)), F.lit(5))
+    whole = value.cast("double").cast("int")
+    return F.when(whole.isNotNull(), F.least(F.greatest(whole, F.lit(1)), F.lit(5)))
 
 
 def parse_confidence(value: Column) -> Column:
@@ -258,7 +259,7 @@ def clamp_score_default(value: Column, default: int = 3) -> Column:
     """Whole number clamped to 1-5; anything else is the default."""
     t = strip_space(value)
     n = F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("decimal(38,0)"))
-    return F.coalesce(F.least(F.greatest(n, F.lit(1)), F.lit(5)).cast("int"), F.lit(default))
+    return F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(1)), F.lit(5)).cast("int")).otherwise(F.lit(default))
 
 
 def integer_score_only(value: Column) -> Column:

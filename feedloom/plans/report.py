@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from feedloom import dims
 from feedloom.functions.numbers import exact_mean, round2
+from feedloom.operators.ordered import block_of, row_numbers
 
 KEYS = ["course_no", "term_year", "season"]
 
@@ -159,10 +160,7 @@ def dense_topics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def topic_report(assignments: DataFrame, topics: DataFrame, keys: Sequence[str], gate: bool = True) -> DataFrame:
     """The flagship report: gate, aggregate, fill in empty topics, name them."""
-    dense = dense_topics(passed(assignments, topics, gate), keys)
-    return dense.join(bound(topics.select("topic_no", "topic")), "topic_no").select(
-        *keys, "topic_no", "topic", "average_score", "comment_count", "scored_comment_count", "reliability"
-    )
+    return topic_report_of(passed(assignments, topics, gate), topics, keys)
 
 
 def summary_prefix(rows: DataFrame, topics: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -403,3 +401,51 @@ def token_cost(calls: DataFrame, run: Sequence[str]) -> DataFrame:
         *run, "calls", "cache_hits", "input_tokens", "cached_input_tokens", "output_tokens",
         F.when(F.col("billable"), F.round(cost, 6)).otherwise(0.0).alias("cost_usd"),
     )
+
+
+def nested_report(rows: DataFrame, topics: DataFrame, keys: Sequence[str], part_rows: int = dims.MAX_COMMENTS) -> DataFrame:
+    """(keys, part, report_json): the whole report as one JSON document, comments in input order.
+
+    An analysis takes at most ``part_rows`` comments, so an ordinary report is part 0. A larger one goes on in further
+    parts with the same figures and the next comments; no comment is dropped and no group outgrows a task.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    numbered = row_numbers(rows, keys, ["ord", "topic_no", "score", "confidence"], block_of(F.col("ord")), "_n")
+    comment = F.struct(
+        F.col("_n").alias("n"),
+        F.struct(
+            "feedback", text("scoring_status").alias("scoring_status"), text("score").alias("score"),
+            text("confidence").alias("confidence"), text("direction").alias("direction"),
+        ).alias("c"),
+    )
+    parts = (
+        numbered.withColumn("part", F.floor((F.col("_n") - 1) / part_rows).cast("long"))
+        .groupBy(*keys, "topic_no", "part")
+        .agg(F.transform(F.sort_array(F.collect_list(comment)), lambda x: x["c"]).alias("comments"))
+    )
+    figures = topic_report_of(rows, topics, keys)
+    last = parts.groupBy(*keys).agg(F.max("part").alias("_last"))
+    frame = figures.join(last, list(keys)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "_last"))).drop("_last")
+    category = F.struct(
+        "topic_no",
+        F.struct(
+            "topic", "average_score", "comment_count", "scored_comment_count", "reliability",
+            F.coalesce("comments", F.expr("cast(array() as array<struct<feedback:string,scoring_status:string,score:string,confidence:string,direction:string>>)")).alias("comments"),
+        ).alias("c"),
+    )
+    joined = frame.join(parts, [*keys, "topic_no", "part"], "left")
+    cats = joined.groupBy(*keys, "part").agg(F.transform(F.sort_array(F.collect_list(category)), lambda x: x["c"]).alias("categories"))
+    whole = cats.join(overall_score(rows.filter(F.col("topic_no") != dims.OTHER_NO), keys), list(keys), "left")
+    doc = F.struct(
+        F.concat_ws("_", *[F.col(k).cast("string") for k in keys]).alias("course_id"), "overall_score", "categories",
+        F.struct(F.lit(dims.PROMPT_VERSION).alias("prompt_version"), F.col("part")).alias("metadata"),
+    )
+    return whole.select(*keys, "part", F.to_json(doc, {"ignoreNullFields": "false"}).alias("report_json"))
+
+
+def topic_report_of(rows: DataFrame, topics: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The topic figures of rows that have already passed the gate."""
+    dense = dense_topics(rows, keys)
+    return dense.join(bound(topics.select("topic_no", "topic")), "topic_no").select(
+        *keys, "topic_no", "topic", "average_score", "comment_count", "scored_comment_count", "reliability"
+    )
