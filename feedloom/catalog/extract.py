@@ -189,11 +189,8 @@ lns AS (SELECT doc_id, pos, col, text, row_number() OVER (PARTITION BY doc_id OR
 
 def clean_lines(spark, sf):
     """Cleaned lines; the parity of the position stands for the column."""
-    return (
-        lines(spark, sf)
-        .select("doc_id", "pos", (F.col("pos") % 2).alias("col"), tx.clean_text(F.col("x")).alias("text"))
-        .filter(F.col("text") != "")
-    )
+    l = lines(spark, sf).select("doc_id", "pos", (F.col("pos") % 2).alias("col"), F.col("x").alias("text"))
+    return tx.with_once(l, "text", tx.clean_text(F.col("text"))).filter(F.col("text") != "")
 
 
 SEG = f"""{LNS},

@@ -221,7 +221,7 @@ def stream_dedupe(spark, sf):
     items = stream_view(spark, sf, "comments").select("course_id", "text")
     items = items.withColumn("at", F.lit("2024-01-01").cast("timestamp"))
     out = jobs.stream_dedupe(items, ["course_id"], "at", "30 days")
-    return jobs.run_to_table(out, jobs.new_folder(spark, "dedupe")).select("course_id", "text")
+    return jobs.run_to_table(out, files.scratch(spark, "dedupe")).select("course_id", "text")
 
 
 USAGE = "count(*) AS runs, coalesce(CAST(sum(CAST(cost_usd AS DECIMAL(20,10))) FILTER (NOT used_own_key) AS DOUBLE), 0.0::DOUBLE) AS cost_usd, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens"
@@ -230,7 +230,7 @@ USAGE = "count(*) AS runs, coalesce(CAST(sum(CAST(cost_usd AS DECIMAL(20,10))) F
 @query("stream_usage_windows", f"SELECT date_trunc('day', created_at) AS window_start, user_id, {USAGE} FROM usage_log GROUP BY ALL")
 def stream_usage_windows(spark, sf):
     out = jobs.stream_usage_windows(stream_view(spark, sf, "usage_log"), delay="60 days")
-    latest = jobs.run_latest(out, jobs.new_folder(spark, "usage"), ["window_start", "user_id"])
+    latest = jobs.run_latest(out, files.scratch(spark, "usage"), ["window_start", "user_id"])
     return latest.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -239,4 +239,4 @@ def stream_usage_windows(spark, sf):
     f"WITH s AS (SELECT {K}, topic_no, count(*) AS comment_count, count(score) AS scored_comment_count, avg(score) AS m FROM assignments GROUP BY ALL) SELECT {K}, topic_no, comment_count, scored_comment_count, {sql_round2('m')} AS average_score FROM s",
 )
 def stream_topic_upsert(spark, sf):
-    return jobs.stream_topic_upsert(stream_view(spark, sf, "assignments"), jobs.new_folder(spark, "topics"), KEYS)
+    return jobs.stream_topic_upsert(stream_view(spark, sf, "assignments"), files.scratch(spark, "topics"), KEYS)

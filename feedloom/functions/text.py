@@ -19,6 +19,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def with_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Like ``withColumn``, but a later filter on the column is not rewritten into a second evaluation of ``value``.
+
+    Catalyst moves filters below a projection by repeating the expression; it does not move them below a generator.
+    """
+    rest = [c for c in rows.columns if c != name]
+    return rows.select(*rest, F.explode(F.array(value)).alias(name))
+
+
 WS = f"[{dims.SPACE_CLASS}]"
 _B = dims.BULLETS
 

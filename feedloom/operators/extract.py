@@ -37,7 +37,7 @@ def profile_columns(cells: DataFrame, file_id: Sequence[str]) -> DataFrame:
     not shuffled and a value repeated by a third of all rows arrives as one row per task.
     """
     v = tx.strip_space(F.col("value"))
-    filled = cells.withColumn("v", v).filter(F.col("v") != "")
+    filled = tx.with_once(cells, "v", v).filter(F.col("v") != "")
     counts = filled.groupBy(*file_id, "column", F.length("v").alias("len"), F.md5("v").alias("digest")).agg(
         F.count("*").alias("n"), F.bool_or(F.col("v").rlike(r"^[\d.\-/: ]+$")).alias("number_like")
     )
@@ -76,10 +76,9 @@ def keep_text(text: Column) -> Column:
 def tidy_responses(cells: DataFrame, profile: DataFrame, dictionary: DataFrame, ids: Sequence[str], file_id: Sequence[str]) -> DataFrame:
     """Cells of free-text columns with ``status`` response, garbage or dropped; the question is the cleaned header."""
     free = profile.filter("free_text").select(*file_id, "column")
+    texts = drop_meta_columns(cells).join(free, [*file_id, "column"], "left_semi")
     texts = (
-        drop_meta_columns(cells)
-        .join(free, [*file_id, "column"], "left_semi")
-        .withColumn("text", tx.clean_text(F.col("value")))
+        tx.with_once(texts, "text", tx.clean_text(F.col("value")))
         .filter(F.col("text") != "")
         .withColumn("cell", F.concat_ws("\x1f", *[F.col(c).cast("string") for c in ids], "column"))
     )
@@ -93,7 +92,8 @@ def tidy_responses(cells: DataFrame, profile: DataFrame, dictionary: DataFrame,
 def rating_distribution(cells: DataFrame, profile: DataFrame, file_id: Sequence[str], max_values: int = 12) -> DataFrame:
     """Columns that are not free text and have few distinct values: n, counts per label, mean if all are numbers."""
     free = profile.filter("free_text").select(*file_id, "column")
-    v = drop_meta_columns(cells).join(free, [*file_id, "column"], "left_anti").withColumn("v", tx.clean_text(F.col("value")))
+    v = drop_meta_columns(cells).join(free, [*file_id, "column"], "left_anti")
+    v = tx.with_once(v, "v", tx.clean_text(F.col("value")))
     counts = v.filter(F.col("v") != "").groupBy(*file_id, "column", "v").agg(F.count("*").alias("n"))
     # drop columns with many values before any list is built
     few = counts.groupBy(*file_id, "column").agg(F.count("*").alias("d")).filter(F.col("d") <= max_values).drop("d")
@@ -123,7 +123,7 @@ def question_reference(questions: DataFrame, file_id: Sequence[str], question: s
 
 def grid_rows(cells: DataFrame, sheet: Sequence[str]) -> DataFrame:
     """One row per sheet row with its filled cells in column order (a row is as wide as the sheet)."""
-    c = cells.withColumn("text", tx.clean_text(F.col("text"))).filter(F.col("text") != "")
+    c = tx.with_once(cells, "text", tx.clean_text(F.col("text"))).filter(F.col("text") != "")
     rows = c.groupBy(*sheet, "row_no").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("cells"))
     is_percent = lambda x: x["text"].rlike(dims.PERCENT_CELL)
     scale = F.filter("cells", lambda x: tx.scale_value(x["text"]).isNotNull() | tx.squish(x["text"]).isin(dims.NOISE_WORDS))

@@ -19,14 +19,14 @@ def unify_inputs(rows: DataFrame, keys: Sequence[str], order: str = "ord") -> Da
         return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
 
     raw = F.coalesce(F.nullif(col("text", "string"), F.lit("")), col("feedback", "string"), F.lit(""))
-    out = rows.select(
+    rest = rows.select(
         *keys,
         order,
-        tx.prepare_text(raw).alias("text"),
+        raw.alias("text"),
         F.nullif(tx.norm_whitespace(F.coalesce(col("question", "string"), F.lit(""))), F.lit("")).alias("question"),
         F.coalesce(col("non_teaching", "boolean"), F.lit(False)).alias("non_teaching"),
     )
-    return out.filter(F.col("text") != "")
+    return tx.with_once(rest, "text", tx.prepare_text(F.col("text"))).filter(F.col("text") != "")
 
 
 def plain_lines(files: DataFrame, keys: Sequence[str], text: str = "text", longer_than: int = 10) -> DataFrame:
@@ -39,8 +39,13 @@ def plain_lines(files: DataFrame, keys: Sequence[str], text: str = "text", longe
 
 
 def dedupe_comments(items: DataFrame, keys: Sequence[str], order: str = "ord") -> DataFrame:
-    """First answer of each equal text per course. A map-side combined aggregate: copies are not gathered."""
-    return first_rows(items, [*keys, "text"], [order])
+    """First answer of each equal text per course.
+
+    A map-side combined aggregate, so copies are not gathered. Texts are grouped by digest and length: long answers
+    are neither sorted nor compared.
+    """
+    keyed = items.withColumn("_d", F.md5("text")).withColumn("_l", F.length("text"))
+    return first_rows(keyed, [*keys, "_d", "_l"], [order]).drop("_d", "_l")
 
 
 def duplicate_counts(items: DataFrame, keys: Sequence[str], input_rows: DataFrame | None = None) -> DataFrame:

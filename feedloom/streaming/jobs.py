@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions import text as tx
-from feedloom.sources.files import scratch
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -23,7 +21,7 @@ def file_stream(spark: SparkSession, folder: str, name: str, max_files: int | No
 
 def stream_dedupe(items: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
     """Each text once per course within the watermark. State is keyed by course, digest and length of the text."""
-    prepared = items.withColumn("text", tx.prepare_text(F.col("text"))).filter(F.col("text") != "")
+    prepared = tx.with_once(items, "text", tx.prepare_text(F.col("text"))).filter(F.col("text") != "")
     keyed = prepared.withColumn("_d", F.md5("text")).withColumn("_l", F.length("text"))
     return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark([*keys, "_d", "_l"]).drop("_d", "_l")
 
@@ -114,7 +112,3 @@ def topic_state(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     )
     mean = F.col("t") / F.nullif(F.col("scored_comment_count"), F.lit(0))
     return s.select(*keys, "topic_no", "comment_count", "scored_comment_count", round2(mean).alias("average_score"))
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return scratch(spark, name) if spark else tempfile.mkdtemp()

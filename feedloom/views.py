@@ -118,8 +118,19 @@ def view_sql(name: str, engine: str) -> str:
     return (body[engine] if isinstance(body, dict) else body).strip()
 
 
+# Text work is heavy per byte. A text table small enough to sit in one or two row groups is spread over the cores by
+# its key; a large one already has a scan task per split and is read as it is.
+TEXT_TABLES = {"documents": "doc_id"}
+SPREAD_BELOW_BYTES = 256 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES and not df.isStreaming:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size < SPREAD_BELOW_BYTES:
+            return df.repartition(spark.sparkContext.defaultParallelism, TEXT_TABLES[name])
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
