@@ -144,7 +144,7 @@ SELECT {K}, feedback, position FROM n WHERE (position - 1) // 20 = least(3, CAST
 )
 def page_comments(spark, sf):
     v = rv.sort_comments(rv.comment_mean(viewed(spark, sf)), KEYS, "high")
-    return rv.page_comments(v, KEYS, 3, 20).select(*KEYS, "feedback", "position")
+    return rv.page_comments(v, 3, 20).select(*KEYS, "feedback", "position")
 
 
 @query(

@@ -89,8 +89,8 @@ SELECT doc_id, {sql_half_even("CASE WHEN l = '' OR r = '' THEN 0.0::DOUBLE WHEN
 def text_match_score(spark, sf):
     """The edit-distance variant; the sequence-ratio form is covered by a unit test and by match_one_to_one."""
     e = view(spark, sf, "examples").select("ex_id", "feedback")
-    n = e.agg(F.count("*").alias("n"))
-    d = table(spark, sf, "documents").join(F.broadcast(n)).withColumn("ex_id", F.col("doc_id") % F.col("n")).join(e, "ex_id")
+    n = e.agg(F.count("*").alias("n")).scalar()
+    d = table(spark, sf, "documents").withColumn("ex_id", F.col("doc_id") % n).join(e, "ex_id")
     left, right = tx.canonical_key(F.expr("substr(text, 1 + n_chars % 50)")), tx.canonical_key(F.col("feedback"))
     d = d.select("doc_id", left.alias("l"), right.alias("r"))
     return d.select("doc_id", rt.half_even(rt.text_match_levenshtein(F.col("l"), F.col("r")), 6).alias("similarity"))

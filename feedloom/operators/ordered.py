@@ -32,12 +32,17 @@ def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(carry, [*keys, "_blk"], "left")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, block: Column, out: str) -> DataFrame:
-    """Inclusive running sum of ``value`` per key along ``order``."""
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, block: Column, out: str, total: str | None = None
+) -> DataFrame:
+    """Inclusive running sum of ``value`` per key along ``order``; ``total`` names a column for the sum of the key."""
     b = _with_block(df.withColumn("_v", value), block)
     totals = b.groupBy(*keys, "_blk").agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.withColumn("_before", F.sum("_t").over(before)).drop("_t")
+    carry = totals.withColumn("_before", F.sum("_t").over(before))
+    if total:
+        carry = carry.withColumn(total, F.sum("_t").over(Window.partitionBy(*keys)))
+    carry = carry.drop("_t")
     inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = b.withColumn("_local", F.sum("_v").over(inside))
     return (
@@ -47,10 +52,11 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Colu
     )
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence, block: Column, out: str) -> DataFrame:
-    """1-based positions per key along ``order``."""
-    numbered = running_sum(df, keys, order, F.lit(1).cast("long"), block, out)
-    return numbered
+def row_numbers(
+    df: DataFrame, keys: Sequence[str], order: Sequence, block: Column, out: str, total: str | None = None
+) -> DataFrame:
+    """1-based positions per key along ``order``, and the number of rows of the key when ``total`` is given."""
+    return running_sum(df, keys, order, F.lit(1).cast("long"), block, out, total)
 
 
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence, values: dict[str, Column], block: Column) -> DataFrame:

@@ -67,13 +67,13 @@ def improved_declined(changes: DataFrame, group: Sequence[str], top: int = 3) ->
     up = F.slice(F.filter(F.reverse("e"), lambda x: x["change"] > 0), 1, top)
     down = F.slice(F.filter("e", lambda x: x["change"] < 0), 1, top)
 
-    def listed(entries: Column, direction: str) -> DataFrame:
-        return agg.select(*group, F.lit(direction).alias("direction"), F.posexplode(entries).alias("i", "x"))
+    def listed(entries: Column, direction: str) -> Column:
+        return F.transform(
+            entries,
+            lambda x, i: F.struct(F.lit(direction).alias("direction"), (i + 1).alias("rank"), x["topic_no"].alias("topic_no"), x["change"].alias("change")),
+        )
 
-    both = listed(up, "improved").unionByName(listed(down, "declined"))
-    return both.select(
-        *group, "direction", (F.col("i") + 1).alias("rank"), F.col("x.topic_no").alias("topic_no"), F.col("x.change").alias("change")
-    )
+    return agg.select(*group, F.inline(F.concat(listed(up, "improved"), listed(down, "declined"))))
 
 
 def rating_changes(ratings: DataFrame, group: Sequence[str], positions: Sequence[int]) -> DataFrame:

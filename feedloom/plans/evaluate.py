@@ -66,21 +66,22 @@ def topic_f1(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     c = _counts(sets, []).agg(
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
         F.sum(F.when(seen, half_even(f, 3)).cast("decimal(20,12)")).cast("double").alias("f1_sum"), F.count_if(seen).alias("f1_n"),
-        F.lit(1).alias("_one"),
     )
     e = sets.agg(
-        F.count("*").alias("comments"),
-        F.count_if(F.sort_array("gold") == F.sort_array("pred")).alias("hits"),
-        F.lit(1).alias("_one"),
-    )
+        F.struct(
+            F.count("*").alias("comments"), F.count_if(F.sort_array("gold") == F.sort_array("pred")).alias("hits")
+        ).alias("e")
+    ).scalar()
     p, r, f = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
-    return c.join(e, "_one").select(
-        "comments",
+    c = c.withColumn("e", e)
+    comments, hits = F.col("e.comments"), F.col("e.hits")
+    return c.select(
+        comments.alias("comments"),
         half_even(p, 3).alias("micro_precision"),
         half_even(r, 3).alias("micro_recall"),
         half_even(f, 3).alias("micro_f1"),
         half_even(ratio(F.col("f1_sum"), F.col("f1_n")), 3).alias("macro_f1"),
-        half_even(ratio(F.col("hits"), F.col("comments")), 3).alias("exact_match"),
+        half_even(ratio(hits, comments), 3).alias("exact_match"),
     )
 
 
@@ -114,9 +115,8 @@ def model_topic_report(matched: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.count_if(F.sort_array("gold") == F.sort_array("pred")).alias("exact_set_matches"),
     )
     p, r, f = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
-    total = F.col("benchmark_n")
-    one = F.broadcast(benchmark.withColumn("_one", F.lit(1)))  # one row
-    return topics.join(rows, "model").withColumn("_one", F.lit(1)).join(one, "_one").select(
+    total = benchmark.select("benchmark_n").scalar()
+    return topics.join(rows, "model").select(
         "model",
         "matched",
         half_even(ratio(F.col("matched"), total) * 100, 2).alias("match_coverage"),
@@ -221,7 +221,7 @@ def metrics_from_cells(cells: DataFrame, gold_rows: DataFrame) -> DataFrame:
     pct = lambda x: half_even(ratio(x, k) * 100, 2)
     return (
         base.join(balanced, "model", "left").join(labels, "model", "left")
-        .withColumn("_one", F.lit(1)).join(F.broadcast(gold_rows.withColumn("_one", F.lit(1))), "_one")
+        .withColumn("gold_n", gold_rows.select("gold_n").scalar())
         .select(
             "model",
             k.alias("common_items"),
@@ -298,13 +298,12 @@ def best_model(models: DataFrame, baselines: DataFrame) -> DataFrame:
         F.min_by("model", F.struct("mae", -F.col("exact_pct"), "model")).alias("best_model"),
         F.min("mae").alias("best_mae"),
         F.max_by("model", F.struct("speed", "model")).alias("fastest_model"),
-        F.lit(1).alias("_one"),
     )
     b = baselines.agg(
-        F.min_by("model", F.struct("mae", "model")).alias("best_baseline"), F.min("mae").alias("baseline_mae"), F.lit(1).alias("_one")
-    )
-    return m.join(b, "_one").select(
-        "best_model", "fastest_model", "best_baseline", (F.col("best_mae") < F.col("baseline_mae")).alias("beats_baseline")
+        F.struct(F.min_by("model", F.struct("mae", "model")).alias("model"), F.min("mae").alias("mae")).alias("b")
+    ).scalar()
+    return m.withColumn("b", b).select(
+        "best_model", "fastest_model", F.col("b.model").alias("best_baseline"), (F.col("best_mae") < F.col("b.mae")).alias("beats_baseline")
     )
 
 
@@ -336,6 +335,6 @@ def gold_distribution(gold: DataFrame) -> DataFrame:
 
 def other_share(rows: DataFrame, comments: DataFrame) -> DataFrame:
     """Share of comments left in Other: rows of topic Other over the number of comments."""
-    o = rows.agg(F.count_if(F.col("topic_no") == dims.OTHER_NO).alias("o"), F.lit(1).alias("_one"))
-    n = comments.agg(F.count("*").alias("n"), F.lit(1).alias("_one"))
-    return o.join(n, "_one").select(half_even(ratio(F.col("o"), F.col("n")), 3).alias("other_share"))
+    o = rows.agg(F.count_if(F.col("topic_no") == dims.OTHER_NO).alias("o"))
+    n = comments.agg(F.count("*").alias("n")).scalar()
+    return o.withColumn("n", n).select(half_even(ratio(F.col("o"), F.col("n")), 3).alias("other_share"))

@@ -351,14 +351,13 @@ def price_lookup(requests: DataFrame, prices: DataFrame) -> DataFrame:
         )
         .withColumnRenamed("provider", "dp")
     )
-    first = usual.filter(F.col("dp") == "openai").select(F.col("dflt").alias("fallback"), F.lit(1).alias("_one"))
-    r = requests.withColumn("_p", F.coalesce("provider", F.lit("openai"))).withColumn("_one", F.lit(1))
+    fallback = usual.filter(F.col("dp") == "openai").select("dflt").scalar()
+    r = requests.withColumn("_p", F.coalesce("provider", F.lit("openai")))
     out = (
         r.join(F.broadcast(exact.withColumnRenamed("provider", "ep").withColumnRenamed("model_id", "em")),
                (F.col("_p") == F.col("ep")) & (F.col("model_id") == F.col("em")), "left")
         .join(F.broadcast(usual), F.col("_p") == F.col("dp"), "left")
-        .join(F.broadcast(first), "_one", "left")
-        .withColumn("_hit", F.coalesce("hit", "dflt", "fallback"))
+        .withColumn("_hit", F.coalesce(F.col("hit"), F.col("dflt"), fallback))
     )
     return out.select(
         *requests.columns,

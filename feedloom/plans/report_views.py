@@ -175,7 +175,7 @@ def filter_comments_classic(
 
 
 def sort_comments(view: DataFrame, keys: Sequence[str], how: str = "original", index: str = "idx") -> DataFrame:
-    """Add ``position`` per report: original order, lowest or highest score first, unscored last."""
+    """Add ``position`` and ``total`` per report: original order, lowest or highest score first, unscored last."""
     rank = {
         "original": F.lit(0),
         "low": F.coalesce("score", F.lit(6)),
@@ -183,18 +183,14 @@ def sort_comments(view: DataFrame, keys: Sequence[str], how: str = "original", i
     }[how]
     v = view.withColumn("_rank", rank.cast("int"))
     block = F.struct(F.col("_rank"), block_of(F.col(index)))
-    return row_numbers(v, keys, ["_rank", index], block, "position").drop("_rank")
+    return row_numbers(v, keys, ["_rank", index], block, "position", "total").drop("_rank")
 
 
-def page_comments(sorted_view: DataFrame, keys: Sequence[str], page: int, size: int) -> DataFrame:
+def page_comments(sorted_view: DataFrame, page: int, size: int) -> DataFrame:
     """Page ``page`` of every report; a page past the end is the last page."""
-    pages = sorted_view.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.max("position") / size)).alias("_pages"))
-    first = (F.least(F.lit(max(page, 1)), F.col("_pages")) - 1) * size
-    return (
-        sorted_view.join(pages, list(keys))
-        .filter((F.col("position") > first) & (F.col("position") <= first + size))
-        .drop("_pages")
-    )
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size))
+    first = (F.least(F.lit(max(page, 1)), pages) - 1) * size
+    return sorted_view.filter((F.col("position") > first) & (F.col("position") <= first + size))
 
 
 def shared_question(comments: DataFrame, keys: Sequence[str], question: str = "question") -> DataFrame:

@@ -84,15 +84,14 @@ def budget_summary(usage: DataFrame, as_of: str, budget: float) -> DataFrame:
 def cap_exceeded(users: DataFrame, usage: DataFrame, as_of: str, budget: float = 0.0) -> DataFrame:
     """Users who may not run now: the shared budget is used up, or their own cap is."""
     spend = spend_by_user(usage, as_of).withColumnRenamed("user_id", "id")
-    total = total_spend(usage, as_of).withColumn("_one", F.lit(1))
+    total = total_spend(usage, as_of).scalar()
     cap = F.coalesce("yearly_cap_usd", F.lit(dims.DEFAULT_CAP_USD))
     spent = F.coalesce("spent_usd", F.lit(0.0))
-    all_used = (F.lit(budget) > 0) & (F.col("total_usd") >= budget)
+    all_used = (F.lit(budget) > 0) & (total >= budget)
     own_used = (F.col("credit_mode") == "our_key_capped") & (spent >= cap)
-    blocked = users.filter(F.col("credit_mode") != "own_key").withColumn("_one", F.lit(1))
     return (
-        blocked.join(spend, "id", "left")
-        .join(F.broadcast(total), "_one")  # one row
+        users.filter(F.col("credit_mode") != "own_key")
+        .join(spend, "id", "left")
         .filter(all_used | own_used)
         .select(F.col("id").alias("user_id"), F.when(all_used, "shared budget").otherwise("own cap").alias("reason"), spent.alias("spent_usd"))
     )

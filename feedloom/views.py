@@ -98,12 +98,20 @@ FROM orders""",
 SELECT l_orderkey AS ord, CAST(1 + l_partkey % 12 AS INT) AS topic_no, l_linenumber AS rep,
        CAST(1 + CAST(l_quantity AS INT) % 5 AS INT) AS score
 FROM lineitem""",
-    "pred_scores": """
+    "pred_scores": {
+        "spark": """
+SELECT m.model, l_orderkey AS ord, CAST(1 + l_partkey % 12 AS INT) AS topic_no, l_linenumber AS rep,
+       CASE WHEN l_linenumber = 7 THEN NULL
+            WHEN m.model = 'a' THEN CAST(greatest(1, least(5, CAST(l_quantity AS INT) % 5 + CAST(l_suppkey % 3 AS INT))) AS INT)
+            ELSE CAST(1 + l_suppkey % 5 AS INT) END AS score
+FROM lineitem LATERAL VIEW explode(array('a', 'b')) m AS model""",
+        "duckdb": """
 SELECT m.model, l_orderkey AS ord, CAST(1 + l_partkey % 12 AS INT) AS topic_no, l_linenumber AS rep,
        CASE WHEN l_linenumber = 7 THEN NULL
             WHEN m.model = 'a' THEN CAST(greatest(1, least(5, CAST(l_quantity AS INT) % 5 + CAST(l_suppkey % 3 AS INT))) AS INT)
             ELSE CAST(1 + l_suppkey % 5 AS INT) END AS score
 FROM lineitem CROSS JOIN (VALUES ('a'), ('b')) AS m(model)""",
+    },
     # Human and predicted topic sets over the whole table: the prediction differs on late line numbers.
     "gold_topics": """
 SELECT DISTINCT l_orderkey AS ord, CAST(1 + l_partkey % 13 AS INT) AS topic_no FROM lineitem""",
