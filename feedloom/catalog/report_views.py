@@ -197,7 +197,7 @@ SELECT course, (n - 1) // 1000 AS part, count(*) AS records, string_agg(CAST(id
 )
 def group_history(spark, sf):
     h = view(spark, sf, "reports").select("course", "id", "created_at")
-    block = F.date_trunc("month", "created_at")
+    block = F.date_trunc("day", "created_at")
     out = rv.group_history(h, "course", ["created_at", "id"], block)
     return out.select(
         "course", "part", F.size("records").cast("long").alias("records"), joined(F.col("records.id")).alias("ids")

@@ -101,10 +101,10 @@ def sink_report_json(spark, sf):
 
 @query("src_prediction_json", "SELECT CAST(course_no AS STRING) AS model, topic, feedback AS text, coalesce(score, 3) AS score FROM assignments JOIN topics USING (topic_no)")
 def src_prediction_json(spark, sf):
-    """Prediction files of a thousand comment numbers each."""
+    """Prediction files of at most a thousand rows each."""
     path = files.scratch(spark, "predictions")
     a, t = load(spark, sf)
-    rows = a.join(F.broadcast(t.select("topic_no", "topic")), "topic_no").withColumn("part", F.floor(F.col("ord") / 1000))
+    rows = a.join(F.broadcast(t.select("topic_no", "topic")), "topic_no").withColumn("part", F.floor(F.monotonically_increasing_id() / 1000))
     item = F.struct(F.col("feedback").alias("text"), F.col("score"))
     per_topic = rows.groupBy("course_no", "part", "topic").agg(F.collect_list(item).alias("feedback_with_sentiment"))
     out = per_topic.groupBy("course_no", "part").agg(F.collect_list(F.struct("topic", "feedback_with_sentiment")).alias("topics"))

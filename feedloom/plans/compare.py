@@ -27,7 +27,8 @@ def order_by_term(reports: DataFrame, group: Sequence[str], created: str = "crea
     """Position of each report in calendar order within its group."""
     r = reports.withColumn("_k", term_sort_key(F.col("term")))
     order = [F.col("_k"), F.col(created).asc_nulls_first(), F.col(tie)]
-    return row_numbers(r, group, order, F.col("_k"), "pos").drop("_k")
+    block = F.struct("_k", F.date_trunc("day", created))
+    return row_numbers(r, group, order, block, "pos").drop("_k")
 
 
 def topic_matrix(summary: DataFrame, group: Sequence[str], positions: Sequence[int]) -> DataFrame:

@@ -98,13 +98,13 @@ def cap_exceeded(users: DataFrame, usage: DataFrame, as_of: str, budget: float =
 
 
 def cap_crossing(usage: DataFrame, users: DataFrame) -> DataFrame:
-    """First run at which a capped user's cumulative lab spend reached the cap. Days are the blocks of the sum."""
+    """First run at which a capped user's cumulative lab spend reached the cap. Hours are the blocks of the sum."""
     caps = users.filter(F.col("credit_mode") == "our_key_capped").select(
         F.col("id").alias("user_id"), F.coalesce("yearly_cap_usd", F.lit(dims.DEFAULT_CAP_USD)).cast(MONEY).alias("cap")
     )
     rows = usage.filter(~F.col("used_own_key")).join(caps, "user_id")
     summed = running_sum(
-        rows, ["user_id"], ["created_at", "id"], F.col("cost_usd").cast(MONEY), F.to_date("created_at"), "cumulative"
+        rows, ["user_id"], ["created_at", "id"], F.col("cost_usd").cast(MONEY), F.date_trunc("hour", "created_at"), "cumulative"
     )
     hit = summed.filter(F.col("cumulative") >= F.col("cap"))
     return (

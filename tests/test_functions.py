@@ -133,6 +133,7 @@ def test_similar_pairs_equal_brute_force(spark):
     rng = random.Random(9)
     words = "exam pace slide notes lab clear fast slow".split()
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) for _ in range(40)]
+    texts[21:25] = [texts[1]] * 4  # copies
     b = spark.createDataFrame(list(enumerate(texts[:20])), "b_idx bigint, text string")
     p = spark.createDataFrame(list(enumerate(texts[20:])), "p_idx bigint, text string")
     got = {(r["b_idx"], r["p_idx"]): r["similarity"] for r in rt.similar_pairs(b, p).collect()}
