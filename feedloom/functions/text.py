@@ -181,7 +181,7 @@ def question_header(header: Column) -> Column:
 
 
 def course_term_parts(course_id: Column) -> Column:
-    """(course, term) of ids such as ``CHEM_14A_Fall2025``."""
+    """(course, term) of ids such as ``BIO_10A_Fall2025``."""
     p = F.split(course_id, "_")
     full = F.size(p) >= 3
     return F.struct(

@@ -159,13 +159,24 @@ def percent_rows(rows: DataFrame, sheet: Sequence[str]) -> DataFrame:
     def named(cell: Column) -> Column:
         # nearest header column; on a tie the left one
         best = F.array_min(
-            F.transform(header, lambda h: F.struct(F.abs(h["col"] - cell["col"]).alias("d"), h["col"].alias("c"), h["text"].alias("t")))
+            F.transform(
+                F.col("_h"),
+                lambda h: F.struct(F.abs(h["col"] - cell["col"]).alias("d"), h["col"].alias("c"), h["text"].alias("t"), h["v"].alias("v")),
+            )
         )
-        name = F.when(best["d"] <= 1, best["t"]).otherwise(F.concat(F.lit("column "), cell["col"].cast("string")))
         count = F.regexp_extract(cell["text"], dims.PERCENT_CELL, 2).cast("bigint")
-        return F.struct(name.alias("name"), count.alias("n"))
+        plain = F.concat(F.lit("column "), cell["col"].cast("string"))
+        return tx.let(
+            best,
+            lambda b: F.struct(
+                F.when(b["d"] <= 1, b["t"]).otherwise(plain).alias("name"), count.alias("n"), F.when(b["d"] <= 1, b["v"]).alias("v")
+            ),
+        )
 
-    p = rows.filter(F.col("kind") == "percent").withColumn("_c", F.transform("percent", named))
+    # the value of each label is looked up once per header, not once per cell
+    valued = F.transform(header, lambda h: F.struct(h["col"].alias("col"), h["text"].alias("text"), tx.scale_value(h["text"]).alias("v")))
+    p = rows.filter(F.col("kind") == "percent").withColumn("_h", valued)
+    p = tx.with_once(p, "_c", F.transform("percent", named))
 
     def total(pairs: Column) -> Column:
         return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -174,8 +185,8 @@ def percent_rows(rows: DataFrame, sheet: Sequence[str]) -> DataFrame:
         F.array_distinct(F.col("_c.name")),
         lambda n: F.struct(n, total(F.transform(F.filter("_c", lambda x: x["name"] == n), lambda x: x["n"])).alias("n")),
     )
-    scored = F.filter("_c", lambda x: tx.scale_value(x["name"]).isNotNull())
-    weight = total(F.transform(scored, lambda x: x["n"] * tx.scale_value(x["name"])))
+    scored = F.filter("_c", lambda x: x["v"].isNotNull())
+    weight = total(F.transform(scored, lambda x: x["n"] * x["v"]))
     count = total(F.transform(scored, lambda x: x["n"]))
     return p.select(
         *sheet,

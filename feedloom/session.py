@@ -14,6 +14,8 @@ def local_session(cpus: str | int = "8", app: str = "feedloom") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # text work is heavy per byte: keep small shuffles spread over the cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("FEEDLOOM_DRIVER_MEMORY", "12g"))
