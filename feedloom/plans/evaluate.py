@@ -175,67 +175,71 @@ def score_cells(gold: DataFrame, predicted: DataFrame, key: Sequence[str]) -> Da
 
 
 def metrics_from_cells(cells: DataFrame, gold_rows: DataFrame) -> DataFrame:
-    """The model score report. ``gold_rows`` is one row with ``gold_n``, the number of human keys."""
-    c = cells.filter("hit")
-    err = F.abs(F.col("gs") - F.col("ps"))
-    n = F.col("n")
+    """The model score report. ``gold_rows`` is one row with ``gold_n``, the number of human keys.
 
-    def count(cond: Column) -> Column:
-        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
-
-    base = cells.groupBy("model").agg(
-        count(F.col("hit")).alias("common"),
-        count(F.col("hit").isNull()).alias("extra"),
-        count(F.col("hit") & (err == 0)).alias("exact"),
-        count(F.col("hit") & (err <= 1)).alias("near"),
-        count(F.col("hit") & (F.col("gl") == F.col("pl"))).alias("label"),
-        F.sum(F.when(F.col("hit"), n * err)).alias("e1"),
-        F.sum(F.when(F.col("hit"), n * err * err)).alias("e2"),
-    )
-    by_score = c.groupBy("model", "gs").agg(F.sum(n).alias("t"), count(err == 0).alias("x"), count(err <= 1).alias("w"))
-    balanced = by_score.groupBy("model").agg(
-        F.sum((F.col("x") / F.col("t")).cast("decimal(20,12)")).cast("double").alias("bx"),
-        F.sum((F.col("w") / F.col("t")).cast("decimal(20,12)")).cast("double").alias("bw"),
-        F.count("*").alias("classes"),
-    )
-    # three labels per model, folded into columns: no join of labels with labels
-    labels = c.groupBy("model").agg(
-        *[
-            e
-            for s in dims.SENTIMENTS
-            for e in (
-                count((F.col("gl") == s) & (F.col("pl") == s)).alias(f"tp_{s}"),
-                count((F.col("gl") != s) & (F.col("pl") == s)).alias(f"fp_{s}"),
-                count((F.col("gl") == s) & (F.col("pl") != s)).alias(f"fn_{s}"),
-            )
-        ]
-    )
-    f_sum, f_n = F.lit(0.0), F.lit(0)
+    One aggregate per model: the five scores and three labels are folded into columns, so the cells are read once.
+    """
+    hit, n = F.col("hit"), F.col("n")
+    err = F.abs(F.col("gs") - F.col("ps"))
+    gl, pl = F.col("gl"), F.col("pl")
+
+    def count(cond: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).alias(name)
+
+    figures = [
+        count(hit, "common"),
+        count(hit.isNull(), "extra"),
+        count(hit & (err == 0), "exact"),
+        count(hit & (err <= 1), "near"),
+        count(hit & (gl == pl), "label"),
+        F.sum(F.when(hit, n * err)).alias("e1"),
+        F.sum(F.when(hit, n * err * err)).alias("e2"),
+    ]
+    scores = range(1, 6)
+    for k in scores:
+        of = hit & (F.col("gs") == k)
+        figures += [count(of, f"t{k}"), count(of & (err == 0), f"x{k}"), count(of & (err <= 1), f"w{k}")]
     for s in dims.SENTIMENTS:
-        tp, fp, fn = (F.col(f"{k}_{s}") for k in ("tp", "fp", "fn"))
-        supported = tp + fn > 0
-        f_sum = f_sum + F.when(supported, _prf(tp, fp, fn)[2]).otherwise(0.0)
-        f_n = f_n + F.when(supported, 1).otherwise(0)
-    labels = labels.select("model", f_sum.alias("lf"), f_n.alias("ln"))
+        figures += [
+            count(hit & (gl == s) & (pl == s), f"tp_{s}"),
+            count(hit & (gl != s) & (pl == s), f"fp_{s}"),
+            count(hit & (gl == s) & (pl != s), f"fn_{s}"),
+        ]
+    agg = cells.groupBy("model").agg(*figures)
+
+    def mean_of(parts: list[tuple[Column, Column]]) -> Column:
+        """Mean of the values whose condition holds; 0 when none does."""
+        total, count_ = F.lit(0.0), F.lit(0)
+        for cond, value in parts:
+            total = total + F.when(cond, value).otherwise(0.0)
+            count_ = count_ + F.when(cond, 1).otherwise(0)
+        return ratio(total, count_)
+
+    def balanced(prefix: str) -> Column:
+        return mean_of([(F.col(f"t{k}") > 0, ratio(F.col(f"{prefix}{k}"), F.col(f"t{k}"))) for k in scores])
+
+    def label_f1() -> Column:
+        parts = []
+        for s in dims.SENTIMENTS:
+            tp, fp, fn = (F.col(f"{c}_{s}") for c in ("tp", "fp", "fn"))
+            parts.append((tp + fn > 0, _prf(tp, fp, fn)[2]))
+        return mean_of(parts)
+
     k = F.col("common")
     pct = lambda x: half_even(ratio(x, k) * 100, 2)
-    return (
-        base.join(balanced, "model", "left").join(labels, "model", "left")
-        .withColumn("gold_n", gold_rows.select("gold_n").scalar())
-        .select(
-            "model",
-            k.alias("common_items"),
-            (F.col("gold_n") - k).alias("missing_items"),
-            F.col("extra").alias("extra_items"),
-            pct(F.col("exact")).alias("exact_pct"),
-            pct(F.col("near")).alias("within_1_pct"),
-            F.when(k > 0, half_even(F.col("e1") / k, 4)).alias("mae"),
-            F.when(k > 0, half_even(F.sqrt(F.col("e2") / k), 4)).alias("rmse"),
-            half_even(F.coalesce(ratio(F.col("bx"), F.col("classes")), F.lit(0.0)) * 100, 2).alias("balanced_pct"),
-            half_even(F.coalesce(ratio(F.col("bw"), F.col("classes")), F.lit(0.0)) * 100, 2).alias("within_1_balanced_pct"),
-            pct(F.col("label")).alias("label_accuracy_pct"),
-            half_even(F.coalesce(ratio(F.col("lf"), F.col("ln")), F.lit(0.0)) * 100, 2).alias("label_macro_f1_pct"),
-        )
+    return agg.withColumn("gold_n", gold_rows.select("gold_n").scalar()).select(
+        "model",
+        k.alias("common_items"),
+        (F.col("gold_n") - k).alias("missing_items"),
+        F.col("extra").alias("extra_items"),
+        pct(F.col("exact")).alias("exact_pct"),
+        pct(F.col("near")).alias("within_1_pct"),
+        F.when(k > 0, half_even(F.col("e1") / k, 4)).alias("mae"),
+        F.when(k > 0, half_even(F.sqrt(F.col("e2") / k), 4)).alias("rmse"),
+        half_even(balanced("x") * 100, 2).alias("balanced_pct"),
+        half_even(balanced("w") * 100, 2).alias("within_1_balanced_pct"),
+        pct(F.col("label")).alias("label_accuracy_pct"),
+        half_even(label_f1() * 100, 2).alias("label_macro_f1_pct"),
     )
 
 
