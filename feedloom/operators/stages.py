@@ -3,17 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_local_folder: list[str] = []
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the session's checkpoint folder (shared storage on a cluster) and read it from there.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where that is unset, as in tests, a local one is made.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or the one the context was given.
+
+    Only a session whose driver and executors are one process may do without; a cluster without the setting is refused,
+    because a machine-local folder would lose data there.
     """
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
+    return _local_folder[0]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the session's checkpoint folder and read it from there."""
     sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``checkpointed``, as compressed Parquet: for tables that later steps read by column and more than once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
