@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import sharding, simhash
+from feedloom.llm import decontaminate, mixing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
+    "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_benchmark_templates": decontaminate.op3_benchmark_templates,
+    "op6_quality_grades": quality.op6_quality_grades,
     "op7_simhash_near_duplicates": simhash.op7_simhash_near_duplicates,
 }
 
-CHECKS: dict[str, str] = {"op1_shard_documents": sharding.OP1_SQL}
+CHECKS: dict[str, str] = {"op1_shard_documents": sharding.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL}
