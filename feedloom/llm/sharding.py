@@ -64,8 +64,8 @@ def assign_shards(rows: DataFrame, key: str, size: Column, max_bytes: int) -> Da
     length = min(KEY_BITS, max(4, math.ceil(math.log2(max(1, total / max_bytes))) + 4))
     known, maps, rest = 0, [], full.select("_bits", "_size")
     while True:
-        cells = rest.groupBy(F.substring("_bits", 1, length).alias("_cell"))
-        leaves = checkpointed(_leaves(cells.agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows")), length, known, max_bytes))
+        cells = rest.groupBy(F.substring("_bits", 1, length).alias("_cell")).agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))
+        leaves = checkpointed(_leaves(checkpointed(cells), length, known, max_bytes))
         maps.append((length, leaves.where("_fits").drop("_fits")))
         large = leaves.where("NOT _fits").select("_cell")
         if length >= 2 * KEY_BITS or not large.take(1):
