@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import decontaminate, language, mixing, quality, rules, sharding, simhash
+from feedloom.llm import decontaminate, language, mixing, quality, rules, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_benchmark_templates": decontaminate.op3_benchmark_templates,
     "op4_language": language.op4_language,
+    "op5_resolve_revisits": warc.op5_resolve_revisits,
     "op6_quality_grades": quality.op6_quality_grades,
     "op7_simhash_near_duplicates": simhash.op7_simhash_near_duplicates,
     "op9_outlier_rules": rules.op9_outlier_rules,
 }
 
-CHECKS: dict[str, str] = {"op1_shard_documents": sharding.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL}
+CHECKS: dict[str, str] = {"op1_shard_documents": sharding.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op5_resolve_revisits": warc.OP5_SQL}
