@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import decontaminate, language, mixing, quality, rules, sharding, simhash, warc
+from feedloom.llm import decontaminate, language, mixing, neural, quality, rules, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_resolve_revisits": warc.op5_resolve_revisits,
     "op6_quality_grades": quality.op6_quality_grades,
     "op7_simhash_near_duplicates": simhash.op7_simhash_near_duplicates,
+    "op8_neural_scores": neural.op8_neural_scores,
     "op9_outlier_rules": rules.op9_outlier_rules,
 }
 
