@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import decontaminate, language, mixing, neural, quality, rules, sharding, simhash, warc
+from feedloom.llm import decontaminate, language, mixing, neural, passages, quality, rules, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
+    "op10_shared_passages": passages.op10_shared_passages,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_benchmark_templates": decontaminate.op3_benchmark_templates,
     "op4_language": language.op4_language,
