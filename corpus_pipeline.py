@@ -14,7 +14,7 @@ SHARD_BYTES = 1 << 20
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the rated ones among them."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model).where("_quality.kept").select(*docs.columns)
+    return quality.scored(docs, model).where("_quality.kept").drop("_quality")
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at the rates that rake source, language and topic to their targets."""
-    return mixing.mix(docs).where("_mix.kept").select(*docs.columns)
+    return mixing.mix(docs).where("_mix.kept").drop("_mix")
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.llm.rows import packed, unpacked
 from feedloom.llm.words import windows
 from feedloom.operators.stages import written
 
@@ -188,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", tex
 def clean(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those that contain a benchmark item. Rows with a null id cannot be named and stay."""
     bad = contaminated(docs, benchmark, doc, text).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(doc) == F.col("_bad"), "left_anti")
+    return unpacked(packed(docs, F.col(doc).alias("_key")).join(bad, F.col("_key") == F.col("_bad"), "left_anti"))
 
 
 def op3_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

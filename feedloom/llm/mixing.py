@@ -16,6 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.llm.rows import packed, unpacked
 from feedloom.operators.stages import written
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -85,7 +86,7 @@ def draw(doc: Column, text: Column) -> Column:
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``_mix``: a struct of topic, rate and kept.
+    """``docs`` with ``_mix``: a struct of topic, rate and kept (an input column of that name is replaced).
 
     Null sources and languages are values like any other. Rows that share an id are kept or left out together. A cell
     without tokens keeps the starting rate. An empty table stays empty.
@@ -94,9 +95,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     keys = [F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"), topic(body).alias("topic")]
     cells = docs.select(*keys, n_tokens(body).alias("_n")).groupBy(*DIMENSIONS).agg(F.sum("_n").alias("tokens"))
     rates = rake(cells, targets, budget).select(F.struct(*DIMENSIONS).alias("_cell"), F.col("rate").alias("_rate"))
-    found = docs.withColumn("_key", F.struct(*keys)).join(rates, F.col("_key") == F.col("_cell"), "left")
-    kept = draw(F.col(doc), body) < F.col("_rate")
-    return found.select(*docs.columns, F.struct(F.col("_key.topic").alias("topic"), F.col("_rate").alias("rate"), kept.alias("kept")).alias("_mix"))
+    found = packed(docs.drop("_mix"), F.struct(*keys).alias("_key"), draw(F.col(doc), body).alias("_draw")).join(rates, F.col("_key") == F.col("_cell"), "left")
+    kept = F.col("_draw") < F.col("_rate")
+    return unpacked(found, F.struct(F.col("_key.topic").alias("topic"), F.col("_rate").alias("rate"), kept.alias("kept")).alias("_mix"))
 
 
 def shares(cells: DataFrame) -> DataFrame:

@@ -144,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
     draw = F.pmod(F.xxhash64("_id", F.lit("rated")), F.lit(1 << 20)) / float(1 << 20)
     part = F.coalesce(*[F.when(F.col("_grade") == g, F.lit(min(1.0, per_grade / n))) for g, n in counts.items()])
     sample = grades.withColumn("_part", part).where(draw < F.col("_part"))
-    rows = docs.select(F.col(doc).alias("_id"), F.col(text).cast("string").alias("_text")).join(sample, "_id")
+    rows = docs.select(F.col(doc).alias("_id"), F.col(text).cast("string").alias("_text"))
+    rows = rows.join(F.broadcast(sample), "_id")  # about per_grade rows of each of three grades
     rows = rows.select("_text", "_grade", "_part", "_id")
 
     def run(batches):

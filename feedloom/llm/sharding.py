@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.llm.rows import IN, packed, unpacked
 from feedloom.operators.stages import checkpointed
 
 KEY_BITS = 60
@@ -56,10 +57,9 @@ def assign_shards(rows: DataFrame, key: str, size: Column, max_bytes: int) -> Da
         raise ValueError("max_bytes must be positive")
     out = ["shard", "depth", "shard_bytes", "shard_rows"]
     rows = rows.drop(*out)
-    data = rows.columns
     # xxhash64 of the row number tells repeated rows apart; both are only used where one key exceeds the limit
     own = hash_bits(F.xxhash64(size, F.monotonically_increasing_id()))
-    full = rows.select("*", F.concat(hash_bits(F.col(key)), own).alias("_bits"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"))
+    full = packed(rows, F.concat(hash_bits(F.col(key)), own).alias("_bits"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"))
     total = full.agg(F.sum("_size")).first()[0] or 0
     length = min(KEY_BITS, max(4, math.ceil(math.log2(max(1, total / max_bytes))) + 4))
     known, maps, rest = 0, [], full.select("_bits", "_size")
@@ -77,9 +77,7 @@ def assign_shards(rows: DataFrame, key: str, size: Column, max_bytes: int) -> Da
         leaf = leaves.select(F.col("_cell").alias(f"_cell{n}"), F.struct(*out).alias(f"_leaf{n}"))
         placed = placed.join(leaf, F.substring("_bits", 1, bits) == F.col(f"_cell{n}"), "left")
     leaf = F.coalesce(*[F.col(f"_leaf{n}") for n in range(len(maps))])
-    return placed.select(*[F.col(f"`{c}`") for c in data], leaf.alias("_leaf")).select(
-        *[F.col(f"`{c}`") for c in data], *[F.col(f"_leaf.{c}").alias(c) for c in out]
-    )
+    return unpacked(placed.select(IN, leaf.alias("_leaf")), *[F.col(f"_leaf.{c}").alias(c) for c in out])
 
 
 def directory(placed: DataFrame) -> DataFrame:

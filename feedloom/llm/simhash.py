@@ -14,6 +14,8 @@ Links go to the smallest fingerprint of such a meeting point; components follow
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -23,38 +25,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.components import components
+from feedloom.llm.rows import packed, unpacked
 from feedloom.operators.stages import written
 
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
+BLOCK = 1 << 18  # bytes of a text whose words are held at a time
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shingle_hashes(text: bytes, k: int = SHINGLE) -> list[int]:
-    """XXH64 of all windows of k words, repeats included, of a text with A-Z lowered; of all words if they are fewer."""
-    words = text.lower().split()
-    n = len(words)
-    if n == 0:
-        return []
-    joined = b" ".join(words)
-    if n <= k:
-        return [xxhash.xxh64_intdigest(joined, SEED)]
-    ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
-    starts = [0, *[e + 1 for e in ends[: n - k]]]
+def shingle_hashes(text: bytes, k: int = SHINGLE) -> Iterator[list[int]]:
+    """XXH64 of all windows of k words, repeats included, of a text with A-Z lowered; of all words if they are fewer.
+    The hashes come in blocks, cut between words, so a very long text is never held as words at once."""
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :])]
+    words: list[bytes] = []
+    at, whole = 0, False
+    while at < len(text):
+        cut = _GAP.search(text, at + BLOCK) if at + BLOCK < len(text) else None
+        end = cut.start() if cut else len(text)
+        words += text[at:end].lower().split()
+        at, n = end, len(words)
+        if n < k:
+            continue
+        joined = b" ".join(words)
+        ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
+        starts = [0, *[e + 1 for e in ends[: n - k]]]
+        yield [digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :])]
+        whole, words = True, words[n - k + 1 :]
+    if words and not whole:
+        yield [digest(b" ".join(words), SEED)]
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     """64 bits, of which one is set if over half the shingle hashes have it. Zero for a text without words."""
-    hashes = shingle_hashes((text or "").encode(), k)
-    if not hashes:
-        return 0
-    h = np.array(hashes, dtype=np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
-    votes = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 1 << 15):
-        votes += np.unpackbits(h[i : i + (1 << 15)], axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(votes * 2 > len(h)).tobytes(), "big")
+    votes, count = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes((text or "").encode(), k):
+        h = np.array(hashes, dtype=np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
+        count += len(h)
+        for i in range(0, len(h), 1 << 15):
+            votes += np.unpackbits(h[i : i + (1 << 15)], axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(votes * 2 > count).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -119,10 +130,10 @@ def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     found = near_duplicates(docs, doc, text).where(F.col("doc_id").isNotNull())
     # rows may share an id: then the id's rows may be in several components, and it stays if it is first in one of them
     ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.max(F.col("doc_id") == F.col("component_id")).alias("_keep"))
-    joined = docs.join(ids, F.col(doc) == F.col("_id"), "left").where("_id IS NULL OR _keep")
-    single = joined.where("_n IS NULL OR _n = 1").select(*docs.columns)
-    repeated = joined.where("_n > 1").select(*docs.columns).dropDuplicates([doc])
-    return single.unionByName(repeated)
+    joined = packed(docs, F.col(doc).alias("_key")).join(ids, F.col("_key") == F.col("_id"), "left").where("_id IS NULL OR _keep")
+    single = joined.where("_n IS NULL OR _n = 1")
+    repeated = joined.where("_n > 1").dropDuplicates(["_key"])
+    return unpacked(single.unionByName(repeated))
 
 
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
