@@ -104,6 +104,10 @@ def head_of(counts: DataFrame, classes: int = CLASSES, most: int = HEAD) -> tupl
         table = counts.where(F.col("n") >= least).toArrow()  # at most ``most`` rows
     keys = table["_hash"].to_numpy().astype(np.int64).view(np.uint64)
     n = table["n"].to_numpy().astype(np.int64)
+    if END_HASH not in keys:  # the end always has its class
+        end = counts.where(F.col("_hash") == int(END_HASH.view(np.int64))).first()
+        if end:
+            keys, n = np.append(keys, END_HASH), np.append(n, end["n"])
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
     ranked = [i for i in np.lexsort((keys, -n)) if keys[i] != END_HASH][:classes]

@@ -23,7 +23,8 @@ from feedloom.llm.words import mix, words_of
 BITS = 18
 GRADES = 3
 PER_GRADE = 3000
-KEEP_SHARE = 0.998  # of held-out texts of the top grade, the part that the cut has to keep
+KEEP_SHARE = 0.99  # of held-out texts of the top grade, the part that the cut has to keep
+LEAST_CUT = 0.2  # for few held-out texts
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], dtype=np.uint64)
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>!{}[]=_~^\\/@+")] = True
@@ -171,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
     model = Model(weights.astype(np.float32), thresholds, 0.5)
     score = _sums(weights[index] * np.repeat(value, size), bounds)
     tail = np.sort(_sigmoid(score - thresholds[-1])[held & (grade == GRADES - 1)])
-    cut = min(0.5, float(tail[int((1 - KEEP_SHARE) * len(tail))])) if len(tail) else 0.5
+    cut = float(np.clip(tail[int((1 - KEEP_SHARE) * len(tail))], LEAST_CUT, 0.5)) if len(tail) else 0.5
     return model._replace(cut=cut)
 
 
