@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from feedloom import catalog  # noqa: E402
 from feedloom.session import local_session  # noqa: E402
+from feedloom.views import SPREAD  # noqa: E402
 
 HEADLINE = [
     "dense_topics", "overall_score", "drop_counts", "recalculate", "comment_view", "sort_comments", "topic_change",
@@ -27,6 +28,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set(SPREAD, str(spark.sparkContext.defaultParallelism))  # the text table here is one row group
     chosen = sys.argv[1:] or HEADLINE
     queries = catalog.queries()
     queries["status_summary"](spark, sf_dir).collect()  # start-up is not part of any query

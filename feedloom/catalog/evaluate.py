@@ -240,8 +240,8 @@ def metadata(pred):
     "best_model",
     f"""WITH {LABELS}, {PAIRS}, {metrics_sql('pairs', 'totals')}, {META}, {CONSTANT},
 cm AS (SELECT model, {h("CAST(sum(abs(gs - ps)) AS DOUBLE) / count(*)", 4)} AS mae FROM cpairs GROUP BY model)
-SELECT (SELECT model FROM met ORDER BY mae, exact_pct DESC LIMIT 1) AS best_model,
- (SELECT model FROM meta ORDER BY num_feedbacks / total_time DESC LIMIT 1) AS fastest_model,
+SELECT (SELECT model FROM met ORDER BY mae, exact_pct DESC, model LIMIT 1) AS best_model,
+ (SELECT model FROM meta ORDER BY num_feedbacks / total_time DESC, model LIMIT 1) AS fastest_model,
  (SELECT model FROM cm ORDER BY mae, model LIMIT 1) AS best_baseline,
  (SELECT min(mae) FROM met) < (SELECT min(mae) FROM cm) AS beats_baseline""",
 )

@@ -314,12 +314,14 @@ def extraction_warnings(spark, sf):
 
 @query(
     "scan_detection",
-    f"""WITH p AS (SELECT doc_id, CAST(floor(pos / 3) AS BIGINT) AS page, sum(length({sql_strip('line')})) AS c FROM report_lines GROUP BY ALL)
-SELECT doc_id, CAST(sum(c) AS BIGINT) AS text_chars, count(*) AS pages, sum(c) < floor(50 * greatest(1, count(*)) / 10) AS likely_scan FROM p GROUP BY doc_id""",
+    f"""WITH f AS (SELECT doc_id, 1 + n_chars % 100 AS pages FROM documents),
+c AS (SELECT doc_id, CAST(sum(length({sql_strip('line')})) AS BIGINT) AS c FROM report_lines WHERE doc_id % 50 <> 0 GROUP BY ALL)
+SELECT doc_id, pages, coalesce(c, 0) AS text_chars, coalesce(c, 0) < floor(50 * greatest(1, pages) / 10) AS likely_scan FROM f LEFT JOIN c USING (doc_id)""",
 )
 def scan_detection(spark, sf):
-    b = view(spark, sf, "report_lines").withColumn("page", F.floor(F.col("pos") / 3))
-    return ln.scan_detection(b, ["doc_id"], text="line")
+    """Page counts come from the file; every fiftieth file has no text block at all."""
+    files = table(spark, sf, "documents").selectExpr("doc_id", "1 + n_chars % 100 AS pages")
+    return ln.scan_detection(view(spark, sf, "report_lines").filter("doc_id % 50 <> 0"), files, ["doc_id"], text="line")
 
 
 # --- preparation ---------------------------------------------------------------------------

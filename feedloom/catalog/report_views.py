@@ -192,16 +192,11 @@ def list_reports(spark, sf):
 
 @query(
     "group_history",
-    """WITH n AS (SELECT course, id, created_at, row_number() OVER (PARTITION BY course ORDER BY created_at, id) AS n FROM reports)
-SELECT course, (n - 1) // 1000 AS part, count(*) AS records, string_agg(CAST(id AS STRING), ',' ORDER BY n) AS ids FROM n GROUP BY ALL""",
+    "SELECT course, id, created_at, row_number() OVER (PARTITION BY course ORDER BY created_at, id) AS position FROM reports",
 )
 def group_history(spark, sf):
     h = view(spark, sf, "reports").select("course", "id", "created_at")
-    block = F.date_trunc("day", "created_at")
-    out = rv.group_history(h, "course", ["created_at", "id"], block)
-    return out.select(
-        "course", "part", F.size("records").cast("long").alias("records"), joined(F.col("records.id")).alias("ids")
-    )
+    return rv.group_history(h, "course", ["created_at", "id"], F.date_trunc("day", "created_at"))
 
 
 @query(

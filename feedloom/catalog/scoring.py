@@ -156,26 +156,37 @@ def reply_cache_upsert(spark, sf):
 
 
 # --- scorer and replies --------------------------------------------------------------------
-RULES = [("that", 2, 2, "too_fast"), ("erest", 5, 5, None)]
-WORDS = {"praise": "ción", "doubt": "onst", "error": "menteau"}
+CUES = [(2, ["that", "schaft"], "too_fast"), (5, ["erest"], None)]
+WORDS = {"positive": ["ción", "tion", "lich"], "negative": ["ing", "ieau", "ado"], "unsure": ["onst"], "unreadable": ["menteau"]}
 _T = "lower(text)"
 
 
-def _sql_entry(word, no, score, direction):
+def _sql_any(words):
+    return "(" + " OR ".join(f"contains({_T}, '{w}')" for w in words) + ")"
+
+
+def _sql_count(words):
+    return "(" + " + ".join(f"contains({_T}, '{w}')::INT" for w in words) + ")"
+
+
+SCORE = f"(3 + greatest(-2, least(2, {_sql_count(WORDS['positive'])} - {_sql_count(WORDS['negative'])})))"
+
+
+def _sql_entry(no, words, direction):
     topic = dims.TOPICS[no - 1][1]
     d = f'"{direction}"' if direction else "null"
+    quote = "CASE " + " ".join(f"WHEN contains({_T}, '{w}') THEN '{w}'" for w in words) + " END"
     return (
-        f"""CASE WHEN contains({_T}, '{word}') THEN concat('{{"topic":"{topic}","score":{score},"confidence":', CASE WHEN contains({_T}, '{WORDS["doubt"]}') THEN '0.1' ELSE '0.9' END, """
-        f"""',"evidence_quote":"{word}","reasoning":"keyword","direction":{d}}}') END"""
+        f"""CASE WHEN {_sql_any(words)} THEN concat('{{"topic":"{topic}","score":', {SCORE}, ',"confidence":', CASE WHEN {_sql_any(WORDS["unsure"])} THEN '0.3' ELSE '0.8' END, """
+        f"""',"evidence_quote":"', {quote}, '","reasoning":"cue words","direction":{d}}}') END"""
     )
 
 
 REPLIES = f"""
-replies AS (SELECT course_id, ord, text, question, non_teaching, CASE WHEN contains({_T}, '{WORDS["error"]}') THEN 'no answer' ELSE
-  concat('{{"topics":[', concat_ws(',', {', '.join(_sql_entry(*r) for r in RULES)}), '],"general_sentiment_score":',
-   CASE WHEN NOT contains({_T}, 'that') AND NOT contains({_T}, 'erest') AND contains({_T}, '{WORDS["praise"]}') THEN '5' ELSE 'null' END, '}}') END AS reply_json FROM comments),
-flags AS (SELECT *, CASE WHEN reply_json = 'no answer' THEN 'model_error' ELSE 'classified' END AS status, reply_json <> 'no answer' AND contains({_T}, 'that') AS t2,
-  reply_json <> 'no answer' AND contains({_T}, 'erest') AS t5, contains({_T}, '{WORDS["doubt"]}') AS low, CASE WHEN reply_json LIKE '%score":5}}' THEN 5 END AS general FROM replies),
+flags AS (SELECT *, CASE WHEN bad THEN 'model_error' ELSE 'classified' END AS status, NOT bad AND c2 AS t2, NOT bad AND c5 AS t5, CASE WHEN NOT bad AND NOT c2 AND NOT c5 AND mood <> 3 THEN mood END AS general
+  FROM (SELECT course_id, ord, text, question, non_teaching, {_sql_any(WORDS["unreadable"])} AS bad, {_sql_any(CUES[0][1])} AS c2, {_sql_any(CUES[1][1])} AS c5, {_sql_any(WORDS["unsure"])} AS low, {SCORE} AS mood FROM comments)),
+replies AS (SELECT course_id, ord, CASE WHEN bad THEN 'unreadable' ELSE
+  concat('{{"topics":[', concat_ws(',', {', '.join(_sql_entry(*c) for c in CUES)}), '],"general_sentiment_score":', coalesce(CAST(general AS VARCHAR), 'null'), '}}') END AS reply_json FROM flags),
 assessed AS (SELECT *, t2::INT + t5::INT AS n_topics, CASE WHEN low THEN 0 ELSE t2::INT + t5::INT END AS n_passed FROM flags),
 other AS (SELECT course_id, ord, CASE WHEN non_teaching THEN 'skipped_question' ELSE status END AS classification_status,
   CASE WHEN NOT non_teaching AND status = 'model_error' THEN 'classification_error' ELSE 'not_applicable' END AS scoring_status,
@@ -184,7 +195,7 @@ other AS (SELECT course_id, ord, CASE WHEN non_teaching THEN 'skipped_question'
 
 
 def replies(spark, sf):
-    return scoring.score_comments(view(spark, sf, "comments"), RULES, **WORDS)
+    return scoring.score_comments(view(spark, sf, "comments"), CUES, **WORDS)
 
 
 def assessed(spark, sf):
@@ -226,7 +237,7 @@ SELECT course_id, any_value(input_comments) AS input_comments, any_value(process
 def report_metadata(spark, sf):
     c = view(spark, sf, "comments")
     unique = prepare.dedupe_comments(c, ["course_id"])
-    a = scoring.assess(scoring.parse_replies(scoring.score_comments(unique, RULES, **WORDS)))
+    a = scoring.assess(scoring.parse_replies(scoring.score_comments(unique, CUES, **WORDS)))
     return report.report_metadata(prepare.duplicate_counts(c, ["course_id"], c), a, ["course_id"])
 
 
@@ -256,12 +267,13 @@ def made_replies(spark, sf, entry):
 
 @query(
     "parse_replies",
-    f"""WITH {LISTED} SELECT ord, 'classified' AS status, topic_no, score, CASE WHEN score <= 2 THEN 'negative' WHEN score >= 4 THEN 'positive' ELSE 'neutral' END AS sentiment,
- CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END AS confidence, direction FROM l
+    f"""WITH {LISTED}, h AS (SELECT * REPLACE (CASE WHEN ord % 97 = 0 THEN CAST(5 * sign(score) AS INT) ELSE score END AS score) FROM l) SELECT ord, 'classified' AS status, topic_no, score, CASE WHEN score <= 2 THEN 'negative' WHEN score >= 4 THEN 'positive' ELSE 'neutral' END AS sentiment,
+ CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END AS confidence, direction FROM h
 UNION ALL SELECT -(conv_id * 1000 + turn) - 1, 'model_error', NULL, NULL, NULL, NULL, NULL FROM conversations""",
 )
 def parse_replies(spark, sf):
-    entry = F.to_json(F.struct("topic", F.col("score"), "confidence", "direction"))
+    score = F.when(F.col("ord") % 97 == 0, F.col("score").cast("double") * 1e12).otherwise(F.col("score"))  # beyond any whole number type
+    entry = F.to_json(F.struct("topic", score.alias("score"), "confidence", "direction"))
     p = scoring.parse_replies(made_replies(spark, sf, entry))
     flat = p.select("ord", "status", F.explode_outer("results").alias("r"))
     return flat.select("ord", "status", "r.topic_no", "r.score", "r.sentiment", "r.confidence", "r.direction")
@@ -280,12 +292,12 @@ def parse_topic_replies(spark, sf):
 
 SUPPORT = "CASE l_linenumber WHEN 7 THEN 'false' WHEN 6 THEN '\"No\"' WHEN 5 THEN '\"yes\"' ELSE 'true' END"
 ONE = f"""concat('{{"topic_supported": ', {SUPPORT}, ', "sentiment": "', CASE l_returnflag WHEN 'A' THEN 'Positive' WHEN 'N' THEN 'mixed' ELSE ' negative ' END,
- '", "score": ', CASE WHEN l_linenumber = 3 THEN 'null' ELSE CAST(CAST(l_quantity AS INT) % 8 AS STRING) END, ', "confidence": "', CAST(CAST(l_discount * 100 AS INT) AS STRING), '%"}}')"""
+ '", "score": ', CASE WHEN l_linenumber = 3 THEN 'null' WHEN l_quantity > 48 THEN '1000000000000' WHEN l_quantity > 46 THEN '-1e300' ELSE CAST(CAST(l_quantity AS INT) % 8 AS STRING) END, ', "confidence": "', CAST(CAST(l_discount * 100 AS INT) AS STRING), '%"}}')"""
 
 
 @query(
     "parse_score_reply",
-    """WITH v AS (SELECT l_orderkey AS ord, l_linenumber AS n, l_linenumber NOT IN (6, 7) AS s, CASE WHEN l_linenumber IN (3, 6, 7) THEN NULL ELSE CAST(greatest(1, least(5, CAST(l_quantity AS INT) % 8)) AS INT) END AS score,
+    """WITH v AS (SELECT l_orderkey AS ord, l_linenumber AS n, l_linenumber NOT IN (6, 7) AS s, CASE WHEN l_linenumber IN (3, 6, 7) THEN NULL WHEN l_quantity > 48 THEN 5 WHEN l_quantity > 46 THEN 1 ELSE CAST(greatest(1, least(5, CAST(l_quantity AS INT) % 8)) AS INT) END AS score,
  l_returnflag, CAST(CAST(l_discount * 100 AS INT) AS DOUBLE) / 100 AS confidence FROM lineitem)
 SELECT ord, n, s AS topic_supported, score, CASE WHEN NOT s THEN NULL WHEN score <= 2 THEN 'negative' WHEN score >= 4 THEN 'positive' WHEN score = 3 THEN 'neutral'
  WHEN l_returnflag = 'A' THEN 'positive' WHEN l_returnflag = 'N' THEN 'neutral' ELSE 'negative' END AS sentiment, confidence, 'scored' AS scoring_status FROM v""",
@@ -363,12 +375,12 @@ def evidence_terms(spark, sf):
 
 
 RAW_REPLY = """CASE l_linenumber WHEN 1 THEN 'none' WHEN 2 THEN '{"sentiment": "positive", "score": 4}' WHEN 3 THEN '{"sentiment": "Great", "score": "x", "reasoning": "r"}'
- ELSE concat('ok {"sentiment": "', CASE l_returnflag WHEN 'A' THEN 'POSITIVE' ELSE 'negative' END, '", "score": ', CAST(CAST(l_quantity AS INT) % 8 AS STRING), ', "reasoning": "why ', l_returnflag, '"}') END"""
+ ELSE concat('ok {"sentiment": "', CASE l_returnflag WHEN 'A' THEN 'POSITIVE' ELSE 'negative' END, '", "score": ', CASE WHEN l_quantity > 48 THEN '1000000000000' WHEN l_quantity > 46 THEN '{"deep": [[[]]]}' ELSE CAST(CAST(l_quantity AS INT) % 8 AS STRING) END, ', "reasoning": "why ', l_returnflag, '"}') END"""
 
 
 @query(
     "validate_reply",
-    """WITH v AS (SELECT l_orderkey AS ord, l_linenumber AS n, l_returnflag AS f, CAST(CAST(l_quantity AS INT) % 8 AS INT) AS s FROM lineitem)
+    """WITH v AS (SELECT l_orderkey AS ord, l_linenumber AS n, l_returnflag AS f, CASE WHEN l_quantity > 46 THEN 9 ELSE CAST(CAST(l_quantity AS INT) % 8 AS INT) END AS s FROM lineitem)
 SELECT ord, n, CASE WHEN n <= 3 THEN 'neutral' WHEN f = 'A' THEN 'positive' ELSE 'negative' END AS sentiment, CASE WHEN n <= 3 OR s < 1 OR s > 5 THEN 3 ELSE s END AS score,
  CASE WHEN n <= 2 THEN 'Failed to parse response' WHEN n = 3 THEN 'r' ELSE concat('why ', f) END AS reasoning FROM v""",
 )

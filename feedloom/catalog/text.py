@@ -231,13 +231,13 @@ SCORE_TEXT = """CASE l_linenumber WHEN 1 THEN concat('score: ', CAST(CAST(l_quan
 
 @query(
     "parse_score",
-    f"""WITH v AS (SELECT l_orderkey AS ord, {SCORE_TEXT} AS x, l_quantity FROM lineitem), t AS (SELECT *, lower(trim(x)) AS t FROM v)
+    f"""WITH v AS (SELECT l_orderkey AS ord, {SCORE_TEXT} AS x, l_quantity, l_linenumber FROM lineitem), t AS (SELECT *, lower(trim(x)) AS t FROM v)
 SELECT ord, x, CASE WHEN t IN ('', 'null', 'none', 'n/a', 'na') THEN NULL ELSE TRY_CAST(nullif(regexp_extract(t, '\\b[1-5]\\b'), '') AS INT) END AS from_text,
- CAST(least(greatest(CAST(l_quantity AS INT), 1), 5) AS INT) AS from_number FROM t""",
+ CAST(least(greatest(l_quantity * CASE l_linenumber WHEN 7 THEN 1e12 WHEN 6 THEN -1e300 ELSE 1 END, 1), 5) AS INT) AS from_number FROM t""",
 )
 def parse_score(spark, sf):
-    v = table(spark, sf, "lineitem").selectExpr("l_orderkey AS ord", f"{SCORE_TEXT} AS x", "l_quantity")
-    return v.select("ord", "x", tx.parse_score(F.col("x")).alias("from_text"), tx.parse_score_number(F.col("l_quantity")).alias("from_number"))
+    v = table(spark, sf, "lineitem").selectExpr("l_orderkey AS ord", f"{SCORE_TEXT} AS x", "l_quantity * CASE l_linenumber WHEN 7 THEN 1e12 WHEN 6 THEN -1e300 ELSE 1 END AS q")
+    return v.select("ord", "x", tx.parse_score(F.col("x")).alias("from_text"), tx.parse_score_number(F.col("q")).alias("from_number"))
 
 
 CONF_TEXT = """CASE l_linenumber WHEN 1 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), '%') WHEN 2 THEN concat('0.', CAST(CAST(l_quantity AS INT) AS STRING))
@@ -271,13 +271,13 @@ def truthy_label(spark, sf):
 
 
 NUM_TEXT = """CASE l_linenumber WHEN 1 THEN CAST(CAST(l_quantity AS INT) % 8 AS STRING) WHEN 2 THEN concat('-', CAST(CAST(l_quantity AS INT) % 8 AS STRING)) WHEN 3 THEN '4.0'
- WHEN 4 THEN 'good' WHEN 5 THEN ' 3 ' WHEN 6 THEN '2.5' ELSE NULL END"""
+ WHEN 4 THEN 'good' WHEN 5 THEN ' 3 ' WHEN 6 THEN '2.5' ELSE CASE CAST(l_quantity AS INT) % 5 WHEN 0 THEN '1000000000000' WHEN 1 THEN '-1e300' WHEN 2 THEN 'NaN' WHEN 3 THEN 'Infinity' END END"""
 
 
 @query(
     "clamp_score_default",
     f"""WITH v AS (SELECT l_orderkey AS ord, {NUM_TEXT} AS x FROM lineitem) SELECT ord, x,
- CASE WHEN regexp_full_match(trim(x), '[+-]?\\d+') THEN CAST(least(greatest(TRY_CAST(trim(x) AS INT), 1), 5) AS INT) ELSE 3 END AS y FROM v""",
+ CASE WHEN regexp_full_match(trim(x), '[+-]?\\d+') THEN CAST(least(greatest(TRY_CAST(trim(x) AS HUGEINT), 1), 5) AS INT) ELSE 3 END AS y FROM v""",
 )
 def clamp_score_default(spark, sf):
     v = table(spark, sf, "lineitem").selectExpr("l_orderkey AS ord", f"{NUM_TEXT} AS x")
@@ -287,7 +287,7 @@ def clamp_score_default(spark, sf):
 @query(
     "integer_score_only",
     f"""WITH v AS (SELECT l_orderkey AS ord, {NUM_TEXT} AS x FROM lineitem), n AS (SELECT *, TRY_CAST(nullif(trim(x), '') AS DOUBLE) AS d FROM v)
-SELECT ord, x, CASE WHEN d = floor(d) THEN CAST(d AS INT) END AS y FROM n""",
+SELECT ord, x, CASE WHEN isfinite(d) AND d = floor(d) THEN TRY_CAST(d AS INT) END AS y FROM n""",
 )
 def integer_score_only(spark, sf):
     v = table(spark, sf, "lineitem").selectExpr("l_orderkey AS ord", f"{NUM_TEXT} AS x")
@@ -360,10 +360,10 @@ def is_no_answer(spark, sf):
 def sql_noise(x: str) -> str:
     t = f"lower({sql_strip(x)})"
     phrases, patterns = tx.PHRASE_PATTERN.replace("'", "''"), tx.NOISE_PATTERN.replace("'", "''")
-    rest = rr(t, f"{dims.NOISE_SCALE_WORDS}|{WS}|/", "")
+    scale = "|".join([*dims.NOISE_SCALE_WORDS, WS, "/"])
     return (
         f"({t} = '' OR {t} = 'nan' OR {sql_squish(t)} IN ({sql_text_list(dims.NOISE_WORDS)}) OR regexp_matches({t}, '{phrases}') "
-        f"OR regexp_matches({t}, '{patterns}') OR {rest} = '')"
+        f"OR regexp_matches({t}, '{patterns}') OR regexp_matches({t}, '^(?:{scale})+$'))"
     )
 
 

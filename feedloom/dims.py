@@ -135,10 +135,11 @@ NOISE_PATTERNS = [
     r"^(for )?additional information\.?$",
 ]
 # A text made only of these words, blanks and slashes is a printed scale, not an answer.
-NOISE_SCALE_WORDS = (
-    "high|low|excellent|very good|good|fair|poor|outstanding|satisfactory|unsatisfactory|needs improvement|too much|"
-    "too little|about right|neutral|strongly agree|agree|disagree|strongly disagree|n/a|na|dna|m|sd|n"
-)
+NOISE_SCALE_WORDS = [
+    "high", "low", "excellent", "very good", "good", "fair", "poor", "outstanding", "satisfactory", "unsatisfactory",
+    "needs improvement", "too much", "too little", "about right", "neutral", "strongly agree", "agree", "disagree",
+    "strongly disagree", "n/a", "na", "dna", "m", "sd", "n",
+]
 NO_ANSWER = [
     "n/a", "na", "none", "nope", "no", "nothing", "no comment", "no comments", "nothing else", "not applicable",
     "nothing to add", "no thanks", "nah", "", "-", "idk", "no response",

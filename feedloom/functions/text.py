@@ -235,9 +235,10 @@ def parse_score(value: Column) -> Column:
 
 
 def parse_score_number(value: Column) -> Column:
-    """A number (not text) to a whole score: decimals cut off, clamped to 1-5."""
-    whole = value.cast("double").cast("int")
-    return F.when(whole.isNotNull(), F.least(F.greatest(whole, F.lit(1)), F.lit(5)))
+    """A number (not text) to a whole score: decimals cut off, clamped to 1-5 before the cast, so no number is too large.
+    NaN and null are no score."""
+    x = value.cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(x, F.lit(1.0)), F.lit(5.0)).cast("int"))
 
 
 def parse_confidence(value: Column) -> Column:
@@ -272,9 +273,9 @@ def clamp_score_default(value: Column, default: int = 3) -> Column:
 
 
 def integer_score_only(value: Column) -> Column:
-    """Only whole numbers count as scores; the empty string of a written report is null."""
+    """Only whole numbers count as scores; the empty string of a written report is null, and so is a number beyond an int."""
     x = F.nullif(strip_space(value), F.lit("")).try_cast("double")
-    return F.when(x == F.floor(x), x.cast("int"))
+    return F.when(x % 1 == 0, x.try_cast("int"))
 
 
 def round_half_even(score: Column) -> Column:
@@ -289,13 +290,16 @@ def is_no_answer(text: Column) -> Column:
 
 PHRASE_PATTERN = "|".join(re.escape(p).replace("\\ ", " ") for p in dims.NOISE_PHRASES)
 NOISE_PATTERN = "|".join(f"(?:{p})" for p in dims.NOISE_PATTERNS)
+# Words of a printed scale are taken out one after the other: a repeated group over a long line would exhaust Java's stack.
+# "n/a" and "na" are passed over where they begin "n/agree" or "n about right", so that the rest can still be read as words.
+SCALE_PATTERN = "|".join([w + "(?!gree|bout right)" if w in ("n/a", "na") else w for w in dims.NOISE_SCALE_WORDS] + [WS, "/"])
 
 
 def is_noise(text: Column) -> Column:
     """Headers, scale legends, page numbers and rating rows. One alternation per rule family, all in the JVM."""
 
     def noise(t: Column) -> Column:
-        left_over = F.regexp_replace(t, f"{dims.NOISE_SCALE_WORDS}|{WS}|/", "")
+        left_over = F.regexp_replace(t, SCALE_PATTERN, "")
         return (
             (t == "")
             | (t == "nan")

@@ -232,8 +232,9 @@ def extraction_warnings(counts: DataFrame) -> DataFrame:
     return counts.withColumn("warnings", F.filter(warnings, lambda w: w.isNotNull()))
 
 
-def scan_detection(blocks: DataFrame, keys: Sequence[str], page: str = "page", text: str = "text") -> DataFrame:
-    """Files with almost no text per page are likely scans."""
-    per_page = blocks.groupBy(*keys, page).agg(F.sum(F.length(tx.strip_space(F.col(text)))).alias("c"))
-    agg = per_page.groupBy(*keys).agg(F.sum("c").alias("text_chars"), F.count("*").alias("pages"))
+def scan_detection(blocks: DataFrame, files: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """Files with almost no text per page are likely scans. ``files`` has the ``pages`` of every file, also of those
+    without any text block."""
+    chars = blocks.groupBy(*keys).agg(F.sum(F.length(tx.strip_space(F.col(text)))).alias("c"))
+    agg = files.select(*keys, "pages").join(chars, list(keys), "left").withColumn("text_chars", F.coalesce("c", F.lit(0).cast("long"))).drop("c")
     return agg.withColumn("likely_scan", F.col("text_chars") < F.floor(50 * F.greatest(F.lit(1), F.col("pages")) / 10))

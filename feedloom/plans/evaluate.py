@@ -297,11 +297,11 @@ def pairwise_agreement(predicted: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def best_model(models: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Lowest error (ties by exact share), fastest, and whether the best beats the best constant guess."""
+    """Lowest error (ties by exact share), fastest (ties: the first by name), and whether the best beats the best constant guess."""
     m = models.agg(
         F.min_by("model", F.struct("mae", -F.col("exact_pct"), "model")).alias("best_model"),
         F.min("mae").alias("best_mae"),
-        F.max_by("model", F.struct("speed", "model")).alias("fastest_model"),
+        F.min_by("model", F.struct(-F.col("speed"), F.col("model"))).alias("fastest_model"),
     )
     b = baselines.agg(
         F.struct(F.min_by("model", F.struct("mae", "model")).alias("model"), F.min("mae").alias("mae")).alias("b")

@@ -267,16 +267,9 @@ def list_reports(reports: DataFrame, uploads: DataFrame, owner_id: int | None =
     return mine.join(names, "upload_id", "left").orderBy("owner_id", F.desc("created_at"), "id")
 
 
-def group_history(history: DataFrame, group: str, order: Sequence[str], block: Column, part_rows: int = 1000) -> DataFrame:
-    """Records listed per group. A group is cut into parts of ``part_rows``, so no list grows without bound."""
-    numbered = row_numbers(history, [group], list(order), block, "_n")
-    fields = [c for c in history.columns if c != group]
-    return (
-        numbered.withColumn("part", F.floor((F.col("_n") - 1) / part_rows).cast("long"))
-        .groupBy(group, "part")
-        .agg(F.sort_array(F.collect_list(F.struct("_n", *fields))).alias("_e"))
-        .select(group, "part", F.transform("_e", lambda e: F.struct(*[e[f].alias(f) for f in fields])).alias("records"))
-    )
+def group_history(history: DataFrame, group: str, order: Sequence[str], block: Column) -> DataFrame:
+    """Records with their 1-based position in their group: one row per record at any size of a group."""
+    return row_numbers(history, [group], list(order), block, "position")
 
 
 def scored_topic_count(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -126,18 +126,17 @@ def view_sql(name: str, engine: str) -> str:
     return (body[engine] if isinstance(body, dict) else body).strip()
 
 
-# Text work is heavy per byte. A text table small enough to sit in one or two row groups is spread over the cores by
-# its key; a large one already has a scan task per split and is read as it is.
+# A caller whose text file has fewer row groups than the machine has cores may ask for its rows to be dealt out by key
+# (the benchmark does; its file has one). Unless asked for, tables are read as they are, at any size.
 TEXT_TABLES = {"documents": "doc_id"}
-SPREAD_BELOW_BYTES = 256 * 1024 * 1024
+SPREAD = "spark.feedloom.spreadTexts"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXT_TABLES and not df.isStreaming:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        if size < SPREAD_BELOW_BYTES:
-            return df.repartition(spark.sparkContext.defaultParallelism, TEXT_TABLES[name])
+    tasks = spark.conf.get(SPREAD, None)
+    if tasks and name in TEXT_TABLES:
+        return df.repartition(int(tasks), TEXT_TABLES[name])
     return df
 
 
