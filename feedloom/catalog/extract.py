@@ -181,31 +181,35 @@ def percent_rows(spark, sf):
 
 
 # --- lines ---------------------------------------------------------------------------------
+# Two columns of cells: odd lines stand in the second column, two lines share a row.
+PLACED = "doc_id, CAST(floor(pos / 20) * 2 + pos % 2 AS BIGINT) AS row_no, CAST(floor(pos / 10) % 2 AS BIGINT) AS col, pos"
 LNS = f"""{LINES_SQL},
-cl AS (SELECT doc_id, pos, pos % 2 AS col, {sql_clean('x')} AS text FROM lines),
-lns AS (SELECT doc_id, pos, col, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, {sql_noise('text')} AS noise, {sql_question('text')} AS quest,
-  regexp_matches(text, '(?i){dims.RATING_SECTION}') AS rating, regexp_matches(text, '^\\p{{Ll}}') AS low FROM cl WHERE text <> '')"""
+cl AS (SELECT {PLACED}, {sql_clean('x')} AS text FROM lines),
+ln0 AS (SELECT *, {sql_noise('text')} AS noise, {sql_question('text')} AS quest,
+  regexp_matches(text, '(?i){dims.RATING_SECTION}') AS rating, regexp_matches(text, '^\\p{{Ll}}') AS low FROM cl WHERE text <> ''),
+lns AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM ln0),
+cells AS (SELECT *, row_number() OVER (PARTITION BY doc_id, col ORDER BY row_no) AS n FROM ln0)"""
 
 
 def clean_lines(spark, sf):
-    """Cleaned lines; the parity of the position stands for the column."""
-    l = lines(spark, sf).select("doc_id", "pos", (F.col("pos") % 2).alias("col"), F.col("x").alias("text"))
+    """Cleaned lines with their position, and their row and column as cells."""
+    l = lines(spark, sf).selectExpr(*[c.strip() for c in PLACED.split(", ")], "x AS text")
     return tx.with_once(l, "text", tx.clean_text(F.col("text"))).filter(F.col("text") != "")
 
 
 SEG = f"""{LNS},
-seg AS (SELECT doc_id, n, pos AS bpos, text AS acc FROM lns WHERE n = 1
- UNION ALL SELECT doc_id, n, CASE WHEN cont THEN bpos ELSE pos END, CASE WHEN cont THEN concat(acc, ' ', text) ELSE text END
- FROM (SELECT l.doc_id, l.n, l.pos, l.text, s.bpos, s.acc, NOT noise AND NOT quest AND NOT rating AND NOT {sql_noise('s.acc')} AND NOT {sql_question('s.acc')}
-   AND (low OR NOT regexp_matches(s.acc, '{SENTENCE_END}')) AS cont FROM seg s JOIN lns l ON l.doc_id = s.doc_id AND l.n = s.n + 1)),
-blocks AS (SELECT doc_id, bpos AS pos, arg_max(acc, n) AS text FROM seg GROUP BY doc_id, bpos)"""
+seg AS (SELECT doc_id, col, n, row_no AS bpos, text AS acc FROM cells WHERE n = 1
+ UNION ALL SELECT doc_id, col, n, CASE WHEN cont THEN bpos ELSE row_no END, CASE WHEN cont THEN concat(acc, ' ', text) ELSE text END
+ FROM (SELECT l.doc_id, l.col, l.n, l.row_no, l.text, s.bpos, s.acc, NOT noise AND NOT quest AND NOT rating AND NOT {sql_noise('s.acc')} AND NOT {sql_question('s.acc')}
+   AND (low OR NOT regexp_matches(s.acc, '{SENTENCE_END}')) AS cont FROM seg s JOIN cells l ON l.doc_id = s.doc_id AND l.col = s.col AND l.n = s.n + 1)),
+blocks AS (SELECT doc_id, col, bpos AS pos, arg_max(acc, n) AS text FROM seg GROUP BY doc_id, col, bpos)"""
 
 
 def blocks(spark, sf):
-    return ln.segment_lines(clean_lines(spark, sf).drop("col"), ["doc_id"])
+    return ln.segment_lines(clean_lines(spark, sf).drop("pos").withColumnRenamed("row_no", "pos"))
 
 
-@query("segment_lines", f"WITH RECURSIVE {SEG} SELECT doc_id, pos, text FROM blocks")
+@query("segment_lines", f"WITH RECURSIVE {SEG} SELECT doc_id, col, pos, text FROM blocks")
 def segment_lines(spark, sf):
     return blocks(spark, sf)
 
@@ -220,7 +224,7 @@ def segment_lines(spark, sf):
 SELECT doc_id, bpos AS pos, any_value(bcol) AS col, arg_max(acc, n) AS text FROM seg GROUP BY doc_id, bpos""",
 )
 def merge_paragraphs(spark, sf):
-    return ln.merge_paragraphs(clean_lines(spark, sf), ["doc_id"])
+    return ln.merge_paragraphs(clean_lines(spark, sf).drop("row_no"), ["doc_id"])
 
 
 BLOCK = "concat('Comments', chr(10), 'What helped?', chr(10), text)"
@@ -242,14 +246,17 @@ def column_bucket(spark, sf):
 
 
 ASSIGN = f"""{SEG},
-k0 AS (SELECT doc_id, pos, text AS t0, regexp_replace(text, '(?i)^comments{WS}*:?{WS}*-?{WS}+', '') AS bare FROM blocks),
-k1 AS (SELECT doc_id, pos, CASE WHEN bare <> t0 AND len(list_filter(regexp_split_to_array(bare, '{WS}+'), lambda w: w <> '')) >= 2 THEN bare ELSE t0 END AS text FROM k0),
+k0 AS (SELECT doc_id, col, pos, text AS t0, regexp_replace(text, '(?i)^comments{WS}*:?{WS}*-?{WS}+', '') AS bare FROM blocks),
+k1 AS (SELECT doc_id, col, pos, CASE WHEN bare <> t0 AND len(list_filter(regexp_split_to_array(bare, '{WS}+'), lambda w: w <> '')) >= 2 THEN bare ELSE t0 END AS text FROM k0),
 k2 AS (SELECT *, CASE WHEN regexp_matches(text, '(?i){dims.RATING_SECTION}') AND length(text) < 120 THEN 'rating' WHEN {sql_question('text')} THEN 'question'
   WHEN regexp_matches({sql_strip('text')}, '{tx.NUMBERED}') THEN 'item' ELSE 'text' END AS kind FROM k1),
-k3 AS (SELECT *, last_value(CASE kind WHEN 'question' THEN {rr('text', '[ -]+$', '')} WHEN 'rating' THEN '' WHEN 'item' THEN '' END IGNORE NULLS) OVER w AS q,
-  last_value(CASE kind WHEN 'rating' THEN true WHEN 'question' THEN false END IGNORE NULLS) OVER w AS sec FROM k2
-  WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-assigned AS (SELECT doc_id, pos, text, nullif(q, '') AS question FROM k3 WHERE kind = 'text'
+own AS (SELECT *, CASE kind WHEN 'question' THEN {rr('text', '[ -]+$', '')} WHEN 'item' THEN text END AS own FROM k2),
+nums AS (SELECT *, nullif(regexp_extract(own, '^(\\d+)\\.\\s', 1), '') AS num, CASE WHEN kind = 'question' THEN nullif(regexp_extract(own, '(?i)answer to question (\\d+)', 1), '') END AS wanted FROM own),
+aims AS (SELECT a.doc_id, a.pos, a.col, arg_max(b.own, b.pos * 10 + b.col) AS target FROM nums a JOIN nums b ON a.doc_id = b.doc_id AND a.wanted = b.num AND (b.pos, b.col) <= (a.pos, a.col) GROUP BY ALL),
+k3 AS (SELECT *, last_value(CASE kind WHEN 'question' THEN own || coalesce(' (Question ' || target || ')', '') WHEN 'rating' THEN '' WHEN 'item' THEN '' END IGNORE NULLS) OVER w AS q,
+  last_value(CASE kind WHEN 'rating' THEN true WHEN 'question' THEN false END IGNORE NULLS) OVER w AS sec FROM nums LEFT JOIN aims USING (doc_id, pos, col)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos, col ROWS UNBOUNDED PRECEDING)),
+assigned AS (SELECT doc_id, col, pos, text, nullif(q, '') AS question FROM k3 WHERE kind = 'text'
   AND NOT (coalesce(sec, false) AND len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')) < 15))"""
 
 
@@ -257,12 +264,12 @@ def assigned(spark, sf):
     return ln.assign_question(blocks(spark, sf), ["doc_id"])
 
 
-@query("assign_question", f"WITH RECURSIVE {ASSIGN} SELECT doc_id, pos, text, question FROM assigned")
+@query("assign_question", f"WITH RECURSIVE {ASSIGN} SELECT doc_id, col, pos, text, question FROM assigned")
 def assign_question(spark, sf):
     return assigned(spark, sf)
 
 
-@query("keep_response", f"WITH RECURSIVE {ASSIGN} SELECT doc_id, pos, text, question FROM assigned WHERE {sql_keep('text')}")
+@query("keep_response", f"WITH RECURSIVE {ASSIGN} SELECT doc_id, col, pos, text, question FROM assigned WHERE {sql_keep('text')}")
 def keep_response(spark, sf):
     return ln.keep_response(assigned(spark, sf))
 
@@ -272,13 +279,13 @@ def with_source(spark, sf):
     return ln.keep_response(assigned(spark, sf)).join(d, "doc_id")
 
 
-DEDUPED = f"""{ASSIGN}, dr AS (SELECT source AS file, doc_id, pos, a.text, question FROM assigned a JOIN documents d USING (doc_id) WHERE {sql_keep('a.text')}
-  QUALIFY row_number() OVER (PARTITION BY source, question, a.text ORDER BY doc_id, pos) = 1)"""
+DEDUPED = f"""{ASSIGN}, dr AS (SELECT source AS file, doc_id, col, pos, a.text, question FROM assigned a JOIN documents d USING (doc_id) WHERE {sql_keep('a.text')}
+  QUALIFY row_number() OVER (PARTITION BY source, question, a.text ORDER BY doc_id, pos, col) = 1)"""
 
 
-@query("dedupe_responses", f"WITH RECURSIVE {DEDUPED} SELECT file, doc_id, pos, text, question FROM dr")
+@query("dedupe_responses", f"WITH RECURSIVE {DEDUPED} SELECT file, doc_id, col, pos, text, question FROM dr")
 def dedupe_responses(spark, sf):
-    return ln.dedupe_responses(with_source(spark, sf), ["file"], ["doc_id", "pos"])
+    return ln.dedupe_responses(with_source(spark, sf), ["file"], ["doc_id", "pos", "col"])
 
 
 @query(

@@ -81,6 +81,9 @@ def overall_score(spark, sf):
     return report.overall_score(gated_rows(spark, sf), KEYS)
 
 
+# Overall scores over the topics that count.
+OVERALL = f"""ot AS (SELECT {K}, feedback, avg(score) AS m FROM ok WHERE score IS NOT NULL AND topic_no <> 13 GROUP BY ALL),
+os AS (SELECT {K}, {sql_exact_mean('m')} AS x FROM ot GROUP BY ALL), ov AS (SELECT {K}, {sql_round2('x')} AS overall_score FROM os)"""
 DENSE = f"""f AS ({FACTS} FROM ok GROUP BY ALL), r AS (SELECT DISTINCT {K} FROM ok),
 dense AS (SELECT r.course_no, r.term_year, r.season, t.topic_no, t.topic, coalesce(n, 0) AS n, coalesce(scored, 0) AS scored,
   mean, coalesce(errors, 0) AS errors, coalesce(low, 0) AS low, coalesce(unscored, 0) AS unscored,

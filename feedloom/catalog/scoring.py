@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedloom import dims
 from feedloom.catalog.base import query
 from feedloom.catalog.extract import items
-from feedloom.catalog.reports import load
+from feedloom.catalog.reports import GATED, K, OVERALL, load
 from feedloom.catalog.text import docs, dd, sql_key, sql_truncate
 from feedloom.functions import text as tx
 from feedloom.functions.numbers import sql_exact_mean, sql_half_even, sql_round2
@@ -397,7 +397,18 @@ def noise_classifier(spark, sf):
     return noise_model.keep(model, table(spark, sf, "documents"), "doc_id").select("doc_id", "keep")
 
 
-@query("nested_report")
+@query(
+    "nested_report",
+    f"""WITH {GATED}, {OVERALL}, n AS (SELECT {K}, row_number() OVER (PARTITION BY {K} ORDER BY ord) AS n FROM ok)
+SELECT {K}, 0::BIGINT AS chunk, 13 AS topics, 0 AS comments, overall_score, count(*) AS processed FROM ok LEFT JOIN ov USING ({K}) GROUP BY ALL
+UNION ALL SELECT {K}, (n - 1) // {report.COMMENT_CHUNK} + 1, 0, CAST(count(*) AS INT), NULL, NULL FROM n GROUP BY ALL""",
+)
 def nested_report(spark, sf):
+    """The documents, opened again: figures once per report, comments in chunks."""
     a, t = load(spark, sf)
-    return report.nested_report(report.passed(a, t), t, KEYS)
+    v = F.parse_json("report_json")
+    size = lambda f: F.coalesce(F.size(F.try_variant_get(v, f"$.{f}", "array<variant>")), F.lit(0))
+    return report.nested_report(report.passed(a, t), t, KEYS).select(
+        *KEYS, "chunk", size("categories").alias("topics"), size("comments").alias("comments"),
+        F.try_variant_get(v, "$.overall_score", "double").alias("overall_score"), F.try_variant_get(v, "$.metadata.processed_comments", "bigint").alias("processed"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feedloom import dims
 from feedloom.catalog.base import query
-from feedloom.catalog.reports import DENSE, GATED, K, RELIABILITY, gated_rows, load
+from feedloom.catalog.reports import DENSE, GATED, K, OVERALL, RELIABILITY, gated_rows, load
 from feedloom.catalog.text import sql_strip, sql_ws
 from feedloom.functions.numbers import sql_round2
 from feedloom.plans import report
@@ -50,7 +50,9 @@ SELECT doc_id, feedback, array_to_string(CASE WHEN len(l) = 0 THEN [13] WHEN len
 )
 def src_topic_labels(spark, sf):
     wide = table(spark, sf, "documents").selectExpr("doc_id", "text AS Feedback", *[f"{_mark(no)} AS `{name}`" for no, name, _, _ in dims.TOPICS])
-    out = files.topic_labels(wide)
+    path = files.scratch(spark, "topic-labels")
+    files.write_csv(wide, path)
+    out = files.topic_labels(files.read_csv_survey(spark, path)).withColumn("doc_id", F.col("doc_id").cast("bigint")).drop("file")
     return out.withColumn("topic_nos", F.array_join(F.transform("topic_nos", lambda x: x.cast("string")), ","))
 
 
@@ -67,7 +69,9 @@ SELECT ord, trim(v.Feedback) AS feedback, topic_no, CASE WHEN lower(trim(Sentime
 )
 def src_score_labels(spark, sf):
     t = dims.topics(spark)
-    return files.score_labels(spark.sql(LABEL_ROWS, lineitem=table(spark, sf, "lineitem"), topics=t), t)
+    path = files.scratch(spark, "score-labels")
+    files.write_csv(spark.sql(LABEL_ROWS, lineitem=table(spark, sf, "lineitem"), topics=t), path)
+    return files.score_labels(files.read_csv_survey(spark, path), t).withColumn("ord", F.col("ord").cast("bigint")).drop("file")
 
 
 def documents_of(spark, sf):
@@ -101,10 +105,10 @@ def sink_report_json(spark, sf):
 
 @query("src_prediction_json", "SELECT CAST(course_no AS STRING) AS model, topic, feedback AS text, coalesce(score, 3) AS score FROM assignments JOIN topics USING (topic_no)")
 def src_prediction_json(spark, sf):
-    """Prediction files of at most a thousand rows each."""
+    """Prediction files, the rows of a model dealt over some by key."""
     path = files.scratch(spark, "predictions")
     a, t = load(spark, sf)
-    rows = a.join(F.broadcast(t.select("topic_no", "topic")), "topic_no").withColumn("part", F.floor(F.monotonically_increasing_id() / 1000))
+    rows = a.join(F.broadcast(t.select("topic_no", "topic")), "topic_no").withColumn("part", F.pmod(F.xxhash64("ord"), F.lit(64)))
     item = F.struct(F.col("feedback").alias("text"), F.col("score"))
     per_topic = rows.groupBy("course_no", "part", "topic").agg(F.collect_list(item).alias("feedback_with_sentiment"))
     out = per_topic.groupBy("course_no", "part").agg(F.collect_list(F.struct("topic", "feedback_with_sentiment")).alias("topics"))
@@ -119,16 +123,19 @@ cn AS (SELECT *, row_number() OVER (PARTITION BY {K}, topic_no ORDER BY ord, sco
 
 @query(
     "sink_report_csv",
-    f"""WITH {COMBINED} SELECT c.course_no, c.term_year, c.season, c.topic_no, CAST(NULL AS DOUBLE) AS overall_score, average_score, scored_comment_count, reliability, coalesce(feedback, '') AS feedback,
+    f"""WITH {COMBINED}, {OVERALL} SELECT c.course_no, c.term_year, c.season, c.topic_no, overall_score, average_score, scored_comment_count, reliability, coalesce(feedback, '') AS feedback,
  coalesce(CAST(score AS STRING), '') AS score, coalesce(CAST(confidence AS STRING), '') AS confidence, coalesce(scoring_status, '') AS scoring_status, CASE WHEN n IS NULL OR n = 1 THEN summary ELSE '' END AS summary
-FROM cf c LEFT JOIN cn n ON n.course_no = c.course_no AND n.term_year = c.term_year AND n.season = c.season AND n.topic_no = c.topic_no""",
+FROM cf c LEFT JOIN ov USING (course_no, term_year, season) LEFT JOIN cn n ON n.course_no = c.course_no AND n.term_year = c.term_year AND n.season = c.season AND n.topic_no = c.topic_no""",
 )
 def sink_report_csv(spark, sf):
     a, t = load(spark, sf)
     ok = report.passed(a, t)
-    figures = report.topic_report_of(ok, t, KEYS).withColumn("overall_score", F.lit(None).cast("double"))
+    overall = report.overall_score(ok.filter(F.col("topic_no") != dims.OTHER_NO), KEYS).drop("scored_comments")
+    figures = report.topic_report_of(ok, t, KEYS).join(overall, KEYS, "left")
     figures = figures.withColumn("summary", F.concat(F.lit("Summary of "), "topic", F.lit(":")))
-    return files.combined_rows(ok, figures, KEYS)
+    path = files.scratch(spark, "combined")
+    files.write_csv(files.combined_rows(ok, figures, KEYS), path)
+    return files.read_combined(spark, path)
 
 
 @query(
@@ -148,7 +155,9 @@ def sink_versioned(spark, sf):
 @query("export_selected", "SELECT id, course, term FROM reports WHERE owner_id IN (SELECT id FROM users WHERE status = 'approved')")
 def export_selected(spark, sf):
     ids = view(spark, sf, "users").filter(F.col("status") == "approved").select(F.col("id").alias("owner_id"))
-    return files.export_selected(view(spark, sf, "reports"), ids, "owner_id").select("id", "course", "term")
+    path = files.scratch(spark, "export")
+    files.export_selected(view(spark, sf, "reports"), ids, "owner_id").select("id", "course", "term").write.json(path)
+    return spark.read.schema("id bigint, course string, term string").json(path)
 
 
 @query("run_history", "SELECT o_orderkey AS id, o_orderpriority AS course_id, o_orderdate AS date, 'Success' AS status FROM orders WHERE o_orderstatus = 'F'")
@@ -157,7 +166,10 @@ def run_history(spark, sf):
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("course_id"), F.col("o_orderdate").alias("date"),
         F.when(F.col("o_orderstatus") == "F", "Success").otherwise("Failed").alias("status"),
     )
-    return files.run_history(h, ["date", "id"], success_only=True)
+    path = files.scratch(spark, "history")
+    files.append_history(h.filter("id % 2 = 0"), path)  # two runs of a service, appended one after the other
+    files.append_history(h.filter("id % 2 = 1"), path)
+    return files.run_history(spark.read.schema(h.schema).parquet(path), ["date", "id"], success_only=True)
 
 
 SHORT = [(no, s) for no, _, s, _ in dims.TOPICS]
@@ -177,7 +189,10 @@ def sheet_topics_wide(spark, sf):
 )
 def sheet_scores_long(spark, sf):
     a, t = load(spark, sf)
-    return files.sheet_scores_long(a.withColumn("sentiment", F.col("direction")).withColumn("reasoning", F.col("scoring_status")), t)
+    sheet = files.sheet_scores_long(a.withColumn("sentiment", F.col("direction")).withColumn("reasoning", F.col("scoring_status")), t)
+    path = files.scratch(spark, "sheet")
+    files.write_csv(sheet, path)
+    return spark.read.schema(sheet.schema).option("header", True).option("escape", '"').csv(path)
 
 
 @query("sink_eval_run", "SELECT ord, topic_no, score AS human_score FROM gold_scores")

@@ -335,12 +335,15 @@ def english_ratio(spark, sf):
     return out.select("doc_id", "english_ratio", tx.is_garbage(F.col("english_ratio")).alias("garbage"))
 
 
-# Report lines, joined with the kinds of lines a report prints around answers.
+# All report lines whole, at tenfold positions, and beside some of them lines of the kinds a report prints around answers.
 LINES = {
-    "spark": """SELECT doc_id, pos, CASE CAST(pos % 23 AS INT) WHEN 1 THEN concat('Page ', CAST(pos AS STRING), ' of 9') WHEN 2 THEN 'Very good Good / Fair'
- WHEN 3 THEN concat(CAST(doc_id AS STRING), '. What about ', substr(line, 1, 20), '?') WHEN 4 THEN concat('Comments: ', '-') WHEN 5 THEN ' None! '
- WHEN 6 THEN concat('Please describe the part named ', substr(line, 1, 30), ' (maximum 500 characters)') WHEN 7 THEN concat('7-9 hours ', CAST(doc_id AS STRING), ' 39.02%')
- WHEN 8 THEN concat(CAST(doc_id AS STRING), '. The instructor ', lower(substr(line, 1, 20))) WHEN 9 THEN 'To what extent do you feel at ease' ELSE line END AS x FROM {src}""",
+    "spark": """SELECT doc_id, pos * 10 AS pos, line AS x FROM {src} UNION ALL
+SELECT doc_id, pos * 10 + 1, CASE CAST(pos % 23 AS INT) WHEN 1 THEN concat('Page ', CAST(pos AS STRING), ' of 9') WHEN 2 THEN 'Very good Good / Fair'
+ WHEN 3 THEN concat(CAST(doc_id AS STRING), '. What about ', line, '?') WHEN 4 THEN concat('Comments: ', '-') WHEN 5 THEN ' None! '
+ WHEN 6 THEN concat('Please describe the part named ', line, ' (maximum 500 characters)') WHEN 7 THEN concat('7-9 hours ', CAST(doc_id AS STRING), ' 39.02%')
+ WHEN 8 THEN concat(CAST(doc_id AS STRING), '. The instructor ', lower(line)) WHEN 9 THEN 'To what extent do you feel at ease' WHEN 10 THEN 'Disagree/N/Agree'
+ WHEN 11 THEN 'n/about right' WHEN 12 THEN concat('Please restate your answer to Question ', CAST(doc_id AS STRING), ' and explain it here:') ELSE 'Background Information' END
+FROM {src} WHERE pos % 23 BETWEEN 1 AND 13""",
 }
 LINES_SQL = "lines AS (" + LINES["spark"].replace("{src}", "report_lines") + ")"
 

@@ -18,6 +18,9 @@ from feedloom.operators.ordered import block_of, row_numbers
 KEYS = ["course_no", "term_year", "season"]
 
 
+COMMENT_CHUNK = 500  # comments per document of a stored report
+
+
 def bound(dim: DataFrame) -> DataFrame:
     """Broadcast a topic dimension: 13 rows by definition."""
     return F.broadcast(dim)
@@ -402,44 +405,40 @@ def token_cost(calls: DataFrame, run: Sequence[str]) -> DataFrame:
     )
 
 
-def nested_report(rows: DataFrame, topics: DataFrame, keys: Sequence[str], part_rows: int = dims.MAX_COMMENTS) -> DataFrame:
-    """(keys, part, report_json): the whole report as one JSON document, comments in input order.
+def nested_report(rows: DataFrame, topics: DataFrame, keys: Sequence[str], model: str | None = None, chunk_rows: int = COMMENT_CHUNK) -> DataFrame:
+    """(keys, chunk, report_json): a report as JSON documents of one form at any size.
 
-    An analysis takes at most ``part_rows`` comments, so an ordinary report is part 0. A larger one goes on in further
-    parts with the same figures and the next comments; no comment is dropped and no group outgrows a task.
+    Chunk 0 has the figures of the report, once. The comments follow in input order, ``chunk_rows`` to a document, each with
+    its topic. So no document outgrows a task, and readers of figures never meet them twice.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    numbered = row_numbers(rows, keys, ["ord", "topic_no", "score", "confidence"], block_of(F.col("ord")), "_n")
-    comment = F.struct(
-        F.col("_n").alias("n"),
-        F.struct(
-            "feedback", text("scoring_status").alias("scoring_status"), text("score").alias("score"),
-            text("confidence").alias("confidence"), text("direction").alias("direction"),
-        ).alias("c"),
-    )
-    parts = (
-        numbered.withColumn("part", F.floor((F.col("_n") - 1) / part_rows).cast("long"))
-        .groupBy(*keys, "topic_no", "part")
-        .agg(F.transform(F.sort_array(F.collect_list(comment)), lambda x: x["c"]).alias("comments"))
-    )
-    figures = topic_report_of(rows, topics, keys)
-    last = parts.groupBy(*keys).agg(F.max("part").alias("_last"))
-    frame = figures.join(last, list(keys)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "_last"))).drop("_last")
+    course = F.concat_ws("_", *[F.col(k).cast("string") for k in keys]).alias("course_id")
+    written = {"ignoreNullFields": "false"}
+
+    figures = topic_report_of(rows, topics, keys).join(pace_directions(rows, keys).drop("total"), list(keys), "left")
+    directions = F.when(F.col("topic_no") == dims.PACE_NO, F.struct(*[F.coalesce(d, F.lit(0)).alias(d) for d in dims.PACE_DIRECTIONS]))
     category = F.struct(
         "topic_no",
-        F.struct(
-            "topic", "average_score", "comment_count", "scored_comment_count", "reliability",
-            F.coalesce("comments", F.expr("cast(array() as array<struct<feedback:string,scoring_status:string,score:string,confidence:string,direction:string>>)")).alias("comments"),
-        ).alias("c"),
-    )
-    joined = frame.join(parts, [*keys, "topic_no", "part"], "left")
-    cats = joined.groupBy(*keys, "part").agg(F.transform(F.sort_array(F.collect_list(category)), lambda x: x["c"]).alias("categories"))
-    whole = cats.join(overall_score(rows.filter(F.col("topic_no") != dims.OTHER_NO), keys), list(keys), "left")
-    doc = F.struct(
-        F.concat_ws("_", *[F.col(k).cast("string") for k in keys]).alias("course_id"), "overall_score", "categories",
-        F.struct(F.lit(dims.PROMPT_VERSION).alias("prompt_version"), F.col("part")).alias("metadata"),
-    )
-    return whole.select(*keys, "part", F.to_json(doc, {"ignoreNullFields": "false"}).alias("report_json"))
+        F.struct("topic", "average_score", "comment_count", "scored_comment_count", "reliability", directions.alias("direction_counts")).alias("c"),
+    )
+    cats = figures.groupBy(*keys).agg(  # 13 topics
+        F.transform(F.sort_array(F.collect_list(category)), lambda x: x["c"]).alias("categories"), F.sum("comment_count").alias("_n")
+    )
+    head = cats.join(overall_score(rows.filter(F.col("topic_no") != dims.OTHER_NO), keys), list(keys), "left")
+    meta = F.struct(F.lit(dims.PROMPT_VERSION).alias("prompt_version"), F.col("_n").alias("processed_comments"), F.lit(model).cast("string").alias("model_id"), F.lit(0).alias("chunk"))
+    head = head.select(*keys, F.lit(0).cast("long").alias("chunk"), F.to_json(F.struct(course, "overall_score", "categories", meta.alias("metadata")), written).alias("report_json"))
+
+    named = rows.join(bound(topics.select("topic_no", "topic")), "topic_no")
+    numbered = row_numbers(named, keys, ["ord", "topic_no", "score", "confidence"], block_of(F.col("ord")), "_n")
+    comment = F.struct("topic", "feedback", *[text(c).alias(c) for c in ("scoring_status", "score", "confidence", "direction")])
+    chunks = (
+        numbered.withColumn("chunk", (F.floor((F.col("_n") - 1) / chunk_rows) + 1).cast("long"))
+        .groupBy(*keys, "chunk")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", comment.alias("c")))), lambda x: x["c"]).alias("comments"))
+    )
+    meta = F.struct(F.lit(dims.PROMPT_VERSION).alias("prompt_version"), F.col("chunk"))
+    chunks = chunks.select(*keys, "chunk", F.to_json(F.struct(course, "comments", meta.alias("metadata")), written).alias("report_json"))
+    return head.unionByName(chunks)
 
 
 def topic_report_of(rows: DataFrame, topics: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -12,22 +11,23 @@ from pyspark.sql import types as T
 
 from feedloom import dims
 from feedloom.functions import text as tx
+from feedloom.operators.ordered import block_of, row_numbers
+from feedloom.operators.stages import shared_folder
 
+# Field names of the interchange format.
 REPORT_SCHEMA = """course_id string, model string, overall_score double,
  categories array<struct<topic:string, average_score:double, comment_count:bigint, scored_comment_count:bigint, reliability:string,
   direction_counts:map<string,bigint>, comments:array<struct<feedback:string, question:string, score:string, confidence:string, sentiment:string,
    direction:string, scoring_status:string, classification_status:string, ignored:boolean, general_score:string>>>>,
  quantitative array<struct<question:string, n:bigint, mean:double, distribution:map<string,bigint>>>,
  general_sentiment struct<average_score:double, scored_comments:bigint>,
- metadata struct<prompt_version:string, processed_comments:bigint, model_id:string, part:bigint>"""
+ comments array<struct<topic:string, feedback:string, question:string, score:string, confidence:string, direction:string, scoring_status:string, ignored:boolean>>,
+ metadata struct<prompt_version:string, processed_comments:bigint, model_id:string, chunk:bigint>"""
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files, beside the checkpoints (shared storage); a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="feedloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for files, beside the checkpoints in the folder that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 # --- CSV ----------------------------------------------------------------------------------
@@ -172,9 +172,14 @@ def report_ratings(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def report_comments(reports: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Flat comment rows of stored reports; empty strings of a written report are null again."""
-    c = reports.select(*keep, F.explode_outer("categories").alias("c"))
-    r = c.select(*keep, F.col("c.topic").alias("topic"), F.explode_outer("c.comments").alias("r"))
+    """Flat comment rows of stored reports, whether comments stand under their topics or in documents of their own; empty
+    strings of a written report are null again."""
+    fields = ("feedback", "question", "score", "confidence", "direction", "scoring_status", "ignored")
+    under = F.flatten(F.transform("categories", lambda c: F.transform(c["comments"], lambda r: F.struct(c["topic"].alias("topic"), *[r[f].alias(f) for f in fields]))))
+    own = F.transform("comments", lambda r: F.struct(r["topic"].alias("topic"), *[r[f].alias(f) for f in fields]))
+    none = F.array().cast("array<struct<topic:string,feedback:string,question:string,score:string,confidence:string,direction:string,scoring_status:string,ignored:boolean>>")
+    both = F.filter(F.concat(F.coalesce(under, none), F.coalesce(own, none)), lambda r: r.isNotNull())
+    r = reports.select(*keep, F.explode(both).alias("r")).withColumn("topic", F.col("r.topic"))
     empty = lambda f: F.nullif(F.col(f"r.{f}"), F.lit(""))
     return r.select(
         *keep, "topic", empty("feedback").alias("feedback"), empty("question").alias("question"),
@@ -223,11 +228,9 @@ def combined_rows(rows: DataFrame, figures: DataFrame, keys: Sequence[str]) -> D
 
     ``figures`` is dense (every topic of every report) and carries overall_score and summary.
     """
-    point = F.struct("ord", "score", "confidence")
-    first = rows.groupBy(*keys, "topic_no").agg(F.min(point).alias("_first"), F.count("*").alias("_n"))
-    head = figures.join(first, [*keys, "topic_no"], "left")
-    joined = head.join(rows.withColumn("_point", point), [*keys, "topic_no"], "left")
-    leads = F.col("_point").isNull() | (F.col("_point") == F.col("_first"))
+    numbered = row_numbers(rows, [*keys, "topic_no"], ["ord", "score", "confidence"], block_of(F.col("ord")), "_n")
+    joined = figures.join(numbered, [*keys, "topic_no"], "left")
+    leads = F.coalesce(F.col("_n"), F.lit(1)) == 1  # by position, so that equal rows do not repeat the summary
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return joined.select(
         *keys, "topic_no", "overall_score", "average_score", "scored_comment_count", "reliability",
@@ -240,6 +243,16 @@ def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+COMBINED_SCHEMA = """course_no int, term_year int, season string, topic_no int, overall_score double, average_score double, scored_comment_count bigint,
+ reliability string, feedback string, score string, confidence string, scoring_status string, summary string"""
+
+
+def read_combined(spark: SparkSession, path: str) -> DataFrame:
+    """A written flat export; empty texts stay empty."""
+    rows = spark.read.schema(COMBINED_SCHEMA).option("header", True).option("escape", '"').option("multiLine", False).csv(path)
+    return rows.na.fill("", ["feedback", "score", "confidence", "scoring_status", "summary"])
+
+
 def append_version(rows: DataFrame, path: str, run_ts: str) -> None:
     """Keep earlier reports: every run appends under its own time."""
     rows.withColumn("run_ts", F.lit(run_ts)).write.mode("append").partitionBy("run_ts").parquet(path)
