@@ -1,6 +1,7 @@
 """Lines of a report to whole answers with their questions.
 
-Lines are ``(doc_id, col, pos, text)`` with non-empty cleaned text. Order is the ``pos`` column. Sequential rules
+Lines are ``(doc_id, col, pos, text)`` with non-empty cleaned text. Within a column order is ``pos``; cells of one sheet
+row share a position, so across columns order is ``(pos, col)``. Sequential rules
 are split into breaks that depend on two neighbouring lines only (found for all lines at once) and a short fold
 inside each stretch between such breaks, so a document is never handled as one group.
 """
@@ -155,10 +156,12 @@ def classify_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def assign_question(blocks: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Each text block with the latest question above it.
+    """Each text block with the latest question above it, in the order of ``pos`` and ``col``.
 
-    A rating header or a numbered item clears the question; short lines of a rating section are left out.
+    A rating header or a numbered item clears the question; short lines of a rating section are left out. There is at
+    most one block at a position of a column.
     """
+    at = ["pos", "col"]
     c = checkpointed(classify_blocks(blocks))
     t, kind = F.col("text"), F.col("kind")
     own = F.when(kind == "question", F.regexp_replace(t, "[ -]+$", "")).when(kind == "item", t)
@@ -170,22 +173,22 @@ def assign_question(blocks: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Dat
         F.struct(number.alias("num"), F.lit(0).alias("side"), F.col("_own").alias("own")),
         F.struct(wanted.alias("num"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("own")),
     )
-    asked = c.filter(kind.isin("question", "item")).select(*keys, "pos", F.explode(sides).alias("s"))
-    above = Window.partitionBy(*keys, "num").orderBy("pos", "side").rowsBetween(Window.unboundedPreceding, 0)
+    asked = c.filter(kind.isin("question", "item")).select(*keys, *at, F.explode(sides).alias("s"))
+    above = Window.partitionBy(*keys, "num").orderBy(*at, "side").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        asked.select(*keys, "pos", "s.*")
+        asked.select(*keys, *at, "s.*")
         .filter(F.col("num").isNotNull())
         .withColumn("_target", F.last("own", ignorenulls=True).over(above))
         .filter((F.col("side") == 1) & F.col("_target").isNotNull())
-        .select(*keys, "pos", "_target")
+        .select(*keys, *at, "_target")
     )
-    c = c.join(found, [*keys, "pos"], "left")
+    c = c.join(found, [*keys, *at], "left")
     question = F.when(
         F.col("_target").isNotNull(), F.concat("_own", F.lit(" (Question "), "_target", F.lit(")"))
     ).otherwise(F.col("_own"))
     setting = F.when(kind == "question", question).when(kind.isin("rating", "item"), F.lit(""))
     section = F.when(kind == "rating", True).when(kind == "question", False)
-    carried = carry_forward(c, keys, ["pos"], {"_q": setting, "_sec": section}, block_of(F.col("pos")))
+    carried = carry_forward(c, keys, at, {"_q": setting, "_sec": section}, block_of(F.col("pos")))
     skip = F.coalesce("_sec", F.lit(False)) & (tx.word_count(t) < 15)
     return carried.filter((kind == "text") & ~skip).select(
         *[x for x in blocks.columns], F.nullif("_q", F.lit("")).alias("question")
