@@ -83,10 +83,11 @@ WORKLOAD_LEVELS = [
 ]
 
 # --- fixed values: retrieval stop words -------------------------------------------------
-STOP_WORDS = (
-    "a an and are as at be but by class course did do for from had has have he her his i in instructor is it me my of "
-    "on or professor she students that the this to very was were with"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "class", "course", "did", "do", "for", "from", "had",
+    "has", "have", "he", "her", "his", "i", "in", "instructor", "is", "it", "me", "my", "of", "on", "or", "professor",
+    "she", "students", "that", "the", "this", "to", "very", "was", "were", "with",
+]
 
 # --- fixed values: bullets, blanks, typography ------------------------------------------
 BULLETS = "•●○◦▪▫■□‣⁃∙·➢➤►▶✓✔\ufffd"
@@ -181,13 +182,14 @@ HINTS = [
     (12, r"\bresources?\b|\bmaterials?\b|\bnotes?\b|\bslides?\b|\brecordings?\b|\breview sessions?\b|"
          r"\bpractice exams?\b|\bstudy materials?\b"),
 ]
-POSITIVE_WORDS = (
-    "appreciate excellent great good helpful clear well easy effective impressed satisfied thorough comprehensive "
-    "organized structured success learned seamless"
-).split()
-NEGATIVE_WORDS = (
-    "poor bad difficult confusing unclear hard frustrating waste poorly lacking missing disorganized rushed inadequate"
-).split()
+POSITIVE_WORDS = [
+    "appreciate", "excellent", "great", "good", "helpful", "clear", "well", "easy", "effective", "impressed",
+    "satisfied", "thorough", "comprehensive", "organized", "structured", "success", "learned", "seamless",
+]
+NEGATIVE_WORDS = [
+    "poor", "bad", "difficult", "confusing", "unclear", "hard", "frustrating", "waste", "poorly", "lacking",
+    "missing", "disorganized", "rushed", "inadequate",
+]
 
 # --- fixed values: prices, USD per million tokens -----------------------------------------
 # (order, provider, model, input, cached input, output, default of its provider)
@@ -291,3 +293,35 @@ def rubric(spark: SparkSession) -> DataFrame:
         for level, text in (WORKLOAD_LEVELS if no == 3 else RUBRIC_LEVELS)
     ]
     return local_table(spark, rows, "topic_no int, level int, text string")
+
+# --- fixed values: sentences that stored reports contain ---------------------------------
+SENTENCES = {
+    "no_scored": 'No scored rubric comments.',
+    "low_sample": 'Low sample: %d scored comments; use as directional evidence only.',
+    "errors_excluded": '%d model scoring errors excluded from averages.',
+    "low_confidence": '%d low-confidence scored comments.',
+    "no_comments": 'No comments were assigned to this topic.',
+    "one_comment": 'One assigned comment was ',
+    "with_score": ' with a score of %d/5',
+    "one_unscored": 'One assigned comment was unscored, citing: "',
+    "generic_count": '%d generic or uncategorized comments; excluded from rubric averages.',
+    "assigned": '%d assigned comments; %d scored; ',
+    "no_average": 'no rubric average',
+    "moods": '; %d positive, %d neutral, %d negative.',
+    "errors_were": ' %d model scoring errors were excluded from averages.',
+    "generic_one": 'generic or uncategorized comment is',
+    "generic_many": 'generic or uncategorized comments are',
+    "generic_tail": 'summarized but excluded from rubric averages.',
+    "low_sample_topics": 'Low-sample category scores should not be treated as stable professor metrics: ',
+    "failed_item": 'feedback item failed classification and',
+    "failed_items": 'feedback items failed classification and',
+    "failed_tail": 'excluded from rubric scoring.',
+    "failed_topic": 'topic assignment failed scoring and',
+    "failed_topics": 'topic assignments failed scoring and',
+    "skipped": 'Answer to a survey question that is not about the teaching; not scored.',
+    "generic": 'Generic or non-actionable feedback; no rubric score assigned.',
+    "rejected": 'Model rejected specific topic during scoring phase; defaulted to Uncategorized.',
+    "unreadable_file": "%d text fragments were unreadable (the PDF's font has no text mapping). Export this evaluation as Excel/CSV, or re-save the PDF with readable text.",
+    "unreadable_some": '%d unreadable text fragments were skipped.',
+    "no_answers": 'No written student comments were found in this file.',
+}

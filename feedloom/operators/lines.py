@@ -225,12 +225,11 @@ def extraction_warnings(counts: DataFrame) -> DataFrame:
         F.when(
             many,
             F.format_string(
-                "%d text fragments were unreadable (the PDF's font has no text mapping). "
-                "Export this evaluation as Excel/CSV, or re-save the PDF with readable text.",
+                dims.SENTENCES["unreadable_file"],
                 g,
             ),
-        ).when(g > 0, F.format_string("%d unreadable text fragments were skipped.", g)),
-        F.when(r == 0, "No written student comments were found in this file."),
+        ).when(g > 0, F.format_string(dims.SENTENCES["unreadable_some"], g)),
+        F.when(r == 0, dims.SENTENCES["no_answers"]),
     )
     return counts.withColumn("warnings", F.filter(warnings, lambda w: w.isNotNull()))
 

@@ -73,12 +73,12 @@ def reliability_label(scored: Column, errors: Column, low: Column) -> Column:
 
 def reliability_notes(scored: Column, errors: Column, low: Column) -> Column:
     notes = F.array(
-        F.when(scored == 0, F.lit("No scored rubric comments.")).when(
+        F.when(scored == 0, F.lit(dims.SENTENCES["no_scored"])).when(
             scored < dims.MIN_RELIABLE,
-            F.format_string("Low sample: %d scored comments; use as directional evidence only.", scored),
+            F.format_string(dims.SENTENCES["low_sample"], scored),
         ),
-        F.when(errors > 0, F.format_string("%d model scoring errors excluded from averages.", errors)),
-        F.when(low > 0, F.format_string("%d low-confidence scored comments.", low)),
+        F.when(errors > 0, F.format_string(dims.SENTENCES["errors_excluded"], errors)),
+        F.when(low > 0, F.format_string(dims.SENTENCES["low_confidence"], low)),
     )
     return F.filter(notes, lambda n: n.isNotNull())
 
@@ -181,13 +181,13 @@ def summary_prefix(rows: DataFrame, topics: DataFrame, keys: Sequence[str]) -> D
         F.when(s.isNull(), F.lit("neutral")).when(s <= 2, "negative").when(s >= 4, "positive").otherwise("neutral")
     )
     body = (
-        F.when(F.col("comment_count") == 0, F.lit("No comments were assigned to this topic."))
+        F.when(F.col("comment_count") == 0, F.lit(dims.SENTENCES["no_comments"]))
         .when(
             (F.col("comment_count") == 1) & (F.col("topic_no") != dims.OTHER_NO),
             F.concat(
-                F.lit("One assigned comment was "),
+                F.lit(dims.SENTENCES["one_comment"]),
                 word,
-                F.when(s.isNotNull(), F.format_string(" with a score of %d/5", s)).otherwise(""),
+                F.when(s.isNotNull(), F.format_string(dims.SENTENCES["with_score"], s)).otherwise(""),
                 F.lit(', citing: "'),
                 quote_text(F.col("only.feedback"), 180),
                 F.lit('"'),
@@ -195,29 +195,29 @@ def summary_prefix(rows: DataFrame, topics: DataFrame, keys: Sequence[str]) -> D
         )
         .when(
             (F.col("comment_count") == 1),
-            F.concat(F.lit('One assigned comment was unscored, citing: "'), quote_text(F.col("only.feedback"), 180), F.lit('"')),
+            F.concat(F.lit(dims.SENTENCES["one_unscored"]), quote_text(F.col("only.feedback"), 180), F.lit('"')),
         )
         .when(
             F.col("topic_no") == dims.OTHER_NO,
             F.format_string(
-                "%d generic or uncategorized comments; excluded from rubric averages.", F.col("comment_count")
+                dims.SENTENCES["generic_count"], F.col("comment_count")
             ),
         )
         .otherwise(
             F.concat(
-                F.format_string("%d assigned comments; %d scored; ", "comment_count", "scored_comment_count"),
+                F.format_string(dims.SENTENCES["assigned"], "comment_count", "scored_comment_count"),
                 F.when(
                     F.col("average_score").isNotNull(), F.format_string("average %s/5", F.col("average_score").cast("string"))
-                ).otherwise("no rubric average"),
+                ).otherwise(dims.SENTENCES["no_average"]),
                 F.format_string(
-                    "; %d positive, %d neutral, %d negative.",
+                    dims.SENTENCES["moods"],
                     F.col("positive"),
                     F.col("neutral") + F.col("unscored"),  # an unscored supported row is neutral
                     F.col("negative"),
                 ),
                 F.when(
                     F.col("errors") > 0,
-                    F.format_string(" %d model scoring errors were excluded from averages.", "errors"),
+                    F.format_string(dims.SENTENCES["errors_were"], "errors"),
                 ).otherwise(""),
             )
         )
@@ -263,26 +263,26 @@ def report_warnings(dense: DataFrame, errors: DataFrame, topics: DataFrame, keys
         F.concat_ws(
             " ",
             F.col("generic_comments").cast("string"),
-            F.when(F.col("generic_comments") == 1, "generic or uncategorized comment is").otherwise(
-                "generic or uncategorized comments are"
+            F.when(F.col("generic_comments") == 1, dims.SENTENCES["generic_one"]).otherwise(
+                dims.SENTENCES["generic_many"]
             ),
-            F.lit("summarized but excluded from rubric averages."),
+            F.lit(dims.SENTENCES["generic_tail"]),
         ),
     )
     warnings = F.array(
         F.when(
             F.size("weak") > 0,
             F.concat(
-                F.lit("Low-sample category scores should not be treated as stable professor metrics: "),
+                F.lit(dims.SENTENCES["low_sample_topics"]),
                 F.array_join(F.col("weak.topic"), ", "),
             ),
         ),
         counted(
-            "classification_errors", "feedback item failed classification and", "feedback items failed classification and",
-            "was", "were", "excluded from rubric scoring.",
+            "classification_errors", dims.SENTENCES["failed_item"], dims.SENTENCES["failed_items"],
+            "was", "were", dims.SENTENCES["failed_tail"],
         ),
         counted(
-            "scoring_errors", "topic assignment failed scoring and", "topic assignments failed scoring and",
+            "scoring_errors", dims.SENTENCES["failed_topic"], dims.SENTENCES["failed_topics"],
             "was", "were", "excluded.",
         ),
         generic,
@@ -306,10 +306,10 @@ def route_other(assessed: DataFrame) -> DataFrame:
         *[c for c in assessed.columns if c not in ("non_teaching", "status", "n_topics", "n_passed", "general_score", "reasoning")],
         F.when(skipped, "skipped_question").otherwise(F.col("status")).alias("classification_status"),
         F.when(error, "classification_error").otherwise("not_applicable").alias("scoring_status"),
-        F.when(skipped, "Answer to a survey question that is not about the teaching; not scored.")
+        F.when(skipped, dims.SENTENCES["skipped"])
         .when(error, F.col("reasoning"))
-        .when(generic, "Generic or non-actionable feedback; no rubric score assigned.")
-        .otherwise("Model rejected specific topic during scoring phase; defaulted to Uncategorized.")
+        .when(generic, dims.SENTENCES["generic"])
+        .otherwise(dims.SENTENCES["rejected"])
         .alias("reasoning"),
         F.when(generic, F.col("general_score")).alias("general_score"),
     )
