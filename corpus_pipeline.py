@@ -6,32 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import decontaminate, mixing, quality, sharding, simhash
+from feedloom.llm.ship import shipping
 from feedloom.operators.stages import written
 
 SHARD_BYTES = 1 << 20
 
 
+@shipping
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the rated ones among them."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.scored(docs, model).where("_quality.kept").drop("_quality")
 
 
+@shipping
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest id."""
     return simhash.one_of_each(docs)
 
 
+@shipping
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@shipping
 def keep_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at the rates that rake source, language and topic to their targets."""
     return mixing.mix(docs).where("_mix.kept").drop("_mix")
 
 
+@shipping
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard."""
     return sharding.assign_shards(docs, "doc_id", F.octet_length("text"), SHARD_BYTES)

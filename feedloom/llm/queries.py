@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm import decontaminate, language, mixing, neural, passages, quality, rules, sharding, simhash, warc
+from feedloom.llm.ship import shipping
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neural_scores": neural.op8_neural_scores,
     "op9_outlier_rules": rules.op9_outlier_rules,
 }
+QUERIES = {name: shipping(fn) for name, fn in QUERIES.items()}
 
 CHECKS: dict[str, str] = {"op1_shard_documents": sharding.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op5_resolve_revisits": warc.OP5_SQL}
