@@ -133,10 +133,7 @@ cache AS (SELECT key, min(source) AS answer, 1::BIGINT AS created FROM r WHERE l
 @query("reply_cache_lookup", f"WITH {CACHE} SELECT doc_id, r.key, answer, answer IS NOT NULL AS hit FROM r LEFT JOIN cache c ON c.key = r.key")
 def reply_cache_lookup(spark, sf):
     requests, cache = cache_tables(spark, sf)
-    hits, todo = scoring.cache_lookup(requests.select("doc_id", "key"), cache)
-    return hits.withColumn("hit", F.lit(True)).unionByName(
-        todo.withColumn("answer", F.lit(None).cast("string")).withColumn("hit", F.lit(False))
-    )
+    return scoring.cache_lookup(requests.select("doc_id", "key"), cache)
 
 
 @query(

@@ -14,6 +14,7 @@ from feedloom import dims
 from feedloom.functions import text as tx
 from feedloom.functions.numbers import half_even
 from feedloom.operators.ordered import block_of, carry_forward
+from feedloom.operators.stages import checkpointed, written
 
 
 def long_cells(wide: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -82,6 +83,7 @@ def tidy_responses(cells: DataFrame, profile: DataFrame, dictionary: DataFrame,
         .filter(F.col("text") != "")
         .withColumn("cell", F.concat_ws("\x1f", *[F.col(c).cast("string") for c in ids], "column"))
     )
+    texts = written(texts)  # the words of the ratio and the rows are read from here
     rated = tx.english_ratio(texts, dictionary, "cell")
     garbage = tx.is_garbage(F.col("english_ratio")) & ~tx.is_no_answer(F.col("text"))
     status = F.when(garbage, "garbage").when(keep_text(F.col("text")), "response").otherwise("dropped")
@@ -136,6 +138,7 @@ def grid_rows(cells: DataFrame, sheet: Sequence[str]) -> DataFrame:
 
 def scale_header_rows(rows: DataFrame, sheet: Sequence[str], block_rows: int = 100_000) -> DataFrame:
     """Add the scale header in force and the last long row label, both carried down the sheet."""
+    rows = checkpointed(rows)  # carrying reads its input twice
     long_label = F.when((F.col("kind") == "percent") & (F.length("own_label") >= 40), F.col("own_label"))
     return carry_forward(
         rows,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedloom import dims
 from feedloom.functions.numbers import half_even, ratio
 from feedloom.functions.text import canonical_key, sentiment_from_score
+from feedloom.operators.stages import checkpointed
 
 
 def predicted_pairs(rows: DataFrame, text: str = "feedback", order: str = "ord") -> DataFrame:
@@ -244,6 +245,7 @@ def metrics_from_cells(cells: DataFrame, gold_rows: DataFrame) -> DataFrame:
 
 
 def model_score_report(gold: DataFrame, predicted: DataFrame, key: Sequence[str]) -> DataFrame:
+    gold = checkpointed(gold)  # joined and counted
     return metrics_from_cells(score_cells(gold, predicted, key), gold.agg(F.count("*").alias("gold_n")))
 
 

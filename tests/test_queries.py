@@ -15,6 +15,7 @@ from feedloom.views import BASE_TABLES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 QUERIES, CHECKS = entry_module.queries(), entry_module.oracle_sql()
+MAY_BE_EMPTY: set[str] = set()  # queries whose conditions no row of the smallest tables meets
 
 
 @pytest.fixture(scope="module")
@@ -33,4 +34,4 @@ def test_entry(spark):
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, con, key):
     ok, note = compare(spark, con, key, QUERIES[key], CHECKS.get(key), SF)
-    assert ok or "EMPTY" in note, note
+    assert ok or (key in MAY_BE_EMPTY and "EMPTY" in note), note
