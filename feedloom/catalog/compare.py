@@ -123,14 +123,15 @@ def rating_changes(spark, sf):
     "comparison_warnings",
     f"""WITH {COMPARE}, a AS (SELECT {G}, count(DISTINCT lower(trim(course))) AS c, bool_or(prompt_version IS NULL OR prompt_version < '{dims.PACE_SCALE_FIXED_IN}') AS old,
  count(DISTINCT prompt_version) AS v FROM rep GROUP BY ALL), b AS (SELECT {G}, bool_or(change IS NOT NULL AND NOT change_is_reliable) AS weak FROM changes GROUP BY ALL)
-SELECT {G}, array_to_string(list_filter([CASE WHEN c > 1 THEN 'different courses' END, CASE WHEN old THEN 'old pace scale' END,
- CASE WHEN v > 1 THEN 'mixed prompt versions' END, CASE WHEN weak THEN 'low sample changes' END], lambda x: x IS NOT NULL), ',') AS warnings
+SELECT {G}, array_to_string(list_filter([CASE WHEN c > 1 THEN '{cmp.WARNING_TEXT["different courses"]}' END, CASE WHEN old THEN '{cmp.WARNING_TEXT["old pace scale"]}' END,
+ CASE WHEN v > 1 THEN '{cmp.WARNING_TEXT["mixed prompt versions"]}' END, CASE WHEN weak THEN '{cmp.WARNING_TEXT["low sample changes"]}' END], lambda x: x IS NOT NULL), ' ') AS warnings
 FROM a LEFT JOIN b USING ({G})""",
 )
 def comparison_warnings(spark, sf):
     reports, summary = both(spark, sf)
     out = cmp.comparison_warnings(reports, cmp.topic_change(summary, GROUP), GROUP)
-    return out.withColumn("warnings", F.array_join("warnings", ","))
+    texts = F.create_map(*[F.lit(x) for pair in cmp.WARNING_TEXT.items() for x in pair])
+    return out.withColumn("warnings", F.array_join(F.transform("warnings", lambda w: texts[w]), " "))
 
 
 @query(

@@ -106,6 +106,15 @@ def topic_f1(spark, sf):
     return ev.topic_f1(*topic_rows(spark, sf))
 
 
+@query(
+    "per_topic_f1",
+    f"""WITH {SETS}, c AS (SELECT *, {sql_ratio('tp', 'tp + fp')} AS p, {sql_ratio('tp', 'tp + fn')} AS r FROM cells)
+SELECT topic_no, {h(sql_ratio('2 * p * r', 'p + r'), 3)} AS f1 FROM c WHERE tp + fp + fn > 0""",
+)
+def per_topic_f1(spark, sf):
+    return ev.per_topic_f1(*topic_rows(spark, sf))
+
+
 MODELS = ["a", "b"]
 MATCHED = f"""
 g AS (SELECT ord, list(topic_no ORDER BY topic_no) AS gs FROM gold_topics GROUP BY ord),

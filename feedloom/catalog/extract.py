@@ -391,6 +391,19 @@ def size_limit(spark, sf):
     return pr.size_limit(items(spark, sf), ["course_id"], 45)
 
 
+@query(
+    "restrict_labels",
+    f"""SELECT ex_id, feedback, topic_no, {sql_key('feedback')} AS key FROM (SELECT * FROM examples UNION ALL SELECT doc_id + 1000000, text, 1, 1 FROM documents)
+WHERE {sql_key('feedback')} IN (SELECT {sql_key('text')} FROM documents WHERE lang = 'en')""",
+)
+def restrict_labels(spark, sf):
+    """Labels of the comments that are evaluated: here those of English documents."""
+    d = table(spark, sf, "documents")
+    labels = view(spark, sf, "examples").unionByName(d.selectExpr("doc_id + 1000000 AS ex_id", "text AS feedback", "1 AS topic_no", "1 AS score"))
+    comments = d.filter("lang = 'en'").select(tx.canonical_key(F.col("text")).alias("key"))
+    return pr.restrict_labels(labels, comments).select("ex_id", "feedback", "topic_no", "key")
+
+
 @query(
     "eval_comment_set",
     f"""WITH u AS (SELECT 0 AS src, ex_id AS pos, feedback FROM examples UNION ALL SELECT 1, doc_id, text FROM documents),

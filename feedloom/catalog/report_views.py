@@ -106,6 +106,17 @@ def sentiment_split(spark, sf):
     return rv.sentiment_split(view(spark, sf, "assignments"), KEYS)
 
 
+@query(
+    "sentiment_labels",
+    f"""SELECT {K}, topic_no, {', '.join(f"count(*) FILTER (CASE WHEN score >= 4 THEN 'positive' WHEN score <= 2 THEN 'negative' WHEN score = 3 THEN 'neutral' END = '{s}') AS {s}" for s in dims.SENTIMENTS)}
+FROM assignments GROUP BY ALL""",
+)
+def sentiment_labels(spark, sf):
+    """The older reports, whose rows carry a label."""
+    label = F.expr("CASE WHEN score >= 4 THEN 'positive' WHEN score <= 2 THEN 'negative' WHEN score = 3 THEN 'neutral' END")
+    return rv.label_split(view(spark, sf, "assignments").withColumn("sentiment", label), KEYS)
+
+
 @query(
     "filter_comments",
     f"""WITH {VIEW}, w AS (SELECT {K}, feedback, coalesce(s3, score) AS score FROM v WHERE list_contains(topics, 3) AND contains(lower(feedback), 'comment 1'))

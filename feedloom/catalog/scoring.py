@@ -276,6 +276,27 @@ def parse_replies(spark, sf):
     return flat.select("ord", "status", "r.topic_no", "r.score", "r.sentiment", "r.confidence", "r.direction")
 
 
+@query(
+    "exclusive_other",
+    "SELECT ord, CASE WHEN list_contains(t, 13) THEN '13' ELSE array_to_string(t, ',') END AS topic_nos FROM (SELECT ord, list(DISTINCT topic_no ORDER BY topic_no) AS t FROM assignments GROUP BY ord)",
+)
+def exclusive_other(spark, sf):
+    t = view(spark, sf, "assignments").groupBy("ord").agg(F.sort_array(F.collect_set("topic_no")).alias("t"))  # 13 topics
+    return t.select("ord", F.array_join(scoring.exclusive_other(F.col("t")).cast("array<string>"), ",").alias("topic_nos"))
+
+
+@query(
+    "topic_requests",
+    f"""SELECT ord, topic_no, CAST(length(text) AS INT) AS n, regexp_matches(q, '^{scoring.TOPIC_HEAD.split(",")[0]}') AS headed FROM (SELECT ord, t.topic_no, text, '{scoring.TOPIC_HEAD}' AS q FROM comments, topics t WHERE t.topic_no IN (2, 5))""",
+)
+def topic_requests(spark, sf):
+    """One request per comment and topic; the comment stands in it whole."""
+    c = view(spark, sf, "comments").select("ord", "text", "question", F.explode(F.array(F.lit(2), F.lit(5))).alias("topic_no"))
+    r = scoring.topic_requests(c, dims.topics(spark))
+    body = F.element_at(F.split("request", "COMMENT\n", 2), -1)
+    return r.select("ord", "topic_no", F.length(body).alias("n"), F.col("request").startswith(scoring.TOPIC_HEAD).alias("headed"))
+
+
 @query(
     "parse_topic_replies",
     """WITH s AS (SELECT ord, array_to_string(list(DISTINCT topic_no ORDER BY topic_no), ',') AS t FROM assignments WHERE topic_no <> 13 GROUP BY ord)

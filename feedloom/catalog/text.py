@@ -144,6 +144,14 @@ def norm_question(spark, sf):
 COURSE = "CASE WHEN lang = 'en' THEN concat(source, '_', lang, '_Fall', CAST(n_chars AS STRING)) ELSE concat(source, '_', lang) END"
 
 
+PATH = "concat('in/', source, '/', lang, '.', CAST(doc_id AS STRING), CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '' ELSE '.tar.gz' END)"
+
+
+@query("file_stem", f"WITH {dd(PATH)} SELECT doc_id, regexp_replace(regexp_replace(x, '^.*/', ''), '(.)\\.[^.]*$', '\\1') AS y FROM d")
+def file_stem(spark, sf):
+    return docs(spark, sf, PATH).select("doc_id", tx.file_stem(F.col("x")).alias("y"))
+
+
 @query(
     "course_term_parts",
     f"""WITH {dd(COURSE)}, p AS (SELECT doc_id, x, string_split(x, '_') AS p FROM d)

@@ -42,11 +42,6 @@ def stream_usage_windows(usage: DataFrame, window: str = "1 day", slide: str | N
     )
 
 
-def usage_batch(usage: DataFrame, window: str = "1 day", slide: str | None = None) -> DataFrame:
-    """The same query without streaming."""
-    return stream_usage_windows(usage, window, slide)
-
-
 def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is available now into a Parquet folder and read it back (append mode)."""
     spark = stream.sparkSession
