@@ -58,25 +58,27 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     ``targets`` gives per dimension the weights of its values; a dimension without them follows the corpus, evened out.
     A value without a weight in given targets gets none of the mix. Values are not null.
     """
-    cells = written(cells.select(*DIMENSIONS, "tokens").withColumn("rate", F.lit(float(budget))))
+    cells = written(cells.select(*DIMENSIONS, "tokens"))
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    wanted = {}
-    for d in DIMENSIONS:
+    state = cells.withColumn("rate", F.lit(float(budget)))
+    for d in DIMENSIONS:  # every cell gets the tokens that the mix shall have of its value
         share = cells.groupBy(d).agg((F.sum("tokens") / F.lit(float(max(total, 1)))).alias("_share"))
         if targets and d in targets:
             given = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in targets[d].items()], "_value string, _weight double")
             share = share.join(given, F.col(d) == F.col("_value"), "left").select(d, F.coalesce("_weight", F.lit(0.0)).alias("_weight"))
         else:
             share = share.select(d, F.pow("_share", F.lit(EVENNESS)).alias("_weight"))
-        sums = share.agg(F.sum("_weight").alias("_sum"))
-        wanted[d] = written(share.join(F.broadcast(sums)).select(d, (F.col("_weight") / F.when(F.col("_sum") > 0, F.col("_sum")) * F.lit(float(total * budget))).alias("_want")))
+        share = written(share)
+        weights = share.agg(F.sum("_weight")).first()[0] or 1.0
+        state = state.join(share.select(d, (F.col("_weight") / F.lit(float(weights)) * F.lit(float(total * budget))).alias(f"_want_{d}")), d)
+    state = written(state)
     for _ in range(rounds):
         for d in DIMENSIONS:
-            now = cells.groupBy(d).agg(F.sum(F.col("tokens") * F.col("rate")).alias("_now")).join(wanted[d], d)
-            fitted = F.when(F.col("_now") > 0, F.least(F.lit(1.0), F.col("rate") * F.col("_want") / F.col("_now"))).otherwise(F.col("rate"))
-            cells = cells.join(now, d).select(*DIMENSIONS, "tokens", fitted.alias("rate"))
-        cells = written(cells)
-    return cells
+            now = state.groupBy(d).agg(F.sum(F.col("tokens") * F.col("rate")).alias("_now"))
+            fitted = F.when(F.col("_now") > 0, F.least(F.lit(1.0), F.col("rate") * F.col(f"_want_{d}") / F.col("_now"))).otherwise(F.col("rate"))
+            state = state.join(now, d).withColumn("rate", fitted).drop("_now")
+        state = written(state)
+    return state.select(*DIMENSIONS, "tokens", "rate")
 
 
 def draw(doc: Column, text: Column) -> Column:

@@ -93,28 +93,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(index, value, bounds, grade, weight, rounds: int = 150, ridge: float = 1e-5, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds that maximise the weighted likelihood of the grades (Adam over the whole sample)."""
-    doc = np.repeat(np.arange(len(grade)), np.diff(bounds))
+    """Weights and ordered thresholds that maximise the weighted likelihood of the grades (Adam over the whole sample).
+
+    ``value`` is that of all features of a text, one per text. Texts are gone through in blocks, so beyond the feature lists
+    little memory is needed."""
     weight = weight / weight.sum()
     share = np.array([weight[grade > k].sum() for k in range(GRADES - 1)]).clip(1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
     free = np.concatenate((first[:1], np.log(np.maximum(np.diff(first), 0.1))))  # first threshold, logs of the gaps
     w = np.zeros(1 << BITS)
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(free), np.zeros_like(free)]
-    eye = np.arange(len(grade))
+    blocks = [(a, min(a + 256, len(grade))) for a in range(0, len(grade), 256)]
     for t in range(1, rounds + 1):
         theta = free[0] + np.concatenate(([0], np.cumsum(np.exp(free[1:]))))
-        score = _sums(w[index] * value[doc], bounds)
-        above = np.hstack((np.ones((len(grade), 1)), _sigmoid(score[:, None] - theta[None, :]), np.zeros((len(grade), 1))))
-        slope = above * (1 - above)
-        p = np.maximum(above[eye, grade] - above[eye, grade + 1], 1e-9)
-        d_score = -weight * (slope[eye, grade] - slope[eye, grade + 1]) / p
-        d_theta = np.zeros(GRADES - 1)
-        for k in range(GRADES - 1):
-            at_low, at_high = grade == k + 1, grade == k
-            d_theta[k] = (weight * slope[:, k + 1] / p)[at_low].sum() - (weight * slope[:, k + 1] / p)[at_high].sum()
+        d_w, d_theta = ridge * w, np.zeros(GRADES - 1)
+        for a, b in blocks:
+            own, ends, g, part = index[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], grade[a:b], weight[a:b]
+            score = _sums(w[own], ends) * value[a:b]
+            above = np.hstack((np.ones((b - a, 1)), _sigmoid(score[:, None] - theta[None, :]), np.zeros((b - a, 1))))
+            slope, eye = above * (1 - above), np.arange(b - a)
+            p = np.maximum(above[eye, g] - above[eye, g + 1], 1e-9)
+            d_score = -part * (slope[eye, g] - slope[eye, g + 1]) / p
+            for k in range(GRADES - 1):
+                pull = part * slope[:, k + 1] / p
+                d_theta[k] += pull[g == k + 1].sum() - pull[g == k].sum()
+            d_w += np.bincount(own, weights=np.repeat(d_score * value[a:b], np.diff(ends)), minlength=1 << BITS)
         d_free = np.concatenate(([d_theta.sum()], [d_theta[k:].sum() * np.exp(free[k]) for k in range(1, GRADES - 1)]))
-        d_w = np.bincount(index, weights=(d_score * value)[doc], minlength=1 << BITS) + ridge * w
         for x, g, m, v in ((w, d_w, moments[0], moments[1]), (free, d_free, moments[2], moments[3])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -163,14 +167,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
         return None
     size = np.array(found["index"].combine_chunks().value_lengths())
     bounds = np.concatenate(([0], np.cumsum(size)))
-    index = np.asarray(found["index"].combine_chunks().flatten())
+    index = np.array(found["index"].combine_chunks().flatten())
     value = 1 / np.sqrt(np.maximum(size, 1))
     grade, part = np.array(found["grade"]), np.array(found["part"])
+    del found
+    pa.default_memory_pool().release_unused()
     held = np.arange(len(grade)) % 5 == 4
     weight = 1 / part
     weights, thresholds = fit(index, value, bounds, grade, np.where(held, 0, weight) if (~held).any() else weight)
     model = Model(weights.astype(np.float32), thresholds, 0.5)
-    score = _sums(weights[index] * np.repeat(value, size), bounds)
+    score = _sums(weights.astype(np.float32)[index], bounds) * value
     tail = np.sort(_sigmoid(score - thresholds[-1])[held & (grade == GRADES - 1)])
     cut = float(np.clip(tail[int((1 - KEEP_SHARE) * len(tail))], LEAST_CUT, 0.5)) if len(tail) else 0.5
     return model._replace(cut=cut)
