@@ -233,6 +233,16 @@ def test_passages(spark, docs):
     assert passages.passages(docs([])).count() == 0
 
 
+def test_long_runs_meet_long_runs(spark, docs):
+    """The first document has the pattern, but not for long: the other two still meet."""
+    new = lambda n, k: " ".join(f"u{k}x{i}" for i in range(n))
+    rows = [(1, f"{new(20, 1)} {'mit ' * 20} {new(20, 2)}"), (2, f"{new(30, 3)} {'mit ' * 80} {new(9, 4)}"), (3, f"{'mit ' * 60} {new(30, 5)}")]
+    rows += [(4, f"{new(5, 6)} {'la li lu ' * 10}"), (5, f"{new(5, 7)} {'la li lu ' * 30}"), (6, f"{new(3, 8)} {'la li lu ' * 25} {new(5, 9)}")]
+    found = [(r.doc_id, r.other_id) for r in passages.passages(docs(rows)).collect()]
+    assert (3, 2) in found and (6, 5) in found
+    assert {i for pair in found for i in pair} == {2, 3, 5, 6}
+
+
 def test_all_long_repeats_are_found(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
