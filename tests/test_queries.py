@@ -15,7 +15,7 @@ from feedloom.views import BASE_TABLES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 QUERIES, CHECKS = entry_module.queries(), entry_module.oracle_sql()
-MAY_BE_EMPTY: set[str] = set()  # queries whose conditions no row of the smallest tables meets
+MAY_BE_EMPTY = {"size_limit", "improved_declined"}  # queries whose conditions no row of the smallest tables meets
 
 
 @pytest.fixture(scope="module")
