@@ -76,6 +76,33 @@ def test_documents(spark, docs):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
+def test_one_copy_stays_of_texts_that_share_their_shingles(spark, docs):
+    rng = random.Random(8)
+
+    def changed(words, *at):
+        return " ".join(f"new{i}x{rng.random()}" if i in at else w for i, w in enumerate(words))
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+
+    rows, passage = [(None, "")], " ".join(f"common{i}" for i in range(30))
+    for g in range(40):
+        words = [f"w{g}x{i}" for i in range(100)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, changed(words, 50)), (len(rows) + 2, changed(words, 20, 70)), (len(rows) + 3, changed(words, 10, 30, 50, 70))]
+        rows += [(len(rows), f"{passage} " + " ".join(f"own{g}x{i}" for i in range(60)))]  # a passage that many share
+        rows += [(len(rows), " ".join(rng.choices("abc", k=rng.randint(2, 9)))), (len(rows) + 1, changed(words, 50, 98, 99))]
+    sets = [grams(t) for _, t in rows]
+    ids = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            a, b = sorted((ids[i], ids[j]))
+            ids = [a if x == b else x for x in ids]
+    left = {r.doc_id for r in simhash.one_of_each(docs(rows)).collect()}
+    assert left == {rows[i][0] for i in range(len(rows)) if ids[i] == i}
+    assert 2 not in left and 3 not in left and {1, 4, 5} <= left
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(200, 100), (150, 100)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
