@@ -69,11 +69,13 @@ class _Ids(dict):
 
 
 def _matches(texts, ids: _Ids, sizes, wanted: np.ndarray | None, item_sizes: bool):
-    """(text number, position, window size, hash, slots, number of words) of template windows of the texts.
+    """(text number, position, window size, hash, slots, number of words, values) of template windows of the texts.
 
-    ``wanted``: sorted hashes to pass on, all if None. ``item_sizes``: a text shorter than the window is one window.
+    ``wanted``: sorted hashes to pass on, all if None. ``item_sizes``: a text shorter than the window is one window, and slots
+    are the numbers of their values among the text's different ones, which come with its first window.
     """
-    out = ([], [], [], [], [], [])
+    out = ([], [], [], [], [], [], [])
+    numbers: dict[int, dict[str, int]] = {}
     tokens, codes, bounds = [], [], [0]
     for t in texts:
         own = (t or "").split()
@@ -113,12 +115,21 @@ def _matches(texts, ids: _Ids, sizes, wanted: np.ndarray | None, item_sizes: boo
             out[1].append(first)
             out[2].append(size)
             out[3].append(x)
-            out[4].append([f"{int(k)}{own[first + j].strip(_EDGE)}" for j, k in enumerate(kinds) if k < LITERAL])
+            slots = [f"{int(k)}{own[first + j].strip(_EDGE)}" for j, k in enumerate(kinds) if k < LITERAL]
+            values = None
+            if item_sizes:
+                if i not in numbers:
+                    all_slots = [f"{int(k)}{x.strip(_EDGE)}" for x, k in zip(own, code[bounds[i] : bounds[i + 1]]) if k < LITERAL]
+                    values = list(dict.fromkeys(all_slots))
+                    numbers[i] = {v: n for n, v in enumerate(values)}
+                slots = [str(numbers[i][v]) for v in slots]
+            out[4].append(slots)
             out[5].append(len(own))
+            out[6].append(values)
     return out
 
 
-_SCHEMA = "_at int, _size int, _hash long, _slots array<string>, _words int"
+_SCHEMA = "_at int, _size int, _hash long, _slots array<string>, _words int, _own array<string>"
 
 
 def _windows_of(rows: DataFrame, sizes, wanted, item_sizes: bool) -> DataFrame:
@@ -131,31 +142,34 @@ def _windows_of(rows: DataFrame, sizes, wanted, item_sizes: bool) -> DataFrame:
             step = max(1, int(batch.num_rows * (1 << 21) // max(batch.nbytes, 1)))
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
-                text, at, size, h, slots, words = _matches(part.column(1).to_pylist(), ids, sizes, wanted.value if wanted is not None else None, item_sizes)
+                text, at, size, h, slots, words, own = _matches(part.column(1).to_pylist(), ids, sizes, wanted.value if wanted is not None else None, item_sizes)
                 if text:
                     yield pa.record_batch(
-                        [part.column(0).take(pa.array(text)), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(words, pa.int32())],
-                        ["_id", "_at", "_size", "_hash", "_slots", "_words"],
+                        [part.column(0).take(pa.array(text)), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(words, pa.int32()), pa.array(own, pa.list_(pa.string()))],
+                        ["_id", "_at", "_size", "_hash", "_slots", "_words", "_own"],
                     )
 
     return rows.mapInArrow(run, f"_id {kind}, {_SCHEMA}")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", repeats: bool = False) -> DataFrame:
     """(doc_id, item_id, coverage, at, changed): documents that contain a benchmark item, one row per pair.
 
     ``coverage`` is the part of the item's words in the best consistent alignment, ``at`` the document word it starts at,
     ``changed`` the number of slot values that differ. Items with fewer than three literal words, and null or empty
-    texts, match nothing. Items of one template count as the one with the smallest id. Rows with a null document id are
+    texts, match nothing. Items of one template are compared once and each named; of items with equal texts the one with the
+    smallest id is named, or all with ``repeats``. Rows with a null document id are
     found under a null id. An empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item).alias("_id"), F.col(item_text).cast("string").alias("_text")).where("_text IS NOT NULL").distinct()
+    named = benchmark.select(F.col(item).alias("_id"), F.col(item_text).cast("string").alias("_text")).where("_text IS NOT NULL").distinct()
+    items = named.groupBy("_text").agg(F.min("_id").alias("_id")).select(F.struct("_id", F.xxhash64("_text").alias("_t")).alias("_id"), "_text")
     known = written(_windows_of(items, range(1, WINDOW + 1), None, True))
-    # items with equal windows at equal places are one; only the first stays
-    form = known.groupBy("_id").agg(F.sum(F.xxhash64("_at", "_hash").cast("decimal(38,0)")).alias("_form"), F.count("*").alias("_n"))
-    first = form.groupBy("_form", "_n").agg(F.min("_id").alias("_id")).select("_id")
-    known = written(known.join(first, "_id", "left_semi"))
+    # items with equal windows and equal slots at equal places form a class; its first item stands for it
+    form = known.groupBy("_id").agg(F.sum(F.xxhash64("_at", "_size", "_hash", F.concat_ws(" ", "_slots"), "_words").cast("decimal(38,0)")).alias("_form"), F.count("*").alias("_n"), F.first("_own", ignorenulls=True).alias("_own"))
+    first = form.groupBy("_form", "_n").agg(F.min("_id").alias("_class"))
+    members = written(form.join(first, ["_form", "_n"]).select("_class", F.col("_id").alias("_member"), "_own"))
+    known = written(known.drop("_own").join(members.select(F.col("_class").alias("_id")).distinct(), "_id", "left_semi"))
     sizes = sorted(r["_size"] for r in known.select("_size").distinct().collect())  # WINDOW values at most
     hashes = known.select("_hash").distinct()
     blocks = max(1, -(-hashes.count() // BLOCK))
@@ -179,10 +193,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", tex
     values = [F.size(F.array_distinct(F.col(f"_pairs.{f}"))) for f in ("a", "b")]
     aligned = aligned.select(
         "_doc", "_id", (covered / F.col("_words")).alias("coverage"), (F.col("_shift") + F.col("_at")[0]["_at"]).alias("at"),
-        F.size(F.filter("_pairs", lambda p: p["a"] != p["b"])).alias("changed"),
-        ((F.size("_pairs") == values[0]) & (F.size("_pairs") == values[1])).alias("_consistent"),
+        "_pairs", ((F.size("_pairs") == values[0]) & (F.size("_pairs") == values[1])).alias("_consistent"),
     ).where(F.col("_consistent") & (F.col("coverage") >= COVERAGE))
-    best = aligned.groupBy("_doc", "_id").agg(F.min(F.struct((-F.col("coverage")).alias("c"), "changed", "at")).alias("_best"))
+    each = aligned.join(members, F.col("_id") == F.col("_class")).withColumn("changed", F.size(F.expr("filter(_pairs, p -> _own[int(p.a)] <> p.b)")))
+    best = each.groupBy("_doc", "_member").agg(F.min(F.struct((-F.col("coverage")).alias("c"), "changed", "at")).alias("_best"))
+    best = best.select("_doc", F.col("_member._id").alias("_id"), F.col("_member._t").alias("_t"), "_best")
+    if repeats:
+        again = named.select(F.col("_id").alias("_each"), F.xxhash64("_text").alias("_t"))
+        best = best.join(again, "_t").groupBy("_doc", F.col("_each").alias("_id")).agg(F.min("_best").alias("_best"))
+    else:  # an id may have several texts
+        best = best.groupBy("_doc", "_id").agg(F.min("_best").alias("_best"))
     return best.select(F.col("_doc").alias("doc_id"), F.col("_id").alias("item_id"), (-F.col("_best.c")).alias("coverage"), F.col("_best.at").alias("at"), F.col("_best.changed").alias("changed"))
 
 
@@ -193,4 +213,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
 
 
 def op3_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), repeats=True)

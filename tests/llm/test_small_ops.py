@@ -95,6 +95,17 @@ def test_templates_against_brute_force(spark, docs):
     assert decontaminate.contaminated(docs(rows), bench.limit(0)).count() == 0
 
 
+def test_items_of_one_template_are_all_found(spark, docs):
+    ask = "the farmer buys {} eggs on monday and then sells {} eggs to the old mill on friday".format
+    items = [(1, ask(12, 12)), (2, ask(12, 15)), (3, ask(3, 4)), (4, ask(12, 15))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, ask(12, 15)), (2, ask(7, 7)), (3, "well " + ask(3, 4))]
+    got = {(r.doc_id, r.item_id): r.changed for r in decontaminate.contaminated(docs(rows), bench, repeats=True).collect()}
+    # 12 -> 12 and 12 -> 15 would be two values for one
+    assert got == {(1, 2): 0, (1, 3): 2, (1, 4): 0, (2, 1): 1, (3, 2): 2, (3, 3): 0, (3, 4): 2}
+    assert decontaminate.clean(docs(rows), bench).count() == 0
+
+
 # ---- grades
 
 def test_grades_follow_ratings(spark, docs):
