@@ -5,6 +5,10 @@ template. Windows of the templates are hashed. A task looks its documents' windo
 benchmark and passes on those that occur; they meet the benchmark's windows in a hash join. Matches of one document and
 item at one displacement form an alignment. It counts if it covers enough of the item and its slots are consistent:
 each value of the item stands for one value of the document throughout, and no two for the same.
+
+Texts are cut in three ways, and the best alignment of any counts: into words; with runs of placeholders as one, so a value
+may have another number of words; and without placeholders and case, by characters where a script has no blanks, so
+verbatim copies of items that are dense in numbers or names, and copies in other case, are found.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ _EDGE = " .,;:!?\"'`()[]{}<>«»„“”‘’…*#&|~^_=+/\\-–—"
 _NUMBER = re.compile(r"[+-]?[$€£¥]?\d[\d.,:/]*%?")
 _MEASURE = re.compile(r"[+-]?[$€£¥]?\d[\d.,]*([^\W\d]+|°[^\W\d]?)")
 NUMBER, UNIT, NAME, MEASURE, LITERAL = 1, 2, 3, 4, 16
+TEMPLATE, RUNS, VERBATIM = 0, 1, 2  # ways to cut a text into units
+_CHARS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"  # written without blanks
+_UNSPACED = re.compile(f"[{_CHARS}]")
+_UNIT = re.compile(f"[{_CHARS}]|[^\\W{_CHARS}]+")
 
 
 def token_id(token: str) -> int:
@@ -68,24 +76,63 @@ class _Ids(dict):
         return found
 
 
-def _matches(texts, ids: _Ids, sizes, wanted: np.ndarray | None, item_sizes: bool):
-    """(text number, position, window size, hash, slots, number of words, values) of template windows of the texts.
+class _Verbatim(dict):
+    """Remembers the hash of a token as it stands but for case and edges; 0 if it has to be cut into characters."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1 << 19:
+            self.clear()
+        found = self[token] = 0 if _UNSPACED.search(token) else max(LITERAL, xxhash.xxh64_intdigest(token.strip(_EDGE).lower().encode()))
+        return found
+
+
+def _units(own: list[str], code: list[int], mode: int, verbatim: _Verbatim) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a text's units, and the words they start at (with the number of words at the end). TEMPLATE: words.
+    RUNS: the same with runs of names, of numbers, and of a number with its unit as one. VERBATIM: words as they stand, and
+    characters of scripts without blanks."""
+    n = len(code)
+    if mode == VERBATIM:
+        codes = list(map(verbatim.__getitem__, own))
+        if 0 not in codes:
+            return np.array(codes, dtype=np.uint64), np.arange(n + 1)
+        out, starts = [], []
+        for i, (x, c) in enumerate(zip(own, codes)):
+            parts = [c] if c else [max(LITERAL, xxhash.xxh64_intdigest(u.lower().encode())) for u in _UNIT.findall(x)]
+            out += parts
+            starts += [i] * len(parts)
+        return np.array(out, dtype=np.uint64), np.array([*starts, n])
+    c = np.array(code, dtype=np.uint64)
+    if mode == TEMPLATE or n < 2:
+        return c, np.arange(n + 1)
+    one, two = c[:-1], c[1:]
+    starts = np.flatnonzero(np.concatenate(([True], ~((one == two) & ((one == NAME) | (one == NUMBER)) | (one == NUMBER) & (two == UNIT)))))
+    last = c[np.append(starts[1:], n) - 1]
+    return np.where((c[starts] == NUMBER) & (last == UNIT), np.uint64(MEASURE), c[starts]), np.append(starts, n)
+
+
+def _slot(kind: int, words: list[str]) -> str:
+    return f"{kind}{('' if kind == MEASURE else ' ').join(w.strip(_EDGE) for w in words)}"
+
 
-    ``wanted``: sorted hashes to pass on, all if None. ``item_sizes``: a text shorter than the window is one window, and slots
-    are the numbers of their values among the text's different ones, which come with its first window.
+def _matches(texts, ids: _Ids, verbatim: _Verbatim, mode: int, sizes, wanted: np.ndarray | None, item_sizes: bool):
+    """(text number, position, window size, hash, slots, number of words, values, first word, end) of windows of the texts'
+    units. ``wanted``: sorted hashes to pass on, all if None. ``item_sizes``: a text shorter than the window is one window, and
+    slots are the numbers of their values among the text's different ones, which come with its first window.
     """
-    out = ([], [], [], [], [], [], [])
+    out = ([], [], [], [], [], [], [], [], [])
     numbers: dict[int, dict[str, int]] = {}
-    tokens, codes, bounds = [], [], [0]
+    tokens, codes, places, bounds = [], [], [], [0]
     for t in texts:
         own = (t or "").split()
         code = list(map(ids.__getitem__, own))
         if 0 in code:
             own = [x for x, c in zip(own, code) if c]
             code = [c for c in code if c]
+        units, starts = _units(own, code, mode, verbatim)
         tokens.append(own)
-        codes.append(np.array(code, dtype=np.uint64))
-        bounds.append(bounds[-1] + len(code))
+        codes.append(units)
+        places.append(starts)
+        bounds.append(bounds[-1] + len(units))
     if not tokens:
         return out
     code, bounds = np.concatenate(codes), np.array(bounds)
@@ -94,7 +141,7 @@ def _matches(texts, ids: _Ids, sizes, wanted: np.ndarray | None, item_sizes: boo
         h, at = windows(code, bounds, size)
         if not len(h):
             continue
-        h = h ^ np.uint64(size)
+        h = h ^ np.uint64(size + 16 * mode)
         good = literal[at + size] - literal[at] >= LEAST_LITERALS
         if wanted is not None:
             if not len(wanted):
@@ -109,27 +156,33 @@ def _matches(texts, ids: _Ids, sizes, wanted: np.ndarray | None, item_sizes: boo
             at, h, text = at[own], h[own], text[own]
         for a, x, i in zip(at.tolist(), h.view(np.int64).tolist(), text.tolist()):
             first = a - int(bounds[i])
-            kinds = code[a : a + size]
-            own = tokens[i]
-            out[0].append(i)
-            out[1].append(first)
-            out[2].append(size)
-            out[3].append(x)
-            slots = [f"{int(k)}{own[first + j].strip(_EDGE)}" for j, k in enumerate(kinds) if k < LITERAL]
+            own, starts = tokens[i], places[i]
+
+            def slots_of(lo, hi, code=code, base=int(bounds[i]), own=own, starts=starts):
+                return [_slot(int(code[base + j]), own[starts[j] : starts[j + 1]]) for j in range(lo, hi) if code[base + j] < LITERAL]
+
+            slots = slots_of(first, first + size)
             values = None
             if item_sizes:
                 if i not in numbers:
-                    all_slots = [f"{int(k)}{x.strip(_EDGE)}" for x, k in zip(own, code[bounds[i] : bounds[i + 1]]) if k < LITERAL]
-                    values = list(dict.fromkeys(all_slots))
+                    values = list(dict.fromkeys(slots_of(0, len(starts) - 1)))
                     numbers[i] = {v: n for n, v in enumerate(values)}
                 slots = [str(numbers[i][v]) for v in slots]
+            # in scripts without blanks the measure is characters, else words
+            by_unit = mode == VERBATIM
+            out[0].append(i)
+            out[1].append(first)
+            out[2].append(size)
+            out[3].append(x)
             out[4].append(slots)
-            out[5].append(len(own))
+            out[5].append(len(starts) - 1 if by_unit else len(own))
             out[6].append(values)
+            out[7].append(first if by_unit and item_sizes else int(starts[first]))
+            out[8].append(first + size if by_unit and item_sizes else int(starts[first + size]))
     return out
 
 
-_SCHEMA = "_at int, _size int, _hash long, _slots array<string>, _words int, _own array<string>"
+_SCHEMA = "_mode int, _at int, _size int, _hash long, _slots array<string>, _words int, _own array<string>, _from int, _end int"
 
 
 def _windows_of(rows: DataFrame, sizes, wanted, item_sizes: bool) -> DataFrame:
@@ -137,17 +190,17 @@ def _windows_of(rows: DataFrame, sizes, wanted, item_sizes: bool) -> DataFrame:
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        ids = _Ids()
+        ids, verbatim = _Ids(), _Verbatim()
         for batch in batches:
             step = max(1, int(batch.num_rows * (1 << 21) // max(batch.nbytes, 1)))
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
-                text, at, size, h, slots, words, own = _matches(part.column(1).to_pylist(), ids, sizes, wanted.value if wanted is not None else None, item_sizes)
-                if text:
-                    yield pa.record_batch(
-                        [part.column(0).take(pa.array(text)), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(words, pa.int32()), pa.array(own, pa.list_(pa.string()))],
-                        ["_id", "_at", "_size", "_hash", "_slots", "_words", "_own"],
-                    )
+                texts = part.column(1).to_pylist()
+                for mode in (TEMPLATE, RUNS, VERBATIM):
+                    text, at, size, h, slots, words, own, start, end = _matches(texts, ids, verbatim, mode, sizes, wanted.value if wanted is not None else None, item_sizes)
+                    if text:
+                        columns = [pa.array([mode] * len(text), pa.int32()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(words, pa.int32()), pa.array(own, pa.list_(pa.string())), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+                        yield pa.record_batch([part.column(0).take(pa.array(text)), *columns], ["_id", "_mode", "_at", "_size", "_hash", "_slots", "_words", "_own", "_from", "_end"])
 
     return rows.mapInArrow(run, f"_id {kind}, {_SCHEMA}")
 
@@ -156,20 +209,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", tex
     """(doc_id, item_id, coverage, at, changed): documents that contain a benchmark item, one row per pair.
 
     ``coverage`` is the part of the item's words in the best consistent alignment, ``at`` the document word it starts at,
-    ``changed`` the number of slot values that differ. Items with fewer than three literal words, and null or empty
-    texts, match nothing. Items of one template are compared once and each named; of items with equal texts the one with the
+    ``changed`` the number of slot values that differ. Items with fewer than three words (literal ones, unless the copy is verbatim), and
+    null or empty texts, match nothing. Items of one template are compared once and each named; of items with equal texts the one with the
     smallest id is named, or all with ``repeats``. Rows with a null document id are
-    found under a null id. An empty table on either side gives an empty result.
+    found under a null id. Coverage counts characters where verbatim text has no blanks. An empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
     named = benchmark.select(F.col(item).alias("_id"), F.col(item_text).cast("string").alias("_text")).where("_text IS NOT NULL").distinct()
     items = named.groupBy("_text").agg(F.min("_id").alias("_id")).select(F.struct("_id", F.xxhash64("_text").alias("_t")).alias("_id"), "_text")
     known = written(_windows_of(items, range(1, WINDOW + 1), None, True))
     # items with equal windows and equal slots at equal places form a class; its first item stands for it
-    form = known.groupBy("_id").agg(F.sum(F.xxhash64("_at", "_size", "_hash", F.concat_ws(" ", "_slots"), "_words").cast("decimal(38,0)")).alias("_form"), F.count("*").alias("_n"), F.first("_own", ignorenulls=True).alias("_own"))
-    first = form.groupBy("_form", "_n").agg(F.min("_id").alias("_class"))
-    members = written(form.join(first, ["_form", "_n"]).select("_class", F.col("_id").alias("_member"), "_own"))
-    known = written(known.drop("_own").join(members.select(F.col("_class").alias("_id")).distinct(), "_id", "left_semi"))
+    form = known.groupBy("_id", "_mode").agg(F.sum(F.xxhash64("_at", "_size", "_hash", F.concat_ws(" ", "_slots"), "_words").cast("decimal(38,0)")).alias("_form"), F.count("*").alias("_n"), F.first("_own", ignorenulls=True).alias("_own"))
+    first = form.groupBy("_mode", "_form", "_n").agg(F.min("_id").alias("_class"))
+    members = written(form.join(first, ["_mode", "_form", "_n"]).select("_mode", "_class", F.col("_id").alias("_member"), "_own"))
+    known = written(known.drop("_own").join(members.select("_mode", F.col("_class").alias("_id")).distinct(), ["_mode", "_id"], "left_semi"))
     sizes = sorted(r["_size"] for r in known.select("_size").distinct().collect())  # WINDOW values at most
     hashes = known.select("_hash").distinct()
     blocks = max(1, -(-hashes.count() // BLOCK))
@@ -180,22 +233,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", tex
         wanted = spark.sparkContext.broadcast(np.sort(block.view(np.uint64) if block.dtype == np.int64 else block.astype(np.int64).view(np.uint64)))
         part = _windows_of(rows, sizes, wanted, False)
         found = part if found is None else found.unionByName(part)
-    found = found.select(F.col("_id").alias("_doc"), F.col("_at").alias("_pos"), "_size", "_hash", F.col("_slots").alias("_values"))
-    both = found.join(known, ["_hash", "_size"]).withColumn("_shift", F.col("_pos") - F.col("_at"))
-    both = both.select("_doc", "_id", "_shift", "_at", "_size", "_words", F.expr("zip_with(_slots, _values, (a, b) -> struct(a AS a, b AS b))").alias("_pairs"))
+    found = found.select(F.col("_id").alias("_doc"), "_mode", F.col("_at").alias("_pos"), F.col("_from").alias("_start"), "_size", "_hash", F.col("_slots").alias("_values"))
+    both = found.join(known, ["_mode", "_hash", "_size"]).withColumn("_shift", F.col("_pos") - F.col("_at"))
+    both = both.select("_doc", "_mode", "_id", "_shift", "_start", "_from", "_end", "_words", F.expr("zip_with(_slots, _values, (a, b) -> struct(a AS a, b AS b))").alias("_pairs"))
     # an alignment has at most as many windows and slots as its item has words
-    aligned = both.groupBy("_doc", "_id", "_shift").agg(
-        F.sort_array(F.collect_set(F.struct("_at", "_size"))).alias("_at"),
+    aligned = both.groupBy("_doc", "_mode", "_id", "_shift").agg(
+        F.sort_array(F.collect_set(F.struct("_from", "_end"))).alias("_at"),
+        F.min("_start").alias("at"),
         F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs"),
         F.first("_words").alias("_words"),
     )
-    covered = F.expr("aggregate(_at, struct(0 AS n, -1 AS e), (s, w) -> struct(s.n + greatest(0, w._at + w._size - greatest(s.e, w._at)) AS n, greatest(s.e, w._at + w._size) AS e)).n")
+    covered = F.expr("aggregate(_at, struct(0 AS n, -1 AS e), (s, w) -> struct(s.n + greatest(0, w._end - greatest(s.e, w._from)) AS n, greatest(s.e, w._end) AS e)).n")
     values = [F.size(F.array_distinct(F.col(f"_pairs.{f}"))) for f in ("a", "b")]
     aligned = aligned.select(
-        "_doc", "_id", (covered / F.col("_words")).alias("coverage"), (F.col("_shift") + F.col("_at")[0]["_at"]).alias("at"),
-        "_pairs", ((F.size("_pairs") == values[0]) & (F.size("_pairs") == values[1])).alias("_consistent"),
-    ).where(F.col("_consistent") & (F.col("coverage") >= COVERAGE))
-    each = aligned.join(members, F.col("_id") == F.col("_class")).withColumn("changed", F.size(F.expr("filter(_pairs, p -> _own[int(p.a)] <> p.b)")))
+        "_doc", "_mode", "_id", (covered / F.col("_words")).alias("coverage"), "at",
+        "_pairs", ((F.size("_pairs") == values[0]) & (F.size("_pairs") == values[1])).alias("_consistent"), "_words",
+    ).where(F.col("coverage") >= COVERAGE)
+    each = aligned.join(members.withColumnRenamed("_class", "_id"), ["_mode", "_id"]).withColumn("changed", F.size(F.expr("filter(_pairs, p -> _own[int(p.a)] <> p.b)")))
+    each = written(each.drop("_own", "_pairs"))
+    # a copy with inconsistent slots also repeats the words between them, and does not count for those
+    bad = each.where(~F.col("_consistent") & (F.col("_mode") == TEMPLATE)).select(F.col("_doc").alias("_doc2"), F.col("_member").alias("_member2"), F.col("coverage").alias("_more"), F.col("at").alias("_at2"))
+    unfit = F.col("_doc").eqNullSafe(F.col("_doc2")) & (F.col("_member") == F.col("_member2")) & (F.col("_more") > F.col("coverage")) & (F.abs(F.col("at") - F.col("_at2")) < F.col("_words"))
+    each = each.where("_consistent").join(bad, unfit & (F.col("_mode") == VERBATIM), "left_anti")
     best = each.groupBy("_doc", "_member").agg(F.min(F.struct((-F.col("coverage")).alias("c"), "changed", "at")).alias("_best"))
     best = best.select("_doc", F.col("_member._id").alias("_id"), F.col("_member._t").alias("_t"), "_best")
     if repeats:

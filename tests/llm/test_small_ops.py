@@ -106,6 +106,21 @@ def test_items_of_one_template_are_all_found(spark, docs):
     assert decontaminate.clean(docs(rows), bench).count() == 0
 
 
+def test_copies_without_enough_literals_are_found(spark, docs):
+    items = [
+        (1, "12 + 15 = 27 and 13 + 14 = 27 so 27 - 3 = 24"), (2, "The Great Fire Of London Began In Pudding Lane"), (3, "the red fox of Anna Berg met Carl Dahl near Lake Vern"),
+        (4, "一个农民有十二个鸡蛋他卖掉了五个还剩几个"), (5, "yesterday Bob walked slowly past the mill and then over 5 km of sand"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, "see " + items[0][1]), (2, items[1][1]), (3, items[1][1].upper()), (4, items[2][1].lower()), (5, "前面" + items[3][1] + "。"),
+        (6, "yesterday Mary Ann walked slowly past the mill and then over 7km of sand"), (7, "12 + 15 and 3"), (8, "The Great Mill Of Bergen Began In Old Lane"),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs(rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 3), (5, 4), (6, 5)}
+    assert got[3, 2].coverage == got[5, 4].coverage == got[6, 5].coverage == 1 and got[6, 5].changed == 2
+
+
 # ---- grades
 
 def test_grades_follow_ratings(spark, docs):
