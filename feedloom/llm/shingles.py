@@ -43,8 +43,13 @@ def _prefix(s: np.ndarray, late: np.ndarray, similarity: float) -> np.ndarray:
     return s[:n]
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    return np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _rows(rows: DataFrame, k: int, similarity: float, late=None, whole: bool = False) -> DataFrame:
-    """(_doc, _set, _n, _hashes) per (_doc, _text) row: its set's hash and size, and the set's prefix, or all of it."""
+    """(_doc, _set, _n, _hashes, _bits) per (_doc, _text) row: its set's hash and size, the set's prefix, or all of it with the
+    parities of its counts in 256 cells: two sets differ in as many shingles at least as their parities differ in bits."""
     kind = rows.schema["_doc"].dataType.simpleString()
 
     def run(batches):
@@ -57,11 +62,11 @@ def _rows(rows: DataFrame, k: int, similarity: float, late=None, whole: bool = F
             bounds = np.concatenate(([0], np.cumsum([len(s) for s in shown]))).astype(np.int32)
             flat = np.concatenate(shown).view(np.int64)
             yield pa.record_batch(
-                [part.column(0), pa.array(names), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))],
-                ["_doc", "_set", "_n", "_hashes"],
+                [part.column(0), pa.array(names), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), pa.array([_parities(s).tolist() if whole else None for s in sets], pa.list_(pa.int64()))],
+                ["_doc", "_set", "_n", "_hashes", "_bits"],
             )
 
-    return rows.mapInArrow(run, f"_doc {kind}, _set long, _n int, _hashes array<long>")
+    return rows.mapInArrow(run, f"_doc {kind}, _set long, _n int, _hashes array<long>, _bits array<long>")
 
 
 def _sizes_fit(a: str, b: str, similarity: float) -> Column:
@@ -82,11 +87,15 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, similarity: float = SIMILA
     shared = keyed.groupBy("_h").agg(F.min(F.struct("_set", "_n")).alias("_lo"), F.max("_set").alias("_hi")).where("_lo._set <> _hi").select("_h", "_lo")
     met = written(keyed.join(shared, "_h"))
     wanted = met.select("_set").distinct()
-    whole = _rows(texts, k, similarity, whole=True).select("_set", "_hashes").join(wanted, "_set", "left_semi")
-    whole = written(whole.groupBy("_set").agg(F.first("_hashes").alias("_hashes")))
+    whole = _rows(texts, k, similarity, whole=True).select("_set", "_n", "_hashes", "_bits").join(wanted, "_set", "left_semi")
+    whole = written(whole.groupBy("_set").agg(*[F.first(c).alias(c) for c in ("_n", "_hashes", "_bits")]))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        one = pairs.distinct().join(whole.select(F.col("_set").alias("a"), F.col("_hashes").alias("_x")), "a")
+        bits = [whole.select(F.col("_set").alias(c), F.col("_n").alias(f"_n{c}"), F.col("_bits").alias(f"_bits{c}")) for c in "ab"]
+        differ = F.expr("aggregate(zip_with(_bitsa, _bitsb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+        most = (F.col("_na") + F.col("_nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+        pairs = pairs.distinct().join(bits[0], "a").join(bits[1], "b").where(differ <= most).select("a", "b")
+        one = pairs.join(whole.select(F.col("_set").alias("a"), F.col("_hashes").alias("_x")), "a")
         both = one.join(whole.select(F.col("_set").alias("b"), F.col("_hashes").alias("_y")), "b")
         same = F.size(F.array_intersect("_x", "_y"))
         return both.where(same >= (F.size("_x") + F.size("_y") - same) * F.lit(similarity) - 1e-9).select("a", "b")
