@@ -319,16 +319,19 @@ def extraction_warnings(spark, sf):
     return ln.extraction_warnings(counts).withColumn("warnings", F.array_join("warnings", "|"))
 
 
+FILES = """SELECT doc_id, 1 + n_chars % 100 AS pages FROM documents UNION ALL SELECT -1 - doc_id, 1 + n_chars % 100 FROM documents"""
+
+
 @query(
     "scan_detection",
-    f"""WITH f AS (SELECT doc_id, 1 + n_chars % 100 AS pages FROM documents),
-c AS (SELECT doc_id, CAST(sum(length({sql_strip('line')})) AS BIGINT) AS c FROM report_lines WHERE doc_id % 50 <> 0 GROUP BY ALL)
+    f"""WITH f AS ({FILES}), c AS (SELECT doc_id, CAST(sum(length({sql_strip('line')})) AS BIGINT) AS c FROM report_lines GROUP BY ALL)
 SELECT doc_id, pages, coalesce(c, 0) AS text_chars, coalesce(c, 0) < floor(50 * greatest(1, pages) / 10) AS likely_scan FROM f LEFT JOIN c USING (doc_id)""",
 )
 def scan_detection(spark, sf):
-    """Page counts come from the file; every fiftieth file has no text block at all."""
+    """Page counts come from the file. Beside each file stands a scan of it, under a negative number, with no text block at all."""
     files = table(spark, sf, "documents").selectExpr("doc_id", "1 + n_chars % 100 AS pages")
-    return ln.scan_detection(view(spark, sf, "report_lines").filter("doc_id % 50 <> 0"), files, ["doc_id"], text="line")
+    scans = files.select((-1 - F.col("doc_id")).alias("doc_id"), "pages")
+    return ln.scan_detection(view(spark, sf, "report_lines"), files.unionByName(scans), ["doc_id"], text="line")
 
 
 # --- preparation ---------------------------------------------------------------------------

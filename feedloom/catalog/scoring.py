@@ -65,7 +65,7 @@ rk AS (SELECT ord, ex_id, s, row_number() OVER (PARTITION BY ord ORDER BY s DESC
 
 @query("topk_examples_blocked", f"WITH {BLOCKED} SELECT ord, ex_id, {sql_half_even('s', 3)} AS similarity, CAST(rank AS INT) AS rank FROM rk WHERE rank <= 3")
 def topk_examples_blocked(spark, sf):
-    """Without the sequence term; comments reach an example through shared tokens only."""
+    """Without the sequence term."""
     c = view(spark, sf, "comments").select("ord", "text")
     return rt.topk_examples(c, view(spark, sf, "examples"), 3, with_ratio=False)
 
@@ -81,26 +81,36 @@ def format_examples(spark, sf):
     return rt.format_examples(found, e)
 
 
+def with_item(spark, sf):
+    """Each document beside one labelled example."""
+    e = view(spark, sf, "examples").select("ex_id", "feedback")
+    n = e.agg(F.count("*").alias("n")).scalar()
+    return table(spark, sf, "documents").withColumn("ex_id", F.col("doc_id") % n).join(e, "ex_id")
+
+
+@query("text_match_score")
+def text_match_score(spark, sf):
+    """Whole texts, containment and the three ratios; held against the plain rule in the tests."""
+    return with_item(spark, sf).select("doc_id", rt.half_even(rt.text_match_score(F.col("text"), F.col("feedback")), 6).alias("similarity"))
+
+
 @query(
-    "text_match_score",
-    f"""WITH n AS (SELECT doc_id, {sql_key('substr(text, 1 + n_chars % 50)')} AS l, {sql_key('feedback')} AS r FROM documents JOIN examples ON ex_id = doc_id % (SELECT count(*) FROM benchmark))
+    "text_match_levenshtein",
+    f"""WITH n AS (SELECT doc_id, {sql_key('text')} AS l, {sql_key('feedback')} AS r FROM documents JOIN examples ON ex_id = doc_id % (SELECT count(*) FROM benchmark))
 SELECT doc_id, {sql_half_even("CASE WHEN l = '' OR r = '' THEN 0.0::DOUBLE WHEN contains(l, r) OR contains(r, l) THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - CAST(levenshtein(l, r) AS DOUBLE) / greatest(length(l), length(r)) END", 6)} AS similarity FROM n""",
 )
-def text_match_score(spark, sf):
-    """The edit-distance variant; the sequence-ratio form is covered by a unit test and by match_one_to_one."""
-    e = view(spark, sf, "examples").select("ex_id", "feedback")
-    n = e.agg(F.count("*").alias("n")).scalar()
-    d = table(spark, sf, "documents").withColumn("ex_id", F.col("doc_id") % n).join(e, "ex_id")
-    left, right = tx.canonical_key(F.expr("substr(text, 1 + n_chars % 50)")), tx.canonical_key(F.col("feedback"))
-    d = d.select("doc_id", left.alias("l"), right.alias("r"))
+def text_match_levenshtein(spark, sf):
+    """The edit-distance variant, also over whole texts."""
+    d = with_item(spark, sf).select("doc_id", tx.canonical_key(F.col("text")).alias("l"), tx.canonical_key(F.col("feedback")).alias("r"))
     return d.select("doc_id", rt.half_even(rt.text_match_levenshtein(F.col("l"), F.col("r")), 6).alias("similarity"))
 
 
 @query("match_one_to_one")
 def match_one_to_one(spark, sf):
+    """Every benchmark row with its match, or with the best of what was left for it."""
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("b_idx"), "text")
     p = table(spark, sf, "documents").select(F.col("doc_id").alias("p_idx"), "text")
-    return rt.match_one_to_one(rt.similar_pairs(b, p))
+    return rt.match_report(b, p)
 
 
 # --- requests and cache --------------------------------------------------------------------

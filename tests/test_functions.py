@@ -4,6 +4,7 @@ import random
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,62 @@ def test_similar_pairs_equal_brute_force(spark):
     got = {(r["b_idx"], r["p_idx"]): r["similarity"] for r in rt.similar_pairs(b, p).collect()}
     want = {(i, j): text_match(x, y) for i, x in enumerate(texts[:20]) for j, y in enumerate(texts[20:])}
     assert got == {k: v for k, v in want.items() if v >= 0.8}
+
+
+def plain_text_match(left, right):
+    if not left or not right:
+        return 0.0
+    if left in right or right in left:
+        return 1.0
+    short, long_ = (left, right) if len(left) <= len(right) else (right, left)
+    pairs = ((left, right), (short, long_[: len(short)]), (short, long_[-len(short) :]))
+    return max(SequenceMatcher(None, a, b).ratio() for a, b in pairs)
+
+
+def test_text_match_and_its_bounds():
+    from feedloom.functions import matching
+
+    rng = random.Random(2)
+    for _ in range(3000):
+        a = "".join(rng.choice("abc é") for _ in range(rng.randrange(0, 25)))
+        b = "".join(rng.choice("abc é") for _ in range(rng.randrange(0, 25))) if rng.random() < 0.3 else "".join(c for c in a if rng.random() > 0.1) + rng.choice(["", "x", "xyz"])
+        assert matching.text_match(a, b) == plain_text_match(a, b)
+        if a and b and matching.text_match(a, b) >= 0.8:
+            tables = (np.array([f(b)]) for f in (matching.character_counts, matching.bigram_counts))
+            assert list(matching.could_match(a, *tables, np.array([len(b)]), 0.8)) == [0]
+
+
+def plain_match(benchmark, predictions):
+    used, out = set(), {}
+    for b, t in benchmark:
+        best = (0.0, None)
+        for p, x in predictions:
+            if p not in used and plain_text_match(t, x) > best[0]:
+                best = (plain_text_match(t, x), p)
+        if best[0] >= 0.8:
+            used.add(best[1])
+        out[b] = (best[0] >= 0.8, best[1], best[0])
+    return out
+
+
+@pytest.mark.parametrize("block", [2_000, 3])
+def test_match_report_equals_the_sequential_rule(spark, monkeypatch, block):
+    monkeypatch.setattr(rt, "CHUNK_ROWS", block)
+    rng = random.Random(block)
+    words = "exam pace slide notes lab clear fast slow".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) for _ in range(36)] + ["", "zz"]
+    texts[21:27] = [texts[1]] * 6  # more copies of one text than the benchmark has
+    texts[3] = texts[4] = texts[1]
+    b, p = list(enumerate(texts[:16] + ["", "qqqq", "xx"])), list(enumerate(texts[16:]))
+    got = rt.match_report(spark.createDataFrame(b, "b_idx bigint, text string"), spark.createDataFrame(p, "p_idx bigint, text string")).collect()
+    assert {r["b_idx"]: (r["matched"], r["p_idx"], r["similarity"]) for r in got} == plain_match(b, p)
+
+
+def test_topk_examples_of_many_copies(spark):
+    c = spark.createDataFrame([(i, "slow pace exam") for i in range(200)] + [(200, "pace of the exam")], "ord bigint, text string")
+    e = spark.createDataFrame([(i, "exam pace", 1, 3) for i in range(50)] + [(99, "slow pace exam", 1, 3)], "ex_id bigint, feedback string, topic_no int, score int")
+    got = rt.topk_examples(c, e, 3).collect()
+    assert len(got) == 201 * 3
+    assert {(r["ex_id"], r["rank"]) for r in got if r["ord"] < 200} == {(0, 1), (1, 2), (2, 3)}
+    both = rt.topk_examples(c, e, 3, skip_equal=False).where("ord = 7").collect()
+    assert sorted((r["rank"], r["ex_id"], r["similarity"]) for r in both)[0] == (1, 99, 1.0)
