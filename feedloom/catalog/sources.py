@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from feedloom import dims
@@ -15,7 +13,7 @@ from feedloom.plans import report
 from feedloom.plans.report import KEYS
 from feedloom.sources import files
 from feedloom.streaming import jobs
-from feedloom.views import BASE_TABLES, table, view, view_sql
+from feedloom.views import table, view
 
 
 @query("src_csv_survey", "SELECT doc_id, nullif(text, '') AS answer, lang FROM documents")
@@ -222,31 +220,63 @@ def schema_evolve(spark, sf):
 
 
 # --- streams -------------------------------------------------------------------------------
-def stream_view(spark, sf, name):
-    """A view over a stream instead of a table."""
-    text = view_sql(name, "spark")
-    used = [t for t in BASE_TABLES if re.search(rf"\bFROM {t}\b", text)]
-    for t in used:
-        text = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", text)
-    return spark.sql(text, **{t: jobs.file_stream(spark, sf, f"{t}.parquet") for t in used})
+def time_slice(rows, time, count):
+    """0 to count - 1 by time, from the first row's to the last one's."""
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    low, high = rows.agg(F.min(at)).scalar(), rows.agg(F.max(at)).scalar()
+    return F.floor((at - low) * count / (high - low + 1)).cast("int")
 
 
-@query("stream_dedupe", f"SELECT source AS course_id, {sql_ws('text')} AS text FROM documents WHERE {sql_strip('text')} <> '' GROUP BY ALL")
+@query(
+    "stream_dedupe",
+    f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS course_id, {sql_ws('event_type')} AS text, ts FROM events WHERE {sql_strip('event_type')} <> ''),
+l AS (SELECT course_id, text, list_reduce(list([ts] ORDER BY ts), lambda a, b: CASE WHEN b[1] > a[len(a)] + INTERVAL '1 day' THEN list_concat(a, b) ELSE a END) AS kept FROM e GROUP BY ALL)
+SELECT course_id, text, unnest(kept) AS at FROM l""",
+)
 def stream_dedupe(spark, sf):
-    items = stream_view(spark, sf, "comments").select("course_id", "text")
-    items = items.withColumn("at", F.lit("2024-01-01").cast("timestamp"))
-    out = jobs.stream_dedupe(items, ["course_id"], "at", "30 days")
-    return jobs.run_to_table(out, files.scratch(spark, "dedupe")).select("course_id", "text")
+    """Answers of each user, delivered in three batches; the job is started again for each."""
+    events = table(spark, sf, "events")
+    items = events.select(F.col("user_id").cast("string").alias("course_id"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("at"))
+    path = files.scratch(spark, "dedupe")
+    for stream in jobs.replay(items, time_slice(items, "at", 3), 3, f"{path}-in"):
+        out = jobs.run_to_table(jobs.stream_dedupe(stream, ["course_id"], "at", "1 day"), path)
+    return out.select("course_id", "text", F.col("at").cast("timestamp_ntz").alias("at"))
 
 
 USAGE = "count(*) AS runs, coalesce(CAST(sum(CAST(cost_usd AS DECIMAL(20,10))) FILTER (NOT used_own_key) AS DOUBLE), 0.0::DOUBLE) AS cost_usd, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens"
+# rows whose id ends in 07 (13) of 40 are delivered one batch (two batches) late
+DELAY = 12
+
+
+def sql_windows(days: int) -> str:
+    """Usage per window of ``days`` days, one starting each day. A row counts in a window that ends after the watermark of the batches
+    before its own."""
+    return f"""WITH span AS (SELECT min(epoch_us(created_at)) AS lo, max(epoch_us(created_at)) AS hi FROM usage_log),
+b AS (SELECT u.*, CAST(floor((epoch_us(created_at) - lo) * 3 / (hi - lo + 1)) AS INT) + CASE id % 40 WHEN 7 THEN 1 WHEN 13 THEN 2 ELSE 0 END AS batch FROM usage_log u, span),
+seen AS (SELECT batch, max(max(created_at)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL {DELAY} DAY AS mark FROM b GROUP BY batch),
+w AS (SELECT b.*, mark, date_trunc('day', created_at) - to_days(CAST(k AS INT)) AS window_start FROM b JOIN seen USING (batch), LATERAL (SELECT unnest(range(0, {days})) AS k))
+SELECT CAST(window_start AS TIMESTAMP) AS window_start, user_id, {USAGE} FROM w WHERE mark IS NULL OR window_start + INTERVAL {days} DAY > mark GROUP BY ALL"""
+
+
+def usage_windows(spark, sf, name, window, slide):
+    """Rows arrive in batches by time, some of them late: within the delay they count, beyond it they are dropped."""
+    usage = view(spark, sf, "usage_log")
+    late = F.when(F.col("id") % 40 == 7, 1).when(F.col("id") % 40 == 13, 2).otherwise(0)
+    path = files.scratch(spark, name)
+    for stream in jobs.replay(usage, time_slice(usage, "created_at", 3) + late, 5, f"{path}-in"):
+        out = jobs.stream_usage_windows(stream, window, slide, f"{DELAY} days")
+        latest = jobs.run_latest(out, path, ["window_start", "user_id"])
+    return latest.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("stream_usage_windows", f"SELECT date_trunc('day', created_at) AS window_start, user_id, {USAGE} FROM usage_log GROUP BY ALL")
+@query("stream_usage_windows", sql_windows(1))
 def stream_usage_windows(spark, sf):
-    out = jobs.stream_usage_windows(stream_view(spark, sf, "usage_log"), delay="60 days")
-    latest = jobs.run_latest(out, files.scratch(spark, "usage"), ["window_start", "user_id"])
-    return latest.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return usage_windows(spark, sf, "usage", "1 day", None)
+
+
+@query("stream_usage_sliding", sql_windows(7))
+def stream_usage_sliding(spark, sf):
+    return usage_windows(spark, sf, "sliding", "7 days", "1 day")
 
 
 @query(
@@ -254,4 +284,8 @@ def stream_usage_windows(spark, sf):
     f"WITH s AS (SELECT {K}, topic_no, count(*) AS comment_count, count(score) AS scored_comment_count, avg(score) AS m FROM assignments GROUP BY ALL) SELECT {K}, topic_no, comment_count, scored_comment_count, {sql_round2('m')} AS average_score FROM s",
 )
 def stream_topic_upsert(spark, sf):
-    return jobs.stream_topic_upsert(stream_view(spark, sf, "assignments"), files.scratch(spark, "topics"), KEYS)
+    """Assignments arrive in three batches by order number."""
+    rows, path = view(spark, sf, "assignments"), files.scratch(spark, "topics")
+    for stream in jobs.replay(rows, F.pmod("ord", F.lit(3)), 3, f"{path}-in"):
+        out = jobs.stream_topic_upsert(stream, path, KEYS)
+    return out
