@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from feedloom import dims
 from feedloom.functions import text as tx
 from feedloom.operators.ordered import block_of, row_numbers
-from feedloom.operators.stages import shared_folder
+from feedloom.operators.stages import shared_folder, written
 
 # Field names of the interchange format.
 REPORT_SCHEMA = """course_id string, model string, overall_score double,
@@ -33,56 +33,66 @@ def scratch(spark: SparkSession, name: str) -> str:
 # --- CSV ----------------------------------------------------------------------------------
 
 
-def _bad_encoding(spark: SparkSession, path: str) -> list[str]:
-    """Names of files that are not UTF-8 (names only reach the driver)."""
-    files = spark.read.format("binaryFile").load(path)
-    return [r["path"] for r in files.filter(~F.is_valid_utf8(F.col("content").cast("string"))).select("path").collect()]
-
-
-def _read_ragged(spark: SparkSession, paths, names: Sequence[str], header: bool, encoding: str) -> DataFrame:
-    """Rows with too many fields are skipped, rows with too few are filled with nulls."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_extra", "_bad"]])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", header)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", encoding)
-        .csv(paths)
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row_no, record): the records of CSV files, quoted line breaks included, numbered from 0 in each file. Blank lines between
+    records have no number. A file that is not UTF-8 throughout is read as Latin-1.
+
+    Files are read as lines, split like any text. Whether a line starts a record depends on the quotes before it: each split is
+    summed up by its quotes and by how many records start in it after an even and after an odd number of quotes; one row per split
+    goes through a window of its file, and the lines of a split need nothing but that row.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("_raw")
     )
-    raw = raw.withColumn("file", F.col("_metadata.file_path"))
-    # a row of the right width is one field short of the schema, hence flagged and without an extra field
-    return raw.filter(F.col("_extra").isNull()).drop("_extra", "_bad")
+    lines = written(lines)
+    value = F.col("_raw").cast("string")
+    quotes = (F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))).cast("long")
+    inside = Window.partitionBy("file", "_split").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("_q", quotes).withColumn("_blank", F.regexp_replace(value, "\r$", "") == "").withColumn("_sum", F.sum("_q").over(inside))
+    before = F.col("_sum") - F.col("_q")
+    splits = lines.groupBy("file", "_split").agg(
+        F.sum("_q").alias("_q"), F.bool_or(~F.is_valid_utf8(value)).alias("_odd"),
+        *[F.count_if((before % 2 == p) & ~F.col("_blank")).alias(f"_s{p}") for p in (0, 1)],
+    )
+    by_file, earlier = Window.partitionBy("file"), Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_in", F.coalesce(F.sum("_q").over(earlier), F.lit(0)) % 2).withColumn("_latin", F.bool_or("_odd").over(by_file))
+    splits = splits.withColumn("_starts", F.when(F.col("_in") == 0, F.col("_s0")).otherwise(F.col("_s1")))
+    splits = splits.select("file", "_split", "_in", "_latin", F.coalesce(F.sum("_starts").over(earlier), F.lit(0)).alias("_rows"))
+    lines = lines.join(splits, ["file", "_split"])
+    outside = (before + F.col("_in")) % 2 == 0
+    lines = lines.withColumn("_new", outside & ~F.col("_blank")).filter(~(outside & F.col("_blank")))
+    text = F.when(F.col("_latin"), F.decode("_raw", "ISO-8859-1")).otherwise(value)
+    lines = lines.select(
+        "file", (F.col("_rows") + F.sum(F.col("_new").cast("long")).over(inside) - 1).alias("row_no"), "_split", "_id",
+        text.alias("_line"), (F.col("_new") & (F.col("_q") % 2 == 0)).alias("_alone"),
+    )
+    # only records over several lines are put together; each is as long as its cell
+    joined = lines.filter(~F.col("_alone")).groupBy("file", "row_no").agg(F.array_sort(F.collect_list(F.struct("_split", "_id", "_line"))).alias("_l"))
+    records = lines.filter("_alone").select("file", "row_no", F.col("_line").alias("record"))
+    records = records.unionByName(joined.select("file", "row_no", F.array_join(F.col("_l._line"), "\n").alias("record")))
+    return records.withColumn("record", F.regexp_replace(F.regexp_replace("record", "\r$", ""), "^\ufeff", ""))
 
 
-def _read_any(spark: SparkSession, path: str, names: Sequence[str], header: bool) -> DataFrame:
-    latin = set(_bad_encoding(spark, path))
-    rows = _read_ragged(spark, path, names, header, "UTF-8")
-    if not latin:
-        return rows
-    good = rows.filter(~F.col("file").isin(sorted(latin)))
-    return good.unionByName(_read_ragged(spark, sorted(latin), names, header, "ISO-8859-1"))
+def _fields(records: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(file, row_no, fields): rows with too many fields are skipped, rows with too few are filled with nulls."""
+    schema = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_extra", T.StringType()), T.StructField("_bad", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
+    # a row of the right width is one field short of the schema, hence flagged and without an extra field
+    parsed = records.select("file", "row_no", F.from_csv("record", schema.simpleString(), options).alias("_f"))
+    return parsed.filter(F.col("_f._extra").isNull()).select("file", "row_no", F.array(*[F.col(f"_f.f{i}") for i in range(len(names))]).alias("fields"))
 
 
 def read_csv_survey(spark: SparkSession, path: str) -> DataFrame:
     """A headed CSV as strings, with the file each row came from."""
     names = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path).columns
-    return _read_any(spark, path, names, True)
+    rows = _fields(_records(spark, path), names).filter(F.col("row_no") > 0)
+    return rows.select(*[F.col("fields")[i].alias(n) for i, n in enumerate(names)], "file")
 
 
 def read_csv_grid(spark: SparkSession, path: str) -> DataFrame:
-    """The same files headless, as cells ``(file, row_no, col, text)``.
-
-    A multi-line file is read by one task from top to bottom, so ids that rise within a task give the row order.
-    """
-    width = len(spark.read.option("header", False).option("multiLine", True).csv(path).columns)
-    names = [f"c{i}" for i in range(width)]
-    rows = _read_any(spark, path, names, False).withColumn("_id", F.monotonically_increasing_id())
-    rows = rows.withColumn("row_no", F.col("_id") - F.min("_id").over(Window.partitionBy("file")))
-    cells = rows.select("file", "row_no", F.posexplode(F.array(*names)).alias("col", "text"))
+    """The same files headless, as cells ``(file, row_no, col, text)``. A skipped row keeps its number."""
+    names = spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path).columns
+    cells = _fields(_records(spark, path), names).select("file", "row_no", F.posexplode("fields").alias("col", "text"))
     return cells.filter(F.col("text").isNotNull())
 
 
