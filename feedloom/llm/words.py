@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 STRETCH = 1 << 20
-_ODD = 0x9E3779B97F4A7C15
+_ODD, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
+LENGTH = np.uint64(0xBF58476D1CE4E5B9)  # the weight of a word's length in its hash
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, STRETCH + 1)
         up = np.full(size, _ODD, dtype=np.uint64)
@@ -87,7 +88,7 @@ def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words
         is_start = word & (first[:-1] | np.concatenate(([True], sep[:-1])))
         is_end = word & (first[1:] | np.concatenate((sep[1:], [True])))
         s, e = np.flatnonzero(is_start), np.flatnonzero(is_end) + 1
-        up, down = _tables(b - a + 1)
+        up, down = power_tables(b - a + 1)
         low = _LOWER[part] if lower else part
         total = np.empty(b - a + 1, dtype=np.uint64)
         total[0] = 0
@@ -108,6 +109,18 @@ def hash_of(word: str | bytes, lower: bool = True) -> int:
     return int(words_in(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), lower).hashes[0])
 
 
+def word_hash(raw: bytes) -> int:
+    """The same without arrays, as the word is written."""
+    h, power = len(raw) * int(LENGTH), 1
+    for b in raw:
+        h += (b + 1) * power
+        power = power * _ODD & _ALL
+    h &= _ALL
+    h = (h ^ h >> 30) * int(_M1) & _ALL
+    h = (h ^ h >> 27) * int(_M2) & _ALL
+    return h ^ h >> 31
+
+
 def doc_of_word(w: Words) -> np.ndarray:
     return np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
 
