@@ -29,7 +29,7 @@ from feedloom.operators.stages import written
 WINDOW = 5
 LEAST_LITERALS = 3  # words in a window that are no placeholders
 COVERAGE = 0.6  # part of the item's words that one alignment has to cover
-MOST_TOKENS = 1 << 20  # different tokens that a worker remembers
+MOST_TOKENS = 1 << 16  # different odd tokens that a worker remembers
 NEAR = 8  # displacements that align together
 BLOCK = 2_000_000  # window hashes of the benchmark that one pass over the documents carries (16 MB)
 
