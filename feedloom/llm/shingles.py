@@ -2,9 +2,12 @@
 
 Shingles have one order that holds for all texts. Of two sets with Jaccard similarity t, the first n - ceil(t n) + 1 shingles
 of either (its prefix) have one in common, so texts that share no prefix shingle need no comparison and no similar pair is
-missed. Frequent shingles come last in the order, so a passage that many texts carry is in few prefixes. Equal sets are one
-class. Classes that share a prefix shingle are compared with one of them first; of the rest, only pairs that are not yet
-connected are compared with each other.
+missed. Frequent shingles come last in the order, so a passage that many texts carry is in few prefixes; which ones are late is
+kept as a bitmap of fixed size over hashes, since any common order will do. Equal sets are one class. Classes that share a
+prefix shingle are compared with one of them first; of the rest, only pairs that are not yet connected are compared.
+
+Texts are read and hashed once. Prefix rows carry the place of their shingle, which bounds what the two sets can share; parities of
+counts bound what they differ in; only pairs that pass both fetch their sets.
 """
 
 from __future__ import annotations
@@ -15,12 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.components import components
+from feedloom.llm.scratch import Scratch
 from feedloom.llm.words import mix, pieces, windows, words_of
-from feedloom.operators.stages import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 FREQUENT = 50  # sets with a shingle in their prefix beyond which it goes to the end of the order
+LATE_BITS = 27  # a bitmap of 16 MB
+CELLS = 1024
+PIECE = 1 << 20  # bytes that a task works on at a time
 
 
 def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -35,77 +41,150 @@ def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def _prefix(s: np.ndarray, late: np.ndarray, similarity: float) -> np.ndarray:
+def _prefix(s: np.ndarray, late: np.ndarray | None, similarity: float) -> np.ndarray:
     n = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
-    if len(late) and len(s):
-        is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+    if late is not None and len(s):
+        place = s & np.uint64((1 << LATE_BITS) - 1)
+        is_late = (late[(place >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
         s = np.concatenate((s[~is_late], s[is_late]))
     return s[:n]
 
 
-def _parities(s: np.ndarray) -> np.ndarray:
-    return np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+def _parities(s: np.ndarray) -> bytes:
+    """The parities of how many shingles fall into each of ``CELLS`` cells: two sets differ in as many shingles at least as
+    their parities differ in bits."""
+    return np.packbits((np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).tobytes()
 
 
-def _rows(rows: DataFrame, k: int, similarity: float, late=None, whole: bool = False) -> DataFrame:
-    """(_doc, _set, _n, _hashes, _bits) per (_doc, _text) row: its set's hash and size, the set's prefix, or all of it with the
-    parities of its counts in 256 cells: two sets differ in as many shingles at least as their parities differ in bits."""
+def _named_sets(rows: DataFrame, k: int) -> DataFrame:
+    """(_doc, _set, _n, _bits, _hashes) per (_doc, _text) row: the name and size of its set of shingles. A task gives the set itself and
+    its parities with the first of its texts that has it (it forgets which ones it has given when they are many)."""
     kind = rows.schema["_doc"].dataType.simpleString()
 
     def run(batches):
-        last = late.value if late is not None else np.zeros(0, np.uint64)
-        for part in pieces(batches):
+        given: set[int] = set()
+        for part in pieces(batches, PIECE):
             sets = _sets(part.column(1), k)
             # a sum of mixed hashes does not depend on their order
-            names = np.array([int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
-            shown = sets if whole else [_prefix(s, last, similarity) for s in sets]
-            bounds = np.concatenate(([0], np.cumsum([len(s) for s in shown]))).astype(np.int32)
-            flat = np.concatenate(shown).view(np.int64)
+            names = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in sets]
+            new = []
+            for name in names:
+                new.append(name not in given)
+                given.add(name)
+            if len(given) > 1 << 17:
+                given.clear()
             yield pa.record_batch(
-                [part.column(0), pa.array(names), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), pa.array([_parities(s).tolist() if whole else None for s in sets], pa.list_(pa.int64()))],
-                ["_doc", "_set", "_n", "_hashes", "_bits"],
+                [
+                    part.column(0), pa.array(np.array(names, dtype=np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array([_parities(s) if own else None for s, own in zip(sets, new)], pa.binary()), pa.array([s.tobytes() if own else None for s, own in zip(sets, new)], pa.binary()),
+                ],
+                ["_doc", "_set", "_n", "_bits", "_hashes"],
             )
 
-    return rows.mapInArrow(run, f"_doc {kind}, _set long, _n int, _hashes array<long>, _bits array<long>")
+    return rows.mapInArrow(run, f"_doc {kind}, _set long, _n int, _bits binary, _hashes binary")
+
+
+def _prefixes(named: DataFrame, similarity: float, late=None) -> DataFrame:
+    """(_set, _n, _h, _at): the prefix of each set, with the place of each shingle in the order."""
+
+    def run(batches):
+        bitmap = late.value if late is not None else None
+        for part in pieces(batches, PIECE):
+            names, sizes = part.column(0).to_numpy(), part.column(1).to_numpy()
+            shown = [_prefix(np.frombuffer(x.as_py(), np.uint64), bitmap, similarity) for x in part.column(2)]
+            count = np.array([len(s) for s in shown], dtype=np.int64)
+            flat = np.concatenate(shown) if len(shown) else np.zeros(0, np.uint64)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+            yield pa.record_batch([pa.array(np.repeat(names, count)), pa.array(np.repeat(sizes, count)), pa.array(flat.view(np.int64)), pa.array(at.astype(np.int32))], ["_set", "_n", "_h", "_at"])
+
+    return named.where("_hashes IS NOT NULL").select("_set", "_n", "_hashes").mapInArrow(run, "_set long, _n int, _h long, _at int")
+
+
+def _late(prefixes: DataFrame) -> np.ndarray | None:
+    """A bitmap over the low bits of hashes, set where a shingle is in more than ``FREQUENT`` prefixes. It reaches the driver as the
+    words of the bitmap that are not zero: 2**LATE_BITS / 64 rows at most, whatever the size of the data."""
+    often = prefixes.groupBy("_h").count().where(F.col("count") > FREQUENT)
+    place = F.col("_h").bitwiseAND((1 << LATE_BITS) - 1)
+    words = often.groupBy(F.shiftright(place, 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, int(_h & 63))")).alias("_b")).toArrow()
+    if not words.num_rows:
+        return None
+    out = np.zeros(1 << (LATE_BITS - 6), dtype=np.int64)
+    out[words.column("_w").to_numpy()] = words.column("_b").to_numpy()
+    return out.view(np.uint64)
 
 
 def _sizes_fit(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - 1e-9
 
 
-def similar_pairs(texts: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def _places_fit(n: str, at: str, n2: str, at2: str, similarity: float) -> Column:
+    """Whether sets of sizes n, n2 that share the shingle at these places can share enough: at most as many before and after it as
+    the smaller side has."""
+    most = F.least(at, at2) + 1 + F.least(F.col(n) - F.col(at), F.col(n2) - F.col(at2)) - 1
+    return most >= (F.col(n) + F.col(n2)) * F.lit(similarity / (1 + similarity)) - 1e-6
+
+
+def _differ_little(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the rows (a, b, _na, _nb, _bitsa, _bitsb) whose parities allow the similarity."""
+
+    def run(batches):
+        for part in pieces(batches, PIECE):
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, CELLS // 64) for c in (part.column(4), part.column(5)))
+            most = (part.column(2).to_numpy().astype(np.int64) + part.column(3).to_numpy()) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            keep = np.bitwise_count(x ^ y).sum(axis=1) <= most
+            yield pa.record_batch([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return pairs.select("a", "b", "_na", "_nb", "_bitsa", "_bitsb").mapInArrow(run, "a long, b long")
+
+
+def _share_enough(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the rows (a, b, _x, _y) whose sets are similar."""
+
+    def run(batches):
+        for part in pieces(batches, PIECE):
+            keep = []
+            for x, y in zip(part.column(2), part.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
+                same = int((x[at] == y).sum()) if len(x) else 0
+                keep.append(same >= (len(x) + len(y) - same) * similarity - 1e-9)
+            yield pa.record_batch([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+
+
+def similar_pairs(texts: DataFrame, scratch: Scratch, k: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """For (_doc, _text) rows: the (_doc, _set) of each row, and (a, b) with a > b, pairs of sets that are similar. The pairs
     connect exactly what all similar pairs connect. Texts without words have one set, that of no shingles."""
     spark = texts.sparkSession
-    named = written(_rows(texts, k, similarity))
-    sets = named.groupBy("_set").agg(F.first("_hashes").alias("_hashes"))
-    often = sets.select(F.explode("_hashes").alias("_h")).groupBy("_h").count().where(F.col("count") > FREQUENT).select("_h")
-    late = np.sort(often.toArrow()["_h"].to_numpy().astype(np.int64).view(np.uint64))
-    ordered = _rows(texts, k, similarity, spark.sparkContext.broadcast(late)) if len(late) else named
-    keyed = ordered.groupBy("_set").agg(F.first("_n").alias("_n"), F.first("_hashes").alias("_hashes")).select("_set", "_n", F.explode("_hashes").alias("_h"))
-    keyed = written(keyed)
-    shared = keyed.groupBy("_h").agg(F.min(F.struct("_set", "_n")).alias("_lo"), F.max("_set").alias("_hi")).where("_lo._set <> _hi").select("_h", "_lo")
-    met = written(keyed.join(shared, "_h"))
-    wanted = met.select("_set").distinct()
-    whole = _rows(texts, k, similarity, whole=True).select("_set", "_n", "_hashes", "_bits").join(wanted, "_set", "left_semi")
-    whole = written(whole.groupBy("_set").agg(*[F.first(c).alias(c) for c in ("_n", "_hashes", "_bits")]))
+    named = scratch(_named_sets(texts, k))
+    late = _late(_prefixes(named, similarity))
+    keyed = scratch(_prefixes(named, similarity, spark.sparkContext.broadcast(late) if late is not None else None))
+    shared = keyed.groupBy("_h").agg(F.min(F.struct("_set", "_n", "_at")).alias("_lo"), F.max("_set").alias("_hi")).where("_lo._set <> _hi").select("_h", "_lo")
+    met = scratch(keyed.join(shared, "_h").select("_h", "_set", "_n", "_at", F.col("_lo._set").alias("_set2"), F.col("_lo._n").alias("_n2"), F.col("_lo._at").alias("_at2")))
+    scratch.drop(keyed)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        bits = [whole.select(F.col("_set").alias(c), F.col("_n").alias(f"_n{c}"), F.col("_bits").alias(f"_bits{c}")) for c in "ab"]
-        differ = F.expr("aggregate(zip_with(_bitsa, _bitsb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-        most = (F.col("_na") + F.col("_nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
-        pairs = pairs.distinct().join(bits[0], "a").join(bits[1], "b").where(differ <= most).select("a", "b")
-        one = pairs.join(whole.select(F.col("_set").alias("a"), F.col("_hashes").alias("_x")), "a")
+        fit = pairs.where(_sizes_fit("_n", "_n2", similarity) & _places_fit("_n", "_at", "_n2", "_at2", similarity))
+        fit = fit.select(F.greatest("_set", "_set2").alias("a"), F.least("_set", "_set2").alias("b")).distinct()
+        bits = named.where("_bits IS NOT NULL").select("_set", "_n", "_bits").dropDuplicates(["_set"])
+        each = [bits.select(F.col("_set").alias(c), F.col("_n").alias(f"_n{c}"), F.col("_bits").alias(f"_bits{c}")) for c in "ab"]
+        near = fit.join(each[0], "a").join(each[1], "b")
+        near = scratch(_differ_little(near, similarity))
+        wanted = near.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
+        whole = scratch(named.where("_hashes IS NOT NULL").select("_set", "_hashes").join(wanted, "_set", "left_semi").dropDuplicates(["_set"]))
+        one = near.join(whole.select(F.col("_set").alias("a"), F.col("_hashes").alias("_x")), "a")
         both = one.join(whole.select(F.col("_set").alias("b"), F.col("_hashes").alias("_y")), "b")
-        same = F.size(F.array_intersect("_x", "_y"))
-        return both.where(same >= (F.size("_x") + F.size("_y") - same) * F.lit(similarity) - 1e-9).select("a", "b")
+        out = scratch(_share_enough(both, similarity))
+        scratch.drop(near, whole)
+        return out
 
-    stars = met.where((F.col("_set") != F.col("_lo._set")) & _sizes_fit("_n", "_lo._n", similarity))
-    first = written(similar(stars.select(F.col("_set").alias("a"), F.col("_lo._set").alias("b"))))
+    first = similar(met.where("_set <> _set2"))
     roots = components(first)
-    rooted = met.select("_h", "_set", "_n").join(roots, F.col("_set") == F.col("node"), "left").select("_h", "_set", "_n", F.coalesce("root", "_set").alias("_root"))
+    rooted = met.select("_h", "_set", "_n", "_at").join(roots, F.col("_set") == F.col("node"), "left").select("_h", "_set", "_n", "_at", F.coalesce("root", "_set").alias("_root"))
     open_ = rooted.groupBy("_h").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_h")
-    left = written(rooted.join(open_, "_h", "left_semi"))
-    other = left.select("_h", *[F.col(c).alias(c + "2") for c in ("_set", "_n", "_root")])
-    rest = left.join(other, "_h").where((F.col("_set") > F.col("_set2")) & (F.col("_root") != F.col("_root2")) & _sizes_fit("_n", "_n2", similarity))
-    return named.select("_doc", "_set"), first.unionByName(similar(rest.select(F.col("_set").alias("a"), F.col("_set2").alias("b"))))
+    left = scratch(rooted.join(open_, "_h", "left_semi"))
+    scratch.drop(met)
+    other = left.select("_h", *[F.col(c).alias(c + "2") for c in ("_set", "_n", "_at", "_root")])
+    rest = similar(left.join(other, "_h").where((F.col("_set") > F.col("_set2")) & (F.col("_root") != F.col("_root2"))))
+    return named.select("_doc", "_set"), first.unionByName(rest)

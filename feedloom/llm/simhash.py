@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from feedloom.llm import shingles
 from feedloom.llm.components import components
 from feedloom.llm.rows import packed, unpacked
+from feedloom.llm.scratch import Scratch
 from feedloom.operators.stages import written
 
 SHINGLE = 3
@@ -127,31 +128,38 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
 
 
 def near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = shingles.SHINGLE, similarity: float = shingles.SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) per row of ``docs``: texts are linked if their sets of ``k``-word shingles have a Jaccard
-    similarity of ``similarity`` or more, which no 64-bit fingerprint can tell, and, as in ``near_duplicates``, if their
-    fingerprints are within the radius. Odd rows are treated as there."""
+    """(doc_id, text_hash, component_id, first) per row of ``docs``: texts are linked if their sets of ``k``-word shingles have a
+    Jaccard similarity of ``similarity`` or more, which no 64-bit fingerprint can tell, and, as in ``near_duplicates``, if their
+    fingerprints are within the radius. ``first`` tells whether the row's id and text are those of the component's first row by id
+    (null last), then text. Odd rows are treated as in ``near_duplicates``; rows that share an id are told apart by their texts."""
     rows = docs.select(F.col(doc).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_doc", F.struct("_id", F.xxhash64("_text").alias("_t")))
-    named, pairs = shingles.similar_pairs(rows.select("_doc", "_text"), k, similarity)
-    prints = fingerprints(rows.select(F.col("_doc._t").alias("_t"), "_text"), "_t", "_text").distinct()
-    classes = written(named.select(F.col("_doc._t").alias("_doc"), "_set").distinct().join(prints, "_doc").select("_fp", "_set").distinct())
-    lead = classes.groupBy("_fp").agg(F.min("_set").alias("_lead"))
-    equal = classes.join(lead, "_fp").select(F.col("_set").alias("a"), F.col("_lead").alias("b"))
-    near = links(lead.select("_fp")).join(lead.select(F.col("_fp").alias("a"), F.col("_lead").alias("_a")), "a").join(lead.select(F.col("_fp").alias("b"), F.col("_lead").alias("_b")), "b")
-    edges = pairs.unionByName(equal).unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).where("a <> b")
-    roots = components(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    joined = named.join(roots, F.col("_set") == F.col("node"), "left").select(F.col("_doc._id").alias("doc_id"), F.coalesce("root", "_set").alias("_root"))
-    firsts = joined.groupBy("_root").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(firsts, "_root").select("doc_id", "component_id")
+    with Scratch(docs.sparkSession) as scratch:
+        named, pairs = shingles.similar_pairs(rows.select("_doc", "_text"), scratch, k, similarity)
+        named = scratch(named.select("_doc._id", "_doc._t", "_set"))
+        prints = fingerprints(rows.select(F.col("_doc._t").alias("_t"), "_text"), "_t", "_text").distinct()
+        classes = scratch(named.select(F.col("_t").alias("_doc"), "_set").distinct().join(prints, "_doc").select("_fp", "_set").distinct())
+        lead = classes.groupBy("_fp").agg(F.min("_set").alias("_lead"))
+        equal = classes.join(lead, "_fp").select(F.col("_set").alias("a"), F.col("_lead").alias("b"))
+        near = links(lead.select("_fp")).join(lead.select(F.col("_fp").alias("a"), F.col("_lead").alias("_a")), "a").join(lead.select(F.col("_fp").alias("b"), F.col("_lead").alias("_b")), "b")
+        edges = pairs.unionByName(equal).unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).where("a <> b")
+        roots = components(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        joined = named.join(roots, F.col("_set") == F.col("node"), "left").select("_id", "_t", F.coalesce("root", "_set").alias("_root"))
+        place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_t").alias("t"))
+        firsts = joined.groupBy("_root").agg(F.min("_id").alias("component_id"), F.min(place).alias("_first"))
+        out = joined.join(firsts, "_root").select(F.col("_id").alias("doc_id"), F.col("_t").alias("text_hash"), "component_id", (place == F.col("_first")).alias("first"))
+        return written(out)
 
 
 def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near copies, once each. Rows without an id stay."""
-    found = near_copies(docs, doc, text).where(F.col("doc_id").isNotNull())
-    # rows may share an id: then the id's rows may be in several components, and it stays if it is first in one of them
-    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.max(F.col("doc_id") == F.col("component_id")).alias("_keep"))
-    joined = packed(docs, F.col(doc).alias("_key")).join(ids, F.col("_key") == F.col("_id"), "left").where("_id IS NULL OR _keep")
-    single = joined.where("_n IS NULL OR _n = 1")
-    repeated = joined.where("_n > 1").dropDuplicates(["_key"])
+    """One row of ``docs`` for each group of near copies: that with the smallest id, and of rows that share it the one with the
+    smallest hash of its text. Rows of one id with different texts are rows of their own. A row without an id stays only if its group
+    has no row with one. Rows that repeat id and text are one."""
+    found = near_copies(docs, doc, text).where("first")
+    keep = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.count("*").alias("_n"))
+    hashed = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    joined = packed(docs, F.col(doc).alias("_key"), hashed.alias("_text")).join(keep, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")))
+    single = joined.where("_n = 1")
+    repeated = joined.where("_n > 1").dropDuplicates(["_key", "_text"])
     return unpacked(single.unionByName(repeated))
 
 

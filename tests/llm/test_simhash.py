@@ -107,3 +107,21 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(200, 100), (150, 100)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[200] == got[150] == got[100] == 100
+
+
+def test_rows_that_share_an_id_keep_their_texts(spark, docs):
+    a, b = (" ".join(f"{x}{i}" for i in range(120)) for x in "ab")
+    left = simhash.one_of_each(docs([(5, a), (5, b), (5, a), (9, b), (None, a), (None, "alone " * 3), (None, "alone " * 3), (7, "")])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted([("5", a), ("5", b), ("7", ""), ("None", "alone " * 3)])
+    assert simhash.one_of_each(docs([])).count() == 0
+
+
+def test_very_long_texts_and_late_shingles(spark, docs, monkeypatch):
+    from feedloom.llm import shingles
+
+    monkeypatch.setattr(shingles, "FREQUENT", 1)
+    long = [f"w{i}" for i in range(60000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:30000] + ["new"] + long[30000:])), (3, " ".join(long[:40000])), (4, " ".join(long[20000:]))]
+    rows += [(10 + i, " ".join(f"s{j}" for j in range(i, i + 80))) for i in range(30)]  # neighbours share most, ends share nothing
+    left = {r.doc_id for r in simhash.one_of_each(docs(rows)).collect()}
+    assert left == {1, 3, 4, 10}
