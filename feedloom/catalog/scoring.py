@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from feedloom import dims
 from feedloom.catalog.base import query
-from feedloom.catalog.extract import items
+from feedloom.catalog.extract import items, sql_prepare
 from feedloom.catalog.reports import GATED, K, OVERALL, load
 from feedloom.catalog.text import docs, dd, sql_key, sql_truncate
 from feedloom.functions import text as tx
 from feedloom.functions.numbers import sql_exact_mean, sql_half_even, sql_round2
 from feedloom.operators import noise_model, prepare
 from feedloom.operators import retrieval as rt
-from feedloom.plans import report, scoring
+from feedloom.operators.stages import written
+from feedloom.plans import chain, report, scoring
 from feedloom.plans.report import KEYS
+from feedloom.sources import files
 from feedloom.views import sql_text_list, table, view
 
 
@@ -440,3 +442,60 @@ def nested_report(spark, sf):
         *KEYS, "chunk", size("categories").alias("topics"), size("comments").alias("comments"),
         F.try_variant_get(v, "$.overall_score", "double").alias("overall_score"), F.try_variant_get(v, "$.metadata.processed_comments", "bigint").alias("processed"),
     )
+
+
+# --- the whole chain ------------------------------------------------------------------------
+CHAIN = f"""{REPLIES}, u AS (SELECT * FROM (SELECT * EXCLUDE (text), {sql_prepare('text')} AS text FROM comments) WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY course_id, text ORDER BY ord) = 1),
+d AS (SELECT a.* EXCLUDE (text), u.text FROM assessed a JOIN u USING (course_id, ord)),
+cn AS (SELECT course_id, count(*) AS input_comments FROM comments GROUP BY ALL),
+tr AS (SELECT course_id, ord, text, mood AS score, unnest(list_filter([CASE WHEN t2 THEN 2 END, CASE WHEN t5 THEN 5 END], lambda x: x IS NOT NULL)) AS topic_no FROM d WHERE NOT non_teaching AND n_passed > 0),
+oth AS (SELECT *, CASE WHEN NOT non_teaching AND status <> 'model_error' AND n_topics = 0 THEN general END AS g FROM d WHERE non_teaching OR status = 'model_error' OR n_passed = 0)"""
+
+
+def chained(spark, sf):
+    return chain.course_reports(view(spark, sf, "comments"), view(spark, sf, "topics"), ["course_id"], lambda c: scoring.score_comments(c, CUES, **WORDS))
+
+
+@query(
+    "course_reports",
+    f"""WITH {CHAIN} SELECT cn.course_id, input_comments, (SELECT count(*) FROM d WHERE d.course_id = cn.course_id) AS processed_comments,
+ (SELECT {sql_round2('avg(m)')} FROM (SELECT avg(score) AS m FROM tr WHERE tr.course_id = cn.course_id GROUP BY text)) AS overall_score,
+ (SELECT count(*) FROM d WHERE d.course_id = cn.course_id AND non_teaching) AS non_teaching_skipped,
+ (SELECT count(*) FROM oth WHERE oth.course_id = cn.course_id) AS generic_comments,
+ (SELECT count(*) FROM d WHERE d.course_id = cn.course_id AND NOT non_teaching AND status = 'model_error') AS classification_errors,
+ (SELECT CAST(coalesce(sum(n_topics - n_passed), 0) AS BIGINT) FROM d WHERE d.course_id = cn.course_id AND NOT non_teaching) AS low_confidence,
+ (SELECT {sql_round2('avg(g)')} FROM oth WHERE oth.course_id = cn.course_id) AS tone, (SELECT count(g) FROM oth WHERE oth.course_id = cn.course_id) AS tone_comments,
+ (SELECT count(*) FROM tr WHERE tr.course_id = cn.course_id AND topic_no = 2) AS pace_comments, (SELECT {sql_round2('avg(score)')} FROM tr WHERE tr.course_id = cn.course_id AND topic_no = 5) AS fifth_average,
+ (SELECT count(*) FROM tr WHERE tr.course_id = cn.course_id) + (SELECT count(*) FROM oth WHERE oth.course_id = cn.course_id) AS comments_listed FROM cn""",
+)
+def course_reports(spark, sf):
+    """Comments to stored documents; the documents are opened again."""
+    stored = written(chain.documents(chained(spark, sf), ["course_id"], "cue words"))
+    v = F.parse_json("report_json")
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    meta = [get(f"$.metadata.{c}", "bigint").alias(c) for c in ("input_comments", "processed_comments", "non_teaching_skipped", "generic_comments", "classification_errors")]
+    heads = stored.filter("chunk = 0").select(
+        "course_id", *meta, get("$.overall_score", "double").alias("overall_score"), get("$.metadata.dropped_topic_assignments.low_confidence", "bigint").alias("low_confidence"),
+        get("$.general_sentiment.average_score", "double").alias("tone"), get("$.general_sentiment.scored_comments", "bigint").alias("tone_comments"),
+        get("$.categories[1].comment_count", "bigint").alias("pace_comments"), get("$.categories[4].average_score", "double").alias("fifth_average"),
+    )
+    comments = stored.filter("chunk > 0").groupBy("course_id").agg(F.sum(F.size(get("$.comments", "array<variant>"))).alias("comments_listed"))
+    return heads.join(comments, "course_id", "left")
+
+
+@query(
+    "report_export",
+    f"""WITH {CHAIN}, names AS (SELECT topic_no, topic FROM topics),
+listed AS (SELECT course_id, ord, text, topic_no, CAST(score AS VARCHAR) AS score FROM tr UNION ALL SELECT course_id, ord, text, 13, '' FROM oth)
+SELECT c.course_id AS "Course ID", topic AS "Topic", coalesce(text, '') AS "Feedback", coalesce(score, '') AS "Score",
+ CASE WHEN ord IS NULL OR row_number() OVER (PARTITION BY c.course_id, n.topic_no ORDER BY ord) = 1 THEN 1 ELSE 0 END AS has_summary
+FROM (SELECT DISTINCT course_id FROM d) c CROSS JOIN names n LEFT JOIN listed l ON l.course_id = c.course_id AND l.topic_no = n.topic_no""",
+)
+def report_export(spark, sf):
+    """The flat export, written with all its columns and read back."""
+    path = files.scratch(spark, "export")
+    files.write_csv(chain.export_rows(chained(spark, sf), ["course_id"]), path)
+    rows = files.read_csv_survey(spark, path)
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    has = (F.coalesce(F.col("`Topic Summary`"), F.lit("")) != "").cast("int").alias("has_summary")
+    return rows.select("Course ID", "Topic", blank("Feedback"), blank("Score"), has)
