@@ -417,3 +417,17 @@ def eval_comment_set(spark, sf):
     first = view(spark, sf, "examples").select(F.col("ex_id").alias("pos"), "feedback")
     second = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("feedback"))
     return pr.eval_comment_set(first, second)
+
+
+@query(
+    "eval_limited_labels",
+    f"""WITH u AS (SELECT 0 AS src, ex_id AS pos, feedback FROM examples UNION ALL SELECT 1, doc_id, text FROM documents),
+k AS (SELECT *, {sql_key('feedback')} AS key FROM u), f AS (SELECT key FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY src, pos) = 1 ORDER BY src, pos LIMIT 25)
+SELECT ex_id, topic_no FROM examples WHERE {sql_key('feedback')} IN (SELECT key FROM f)""",
+)
+def eval_limited_labels(spark, sf):
+    """An evaluation of the first 25 comments keeps only their labels."""
+    first = view(spark, sf, "examples").select(F.col("ex_id").alias("pos"), "feedback")
+    second = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("feedback"))
+    comments = pr.eval_comment_set(first, second, 25)
+    return pr.restrict_labels(view(spark, sf, "examples"), comments).select("ex_id", "topic_no")

@@ -60,6 +60,28 @@ def cap_exceeded(spark, sf):
     return usage.cap_exceeded(view(spark, sf, "users"), view(spark, sf, "usage_log"), AS_OF, budget=1e9)
 
 
+BUDGET = 1.0
+
+
+@query(
+    "shared_budget_exceeded",
+    f"""WITH {SPEND} SELECT u.id AS user_id, 'shared budget' AS reason, coalesce(spent, 0.0::DOUBLE) AS spent_usd FROM users u LEFT JOIN spend s ON s.user_id = u.id
+WHERE credit_mode <> 'own_key' AND (SELECT sum(spent) FROM spend) >= {BUDGET}""",
+)
+def shared_budget_exceeded(spark, sf):
+    """A budget that the year's runs have used up."""
+    return usage.cap_exceeded(view(spark, sf, "users"), view(spark, sf, "usage_log"), AS_OF, budget=BUDGET)
+
+
+@query(
+    "budget_remaining",
+    f"""WITH t AS (SELECT {usd(COST)} AS total_usd FROM usage_log WHERE {YEAR})
+SELECT total_usd, {BUDGET}::DOUBLE AS budget_usd, {sql_half_even(f"{BUDGET}::DOUBLE - total_usd", 4)} AS budget_remaining_usd FROM t""",
+)
+def budget_remaining(spark, sf):
+    return usage.budget_summary(view(spark, sf, "usage_log"), AS_OF, BUDGET)
+
+
 @query(
     "cap_crossing",
     """WITH c AS (SELECT l.user_id, l.id, l.created_at, CAST(yearly_cap_usd AS DECIMAL(20,10)) AS cap,

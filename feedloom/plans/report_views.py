@@ -80,18 +80,22 @@ def recalc_delta(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def comment_view(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per text. Rows are first reduced to (text, topic), so each list has at most 13 entries."""
+    """One row per text. Rows are first reduced to (text, topic), so each list has at most 13 entries. A text that a topic lists
+    more than once has the last score there; ``question`` and ``general_score``, where rows have them, are those of its first row."""
+    own = [c for c in ("question", "general_score") if c in rows.columns]
+    last = F.max_by("score", F.when(F.col("score").isNotNull(), F.struct("ord", "score")))
     per_topic = rows.groupBy(*keys, "feedback", "topic_no").agg(
-        F.max("score").alias("s"), F.bool_or("ignored").alias("i"), F.min("ord").alias("o")
+        last.alias("s"), F.bool_or("ignored").alias("i"), F.min("ord").alias("o"), *[F.min_by(c, "ord").alias(c) for c in own]
     )
     entry = F.sort_array(F.collect_list(F.struct("topic_no", "s", "i")))
     return (
         per_topic.groupBy(*keys, "feedback")
-        .agg(F.min("o").alias("idx"), entry.alias("e"))
+        .agg(F.min("o").alias("idx"), entry.alias("e"), *[F.min_by(c, "topic_no").alias(c) for c in own])
         .select(
             *keys,
             "feedback",
             "idx",
+            *own,
             F.col("e.topic_no").alias("topics"),
             F.map_from_entries(
                 F.transform(

@@ -242,3 +242,13 @@ def test_evaluation_of_small_sets(spark):
     p = spark.createDataFrame([(1, 2), (2, 13), (2, 3), (9, 1)], "ord bigint, topic_no int")
     m = evaluate.topic_f1(g, p).first()
     assert (m["comments"], m["micro_precision"], m["micro_recall"], m["micro_f1"], m["exact_match"]) == (2, 0.667, 0.667, 0.667, 0.0)
+
+
+def test_a_repeated_text_shows_its_last_score(spark):
+    from feedloom.plans import report_views as rv
+
+    rows = [("r", 1, "same", 4, 5, False, "Q1", None), ("r", 2, "same", 4, None, False, "Q2", 3), ("r", 3, "same", 4, 2, True, "Q3", 4), ("r", 4, "same", 13, None, False, "Q4", 1), ("r", 9, "other", 13, None, False, None, 4)]
+    df = spark.createDataFrame(rows, "k string, ord long, feedback string, topic_no int, score int, ignored boolean, question string, general_score int")
+    got = {r["feedback"]: r for r in rv.comment_view(df, ["k"]).collect()}
+    assert got["same"]["scores"] == {4: 2} and got["same"]["question"] == "Q1" and got["same"]["idx"] == 1
+    assert got["other"]["scores"] == {} and got["other"]["general_score"] == 4
