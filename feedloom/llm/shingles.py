@@ -44,8 +44,7 @@ def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
 def _prefix(s: np.ndarray, late: np.ndarray | None, similarity: float) -> np.ndarray:
     n = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
     if late is not None and len(s):
-        place = s & np.uint64((1 << LATE_BITS) - 1)
-        is_late = (late[(place >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
+        is_late = _is_set(late, s)
         s = np.concatenate((s[~is_late], s[is_late]))
     return s[:n]
 
@@ -84,8 +83,9 @@ def _named_sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, f"_doc {kind}, _set long, _n int, _bits binary, _hashes binary")
 
 
-def _prefixes(named: DataFrame, similarity: float, late=None) -> DataFrame:
-    """(_set, _n, _h, _at): the prefix of each set, with the place of each shingle in the order."""
+def _prefixes(named: DataFrame, similarity: float, late=None, shared=None) -> DataFrame:
+    """(_set, _n, _h, _at): the prefix of each set, with the place of each shingle in the order. ``shared``: only shingles whose
+    bit is set in this bitmap."""
 
     def run(batches):
         bitmap = late.value if late is not None else None
@@ -94,18 +94,26 @@ def _prefixes(named: DataFrame, similarity: float, late=None) -> DataFrame:
             shown = [_prefix(np.frombuffer(x.as_py(), np.uint64), bitmap, similarity) for x in part.column(2)]
             count = np.array([len(s) for s in shown], dtype=np.int64)
             flat = np.concatenate(shown) if len(shown) else np.zeros(0, np.uint64)
-            at = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
-            yield pa.record_batch([pa.array(np.repeat(names, count)), pa.array(np.repeat(sizes, count)), pa.array(flat.view(np.int64)), pa.array(at.astype(np.int32))], ["_set", "_n", "_h", "_at"])
+            owner, at = np.repeat(np.arange(len(shown)), count), np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+            if shared is not None:
+                keep = np.flatnonzero(_is_set(shared.value, flat))
+                owner, at, flat = owner[keep], at[keep], flat[keep]
+            yield pa.record_batch([pa.array(names[owner]), pa.array(sizes[owner]), pa.array(flat.view(np.int64)), pa.array(at.astype(np.int32))], ["_set", "_n", "_h", "_at"])
 
     return named.where("_hashes IS NOT NULL").select("_set", "_n", "_hashes").mapInArrow(run, "_set long, _n int, _h long, _at int")
 
 
-def _late(prefixes: DataFrame) -> np.ndarray | None:
-    """A bitmap over the low bits of hashes, set where a shingle is in more than ``FREQUENT`` prefixes. It reaches the driver as the
-    words of the bitmap that are not zero: 2**LATE_BITS / 64 rows at most, whatever the size of the data."""
-    often = prefixes.groupBy("_h").count().where(F.col("count") > FREQUENT)
+def _is_set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h & np.uint64((1 << LATE_BITS) - 1)
+    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray | None:
+    """A bitmap over the low bits of the hashes ``_h``; none if there are none. It reaches the driver as the words of the bitmap that
+    are not zero: 2**LATE_BITS / 64 rows at most, whatever the size of the data. Other shingles with the same bits are in it too, so
+    it only orders or thins out rows; it decides nothing."""
     place = F.col("_h").bitwiseAND((1 << LATE_BITS) - 1)
-    words = often.groupBy(F.shiftright(place, 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, int(_h & 63))")).alias("_b")).toArrow()
+    words = hashes.groupBy(F.shiftright(place, 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, int(_h & 63))")).alias("_b")).toArrow()
     if not words.num_rows:
         return None
     out = np.zeros(1 << (LATE_BITS - 6), dtype=np.int64)
@@ -158,10 +166,18 @@ def similar_pairs(texts: DataFrame, scratch: Scratch, k: int = SHINGLE, similari
     connect exactly what all similar pairs connect. Texts without words have one set, that of no shingles."""
     spark = texts.sparkSession
     named = scratch(_named_sets(texts, k))
-    late = _late(_prefixes(named, similarity))
-    keyed = scratch(_prefixes(named, similarity, spark.sparkContext.broadcast(late) if late is not None else None))
-    shared = keyed.groupBy("_h").agg(F.min(F.struct("_set", "_n", "_at")).alias("_lo"), F.max("_set").alias("_hi")).where("_lo._set <> _hi").select("_h", "_lo")
-    met = scratch(keyed.join(shared, "_h").select("_h", "_set", "_n", "_at", F.col("_lo._set").alias("_set2"), F.col("_lo._n").alias("_n2"), F.col("_lo._at").alias("_at2")))
+    late = _bitmap(_prefixes(named, similarity).groupBy("_h").count().where(F.col("count") > FREQUENT))
+    late = spark.sparkContext.broadcast(late) if late is not None else None
+    # most shingles are in one set only: those that are not are found first, and only their rows are kept
+    several = _prefixes(named, similarity, late).groupBy("_h").agg(F.min("_set").alias("_lo"), F.max("_set").alias("_hi")).where("_lo <> _hi")
+    bitmap = _bitmap(several)
+    if bitmap is None:
+        return named.select("_doc", "_set"), spark.createDataFrame([], "a long, b long")
+    keyed = scratch(_prefixes(named, similarity, late, spark.sparkContext.broadcast(bitmap)))
+    shared = keyed.groupBy("_h").agg(F.min("_set").alias("_set2"), F.max("_set").alias("_hi")).where("_set2 <> _hi").select("_h", "_set2")
+    # a set may be given by several tasks
+    first_rows = keyed.join(shared, "_h").where("_set = _set2").select("_h", "_set2", F.col("_n").alias("_n2"), F.col("_at").alias("_at2")).distinct()
+    met = scratch(keyed.join(first_rows, "_h"))
     scratch.drop(keyed)
 
     def similar(pairs: DataFrame) -> DataFrame:
