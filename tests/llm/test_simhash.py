@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Row
 
@@ -125,3 +126,18 @@ def test_very_long_texts_and_late_shingles(spark, docs, monkeypatch):
     rows += [(10 + i, " ".join(f"s{j}" for j in range(i, i + 80))) for i in range(30)]  # neighbours share most, ends share nothing
     left = {r.doc_id for r in simhash.one_of_each(docs(rows)).collect()}
     assert left == {1, 3, 4, 10}
+
+
+def test_batches_are_small_only_inside_the_block(spark):
+    from feedloom.llm.scratch import BATCH_BYTES, BATCH_KEY, Scratch
+
+    def rows(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows])], ["n"])
+
+    before = spark.conf.get(BATCH_KEY, None)
+    with Scratch(spark) as scratch:
+        long = spark.range(400).coalesce(1).selectExpr("id", "repeat('x', 100000) AS t")
+        most = scratch(long.mapInArrow(rows, "n long")).selectExpr("max(n)").first()[0]
+    assert 1 <= most <= 2 * BATCH_BYTES // 100000
+    assert spark.conf.get(BATCH_KEY, None) == before
