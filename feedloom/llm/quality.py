@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.words import mix, words_of
+from feedloom.llm.words import mix, pieces, words_of
 
 BITS = 18
 GRADES = 3
 PER_GRADE = 3000
 KEEP_SHARE = 0.99  # of held-out texts of the top grade, the part that the cut has to keep
 LEAST_CUT = 0.2  # for few held-out texts
+PIECE = 1 << 20  # bytes of text that a task takes apart at a time
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], dtype=np.uint64)
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>!{}[]=_~^\\/@+")] = True
@@ -154,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
     rows = rows.select("_text", "_grade", "_part", "_id")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, PIECE):
             index, _, bounds = features(batch.column(0))
             yield pa.record_batch(
                 [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(index)), batch.column(1), batch.column(2), batch.column(3).cast(pa.string())],
@@ -195,7 +196,7 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
 
     @F.arrow_udf("struct<expected_grade double, tail_probability double>")
     def grade(texts: pa.Array) -> pa.Array:
-        parts, step = [], max(1, int(len(texts) * (4 << 20) // max(texts.nbytes, 1)))
+        parts, step = [], max(1, int(len(texts) * PIECE // max(texts.nbytes, 1)))
         for i in range(0, len(texts), step):
             parts.append(predict(shared.value, texts.slice(i, step)))
         both = [np.concatenate(p) for p in zip(*parts)] if parts else [np.zeros(0)] * 2
