@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 FREQUENT = 50  # sets with a shingle in their prefix beyond which it goes to the end of the order
 LATE_BITS = 27  # a bitmap of 16 MB
-CELLS = 1024
+CELLS = 1024  # at least; a larger set has as many cells as shingles or more
 PIECE = 1 << 20  # bytes that a task works on at a time
 
 
@@ -50,9 +51,29 @@ def _prefix(s: np.ndarray, late: np.ndarray | None, similarity: float) -> np.nda
 
 
 def _parities(s: np.ndarray) -> bytes:
-    """The parities of how many shingles fall into each of ``CELLS`` cells: two sets differ in as many shingles at least as
-    their parities differ in bits."""
-    return np.packbits((np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).tobytes()
+    """The parities of how many shingles fall into each cell: two sets differ in as many shingles at least as their parities differ
+    in bits. The cells are a power of two that grows with the set, so that parities tell sets of any size apart."""
+    cells = max(CELLS, 1 << (len(s) - 1).bit_length()) if len(s) else CELLS
+    return np.packbits((np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Parities (one row of bytes per set) over fewer cells."""
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def _differing(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """In how many bits the parities of each pair differ, over the cells of the smaller one."""
+    widths = [np.asarray(pc.binary_length(c), dtype=np.int64) for c in (x, y)]
+    out = np.zeros(len(x), dtype=np.int64)
+    for p, q in np.unique(np.stack(widths, axis=1), axis=0):
+        rows = pa.array(np.flatnonzero((widths[0] == p) & (widths[1] == q)))
+        one, two = (np.frombuffer(b"".join(c.take(rows).to_pylist()), np.uint8).reshape(-1, w) for c, w in ((x, p), (y, q)))
+        out[rows] = np.bitwise_count(_folded(one, min(p, q)) ^ _folded(two, min(p, q))).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _named_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -137,9 +158,8 @@ def _differ_little(pairs: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for part in pieces(batches, PIECE):
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, CELLS // 64) for c in (part.column(4), part.column(5)))
             most = (part.column(2).to_numpy().astype(np.int64) + part.column(3).to_numpy()) * ((1 - similarity) / (1 + similarity)) + 1e-6
-            keep = np.bitwise_count(x ^ y).sum(axis=1) <= most
+            keep = _differing(part.column(4), part.column(5)) <= most
             yield pa.record_batch([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "_na", "_nb", "_bitsa", "_bitsb").mapInArrow(run, "a long, b long")

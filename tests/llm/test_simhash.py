@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Row
@@ -141,3 +142,17 @@ def test_batches_are_small_only_inside_the_block(spark):
         most = scratch(long.mapInArrow(rows, "n long")).selectExpr("max(n)").first()[0]
     assert 1 <= most <= 2 * BATCH_BYTES // 100000
     assert spark.conf.get(BATCH_KEY, None) == before
+
+
+def test_parities_never_exceed_the_difference_and_part_large_sets():
+    from feedloom.llm.shingles import _differing, _parities
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 40000, dtype=np.uint64)
+    sets = [np.unique(base[a:b]) for a, b in ((0, 0), (0, 1), (0, 900), (0, 1024), (0, 1025), (100, 1300), (0, 9000), (500, 9500), (9000, 18000), (0, 40000), (4000, 40000))]
+    pairs = list(itertools.product(range(len(sets)), repeat=2))
+    got = _differing(*(pa.array([_parities(sets[p[k]]) for p in pairs], pa.binary()) for k in (0, 1)))
+    differ = [len(np.setxor1d(sets[i], sets[j])) for i, j in pairs]
+    assert all(g <= d and (g - d) % 2 == 0 for g, d in zip(got, differ))
+    assert got[pairs.index((6, 8))] > (len(sets[6]) + len(sets[8])) / 9  # 9,000 shingles each, none shared: told apart
+    assert list(_differing(pa.array([], pa.binary()), pa.array([], pa.binary()))) == []
