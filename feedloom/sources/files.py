@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,38 @@ def scratch(spark: SparkSession, name: str) -> str:
 # --- CSV ----------------------------------------------------------------------------------
 
 
+def _counted(lines: DataFrame) -> DataFrame:
+    """Adds, in the order in which a task reads the lines of a split: ``_before``, the quotes before a line, and ``_n0`` and ``_n1``, the
+    lines up to it that are not blank and have an even or an odd number of quotes before them. A split is never read by two tasks."""
+    names = lines.columns
+
+    def run(batches):
+        last, quotes, counts = None, 0, [0, 0]
+        for part in batches:
+            if not part.num_rows:
+                continue
+            files, split, q, blank = [part.column(names.index(c)) for c in ("file", "_split", "_q", "_blank")]
+            coded = files.dictionary_encode()
+            at, q, full = split.to_numpy(), q.to_numpy(), ~blank.to_numpy(zero_copy_only=False)
+            code = coded.indices.to_numpy()
+            edges = np.flatnonzero((at[1:] != at[:-1]) | (code[1:] != code[:-1])) + 1
+            before, found = np.zeros(len(q), np.int64), np.zeros((2, len(q)), np.int64)
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(q)]):
+                name = (coded.dictionary[code[i]].as_py(), at[i])
+                if name != last:
+                    last, quotes, counts = name, 0, [0, 0]
+                total = quotes + np.cumsum(q[i:j])
+                before[i:j] = total - q[i:j]
+                for p in (0, 1):
+                    found[p, i:j] = counts[p] + np.cumsum(full[i:j] & (before[i:j] % 2 == p))
+                    counts[p] = int(found[p, j - 1])
+                quotes = int(total[-1])
+            yield pa.record_batch([*part.columns, pa.array(before), pa.array(found[0]), pa.array(found[1])], [*names, "_before", "_n0", "_n1"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
+    return lines.mapInArrow(run, f"{kinds}, _before long, _n0 long, _n1 long")
+
+
 def _records(spark: SparkSession, path: str) -> DataFrame:
     """(file, row_no, record): the records of CSV files, quoted line breaks included, numbered from 0 in each file. Blank lines between
     records have no number. A file that is not UTF-8 throughout is read as Latin-1.
@@ -42,14 +76,11 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
     goes through a window of its file, and the lines of a split need nothing but that row.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("_raw")
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("_raw"),
+        (F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))).cast("long").alias("_q"), (F.regexp_replace("value", "\r$", "") == "").alias("_blank"),
     )
-    lines = written(lines)
-    value = F.col("_raw").cast("string")
-    quotes = (F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))).cast("long")
-    inside = Window.partitionBy("file", "_split").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("_q", quotes).withColumn("_blank", F.regexp_replace(value, "\r$", "") == "").withColumn("_sum", F.sum("_q").over(inside))
-    before = F.col("_sum") - F.col("_q")
+    lines = written(_counted(lines))
+    value, before = F.col("_raw").cast("string"), F.col("_before")
     splits = lines.groupBy("file", "_split").agg(
         F.sum("_q").alias("_q"), F.bool_or(~F.is_valid_utf8(value)).alias("_odd"),
         *[F.count_if((before % 2 == p) & ~F.col("_blank")).alias(f"_s{p}") for p in (0, 1)],
@@ -58,12 +89,13 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
     splits = splits.withColumn("_in", F.coalesce(F.sum("_q").over(earlier), F.lit(0)) % 2).withColumn("_latin", F.bool_or("_odd").over(by_file))
     splits = splits.withColumn("_starts", F.when(F.col("_in") == 0, F.col("_s0")).otherwise(F.col("_s1")))
     splits = splits.select("file", "_split", "_in", "_latin", F.coalesce(F.sum("_starts").over(earlier), F.lit(0)).alias("_rows"))
-    lines = lines.join(splits, ["file", "_split"])
+    lines = lines.join(F.broadcast(splits), ["file", "_split"])  # a row per split, so no line is shuffled for it
     outside = (before + F.col("_in")) % 2 == 0
     lines = lines.withColumn("_new", outside & ~F.col("_blank")).filter(~(outside & F.col("_blank")))
     text = F.when(F.col("_latin"), F.decode("_raw", "ISO-8859-1")).otherwise(value)
+    number = F.when(F.col("_in") == 0, F.col("_n0")).otherwise(F.col("_n1"))
     lines = lines.select(
-        "file", (F.col("_rows") + F.sum(F.col("_new").cast("long")).over(inside) - 1).alias("row_no"), "_split", "_id",
+        "file", (F.col("_rows") + number - 1).alias("row_no"), "_split", "_id",
         text.alias("_line"), (F.col("_new") & (F.col("_q") % 2 == 0)).alias("_alone"),
     )
     # only records over several lines are put together; each is as long as its cell

@@ -38,3 +38,12 @@ def test_records_of_split_files(spark, tmp_path, split):
         table = {(r["row_no"], r["col"]): r["text"] for r in grid if r["file"].endswith(name)}
         assert table == {(i, j): x for i, line in enumerate(want) for j, x in enumerate(line)}
     assert [(r["id"], r["text"], r["more"]) for r in rows if r["file"].endswith("d.csv")] == [("1", "x", None), ("3", "x", "y")]
+
+
+def test_lines_are_numbered_without_a_window_over_them(spark, tmp_path):
+    """What a line needs of those before it is counted while its split is read; only a row per split is windowed."""
+    import re
+
+    (tmp_path / "a.csv").write_text("id,text\n" + "".join(f'{i},"a\nb"\n{i},c\n' for i in range(50)))
+    plan = files._records(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition" in plan and not re.search(r"windowspecdefinition\([^)]*_id#", plan)
