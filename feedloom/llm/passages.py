@@ -7,16 +7,17 @@ The links of two documents are chained in order of both positions: a chain pays
 and a Fenwick tree over the second position gives each link its best predecessor. Chains are aligned word by word
 between their seeds and beyond their ends, and an alignment is a passage if it is long and similar enough.
 
-Documents meet through the first document of a passage; ``passages`` gives pairs with that document. Texts that found no
-passage that way meet a second time among themselves. Seeds, links and chains are keyed rows; no document or group is ever in one row as a whole but a
-document's own words.
+Documents meet through the first document of a passage; ``passages`` gives pairs with that document. Places of a seed where
+that found nothing meet the first of themselves, and what is left meets every other place of the seed: by the pairs of words
+around them, in blocks of bounded size, so that a line in many documents costs a comparison of bits a pair and no row. Seeds, links and
+chains are keyed rows; no document or group is ever in one row as a whole but a document's own words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.words import mix, pieces, windows, words_of
@@ -31,6 +32,8 @@ REACH = 64  # words that an alignment may grow beyond the ends of its chain
 CUTS = (24, 6)  # gaps in words at which a chain is cut whose alignment is not similar enough
 _RUN = np.uint64(0x5851F42D4C957F2D)
 DROP = 8  # an end grows until its score has fallen by this much
+SIGNATURE = 4096  # bits for the pairs of words within REACH of a seed
+BLOCK = 2048  # places of one seed that are compared with as many others in one piece
 
 
 def minimisers(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,7 +246,8 @@ def alignments(a: list[int], b: list[int], x: np.ndarray, y: np.ndarray, least_w
 def passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, other_id, start, end, other_start, other_end, n_words, similarity): passages in word positions, end excluded.
 
-    ``other_id`` is the first document (by id) that has the passage's seeds. ``n_words`` is the longer side, and
+    ``other_id`` is the first document (by id) that has the passage's seeds; where that one shares no passage, the smaller id of two that
+    do. ``n_words`` is the longer side, and
     ``similarity`` the share of it that is equal in order. Rows that share an id count as separate texts of that id and are
     not compared with each other; rows with a null id, text or fewer than K words take no part. An empty table gives an
     empty result.
@@ -252,12 +256,17 @@ def passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_wor
     seeds = table.select("_doc", "_row", F.explode(F.arrays_zip("_seeds", "_at")).alias("_s")).select("_doc", F.col("_s._seeds").alias("_seed"), "_row", F.col("_s._at").alias("_at"))
     words = table.select("_row", F.col("_doc").alias("_id"), "_words")
     known = written(_shared(seeds))
-    found = written(_met(known, words, least_words, similarity))
-    # the first document of a seed may hold only a part, or a poor copy, of what others share: texts without any passage so far
-    # meet once more among themselves
-    done = found.select("_doc").unionByName(found.select(F.col("_to").alias("_doc"))).distinct().select(F.col("_doc").alias("_row"))
-    again = _shared(known.drop("_first").join(done, "_row", "left_anti"))
-    return found.unionByName(_met(written(again), words, least_words, similarity)).drop("_doc", "_to")
+    found = written(_met(_to_first(known), words, least_words, similarity))
+    state = written(_settled(known, found, 1))
+    # the first document of a seed may hold only a part, or a poor copy, of what others share: places of the seed that it left open
+    # meet the first of themselves, then all others
+    open_ = written(_shared(_run_starts(state.where("_class = 0").drop("_first", "_class"))))
+    more = written(_met(_not_in(_to_first(open_), found), words, least_words, similarity))
+    found = found.unionByName(more)
+    second = _settled(open_, more, 2).where("_class = 2").select("_seed", "_row", "_at", F.col("_class").alias("_second"))
+    state = written(state.join(second, ["_seed", "_row", "_at"], "left").withColumn("_class", F.coalesce("_second", "_class")).drop("_second"))
+    rest = _met(_not_in(written(_all_links(state, words, least_words, similarity)), found), words, least_words, similarity)
+    return found.unionByName(rest).drop("_doc", "_to")
 
 
 def _shared(seeds: DataFrame) -> DataFrame:
@@ -266,10 +275,137 @@ def _shared(seeds: DataFrame) -> DataFrame:
     return seeds.join(shared, "_seed")
 
 
-def _met(known: DataFrame, words: DataFrame, least_words: int, similarity: float) -> DataFrame:
-    """Passages of documents with the first document of their seeds, with the rows of both (_doc, _to)."""
+def _firsts(known: DataFrame) -> DataFrame:
+    """(_seed, _to, _b): the first place of each seed in its first document."""
     origin = known.where("_doc = _first").groupBy("_seed").agg(F.min(F.struct("_row", "_at")).alias("_o"))
-    links = known.where("_doc <> _first").join(origin, "_seed").select("_row", F.col("_o._row").alias("_to"), F.col("_at").alias("_a"), F.col("_o._at").alias("_b"))
+    return origin.select("_seed", F.col("_o._row").alias("_to"), F.col("_o._at").alias("_b"))
+
+
+def _to_first(known: DataFrame) -> DataFrame:
+    """Links (_row, _to, _a, _b) of all places of a seed to the first."""
+    return known.where("_doc <> _first").join(_firsts(known), "_seed").select("_row", "_to", F.col("_at").alias("_a"), "_b")
+
+
+def _run_starts(places: DataFrame) -> DataFrame:
+    """A run of one pattern has the seed at each repeat: the first place stands for those that touch it."""
+    before = F.lag("_at").over(Window.partitionBy("_seed", "_row").orderBy("_at"))  # places in one document
+    return places.withColumn("_before", before).where(f"_before IS NULL OR _at - _before > {K}").drop("_before")
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """The passages of each pair of rows; no more than their texts hold."""
+    return found.groupBy(F.col("_doc").alias("_row"), "_to").agg(F.collect_list(F.struct("start", "end", "other_start", "other_end")).alias("_spans"))
+
+
+def _settled(known: DataFrame, found: DataFrame, number: int) -> DataFrame:
+    """``known`` with ``_class``: ``number`` for the first place of a seed and those that share a passage around it with the first, else 0."""
+    own = (F.col("_row") == F.col("_to")) & (F.col("_at") == F.col("_b"))
+    shares = F.exists("_spans", lambda p: (p["start"] <= F.col("_at")) & (F.col("_at") + K <= p["end"]))
+    rows = known.join(_firsts(known), "_seed").join(_spans(found), ["_row", "_to"], "left")
+    return rows.withColumn("_class", F.when(own | F.coalesce(shares, F.lit(False)), number).otherwise(0)).drop("_to", "_b", "_spans")
+
+
+def _not_in(links: DataFrame, found: DataFrame) -> DataFrame:
+    """``links`` that lie in no passage found for their rows."""
+    inside = F.exists("_spans", lambda p: (p["start"] <= F.col("_a")) & (F.col("_a") + K <= p["end"]) & (p["other_start"] <= F.col("_b")) & (F.col("_b") + K <= p["other_end"]))
+    return links.join(_spans(found), ["_row", "_to"], "left").where(~F.coalesce(inside, F.lit(False))).drop("_spans")
+
+
+def signature(words: np.ndarray, at: int) -> bytes:
+    """Bits of the pairs of neighbouring words outside the seed at ``at``; a pair that comes again has another bit each time."""
+    pair = words.view(np.uint16).astype(np.uint64)
+    pair = np.delete((pair[:-1] << np.uint64(16)) | pair[1:], slice(at, at + K - 1))
+    order = np.argsort(pair, kind="stable")
+    new = np.concatenate(([True], pair[order][1:] != pair[order][:-1]))[: len(pair)]
+    place = np.arange(len(pair))
+    again = np.empty(len(pair), dtype=np.uint64)
+    again[order] = place - np.maximum.accumulate(np.where(new, place, 0)) if len(pair) else place
+    bits = np.zeros(SIGNATURE, dtype=np.uint8)
+    bits[(mix(pair + (again << np.uint64(32))) % np.uint64(SIGNATURE)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def least_common(least_words: int, similarity: float) -> int:
+    """Bits that two signatures must share. A word that differs breaks two pairs of words at most, so passages of ``least_words`` share all but
+    twice as many outside the seed. A quarter less is asked for, as a longer passage may differ most near this seed."""
+    return max(0, (least_words - 1 - 2 * int((1 - similarity) * least_words + 1e-9) - (K - 1)) * 3 // 4)
+
+
+def _all_links(state: DataFrame, words: DataFrame, least_words: int, similarity: float) -> DataFrame:
+    """Links (_row, _to, _a, _b) of places of one seed in different documents that no common first place has settled, if their
+    surroundings are alike. Places with equal surroundings are linked to the first of them, which is compared for all."""
+    kind = state.schema["_doc"].dataType.simpleString()
+    several = state.groupBy("_seed").agg(F.count_if(F.col("_class") == 0).alias("_open"), F.count("*").alias("_n")).where("_open > 0 AND _n > 2").select("_seed")
+    around = _run_starts(state.join(several, "_seed")).join(words.select("_row", "_words"), "_row").withColumn("_from", F.greatest(F.col("_at") - REACH, F.lit(0)))
+    around = around.select("_doc", "_seed", "_row", "_at", "_class", F.expr(f"slice(_words, _from + 1, _at + {K + REACH} - _from)").alias("_x"), (F.col("_at") - F.col("_from")).alias("_in"))
+    around = around.withColumn("_same", F.xxhash64("_x", "_in"))
+
+    def sign(batches):
+        for part in pieces(batches, 1 << 20):
+            bits = [signature(np.asarray(x.values), i) for x, i in zip(part.column(5), part.column(6).to_pylist())]
+            yield pa.record_batch([*part.columns[:5], part.column(7), pa.array(bits, pa.binary())], ["_doc", "_seed", "_row", "_at", "_class", "_same", "_bits"])
+
+    signed = written(around.mapInArrow(sign, f"_doc {kind}, _seed long, _row long, _at int, _class int, _same long, _bits binary"))
+    one = signed.groupBy("_seed", "_same", "_class").agg(F.min(F.struct("_doc", "_row", "_at")).alias("_o"))
+    copies = signed.where("_class = 0").drop("_bits").join(one, ["_seed", "_same", "_class"]).where("_doc <> _o._doc")
+    copies = copies.select("_row", F.col("_o._row").alias("_to"), F.col("_at").alias("_a"), F.col("_o._at").alias("_b"))
+    one = one.select("_seed", F.col("_o._row").alias("_row"), F.col("_o._at").alias("_at"))
+    # an exact way for seeds at any number of places: blocks of them, in pairs
+    blocks = one.groupBy("_seed").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    rows = signed.join(one, ["_seed", "_row", "_at"]).join(blocks, "_seed").withColumn("_own", F.pmod(F.xxhash64("_row", "_at"), F.col("_blocks")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    rows = rows.select("_seed", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "_own", "_class", "_doc", "_row", "_at", "_bits")
+    rows = rows.repartition("_seed", "_lo", "_hi").sortWithinPartitions("_seed", "_lo", "_hi")
+    least = least_common(least_words, similarity)
+
+    def compared(group: pa.Table):
+        lo, hi = group["_lo"][0].as_py(), group["_hi"][0].as_py()
+        bits = np.frombuffer(b"".join(group["_bits"].to_pylist()), np.uint64).reshape(group.num_rows, -1)
+        own, number = group["_own"].to_numpy(), group["_class"].to_numpy()
+        one, two = [], []
+        for i in range(group.num_rows):
+            others = np.arange(i + 1, group.num_rows)
+            others = others[(number[others] != number[i]) | (number[i] == 0)]
+            if lo < hi:
+                others = others[own[others] != own[i]]
+            others = others[np.bitwise_count(bits[others] & bits[i]).sum(axis=1) >= least]
+            one += [i] * len(others)
+            two += others.tolist()
+            if len(one) >= 1 << 16:
+                yield group, one, two
+                one, two = [], []
+        if one:
+            yield group, one, two
+
+    def pair(batches):
+        names = ["_doc", "_row", "_at"]
+
+        def out(found):
+            for group, one, two in found:
+                sides = [group.select(names).take(pa.array(at)) for at in (one, two)]
+                both = pa.table([c for side in sides for c in side.columns], [f"{n}{i}" for i in (1, 2) for n in names])
+                yield from both.combine_chunks().to_batches()
+
+        held = None
+        for part in batches:
+            held = pa.concat_tables([held, pa.Table.from_batches([part])]) if held is not None else pa.Table.from_batches([part])
+            keys = [held[c].to_numpy() for c in ("_seed", "_lo", "_hi")]
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for a, b in zip([0, *cuts], cuts):
+                if b - a > 1:
+                    yield from out(compared(held.slice(a, b - a)))
+            held = held.slice(cuts[-1]) if len(cuts) else held  # the last group may go on
+        if held is not None and held.num_rows > 1:
+            yield from out(compared(held))
+
+    met = rows.mapInArrow(pair, f"_doc1 {kind}, _row1 long, _at1 int, _doc2 {kind}, _row2 long, _at2 int").where("_doc1 <> _doc2")
+    later = F.col("_doc1") > F.col("_doc2")
+    links = met.select(*[F.when(later, F.col(f"{n}{i}")).otherwise(F.col(f"{n}{3 - i}")).alias(c) for n, i, c in (("_row", 1, "_row"), ("_row", 2, "_to"), ("_at", 1, "_a"), ("_at", 2, "_b"))])
+    return copies.unionByName(links).distinct()
+
+
+def _met(links: DataFrame, words: DataFrame, least_words: int, similarity: float) -> DataFrame:
+    """Passages along links (_row, _to, _a, _b), with the rows of both (_doc, _to)."""
     links = links.repartition("_row", "_to").sortWithinPartitions("_row", "_to", "_a", "_b")
     found = _chained(links.select(F.col("_row").alias("_doc"), F.col("_to").alias("_first"), "_a", "_b"))
     # a stretch may hold one seed only, and an alignment grows at most REACH words at either end

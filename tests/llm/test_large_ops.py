@@ -243,6 +243,31 @@ def test_long_runs_meet_long_runs(spark, docs):
     assert {i for pair in found for i in pair} == {2, 3, 5, 6}
 
 
+def test_documents_meet_beyond_the_first_of_a_seed(spark, docs):
+    """Two documents hold the halves of what two others share, which also share something else with a third each."""
+    rng = random.Random(31)
+    new = lambda n: [f"m{rng.randrange(10**9)}" for _ in range(n)]
+    both, q, r = new(60), new(60), new(60)
+    fuzzy = [*both[:12], "other", *both[13:45], "more", *both[45:]]
+    rows = [(1, new(20) + both[:34] + new(20)), (2, new(20) + both[26:] + new(20)), (3, q + new(5) + both), (4, r + new(9) + fuzzy), (5, q), (6, r + new(9))]
+    line = new(12)  # a line that many have is no passage
+    rows += [(i, new(rng.randrange(30)) + line + new(40)) for i in range(10, 40)]
+    got = passages.passages(docs([(i, " ".join(w)) for i, w in rows])).collect()
+    assert sorted((r.doc_id, r.other_id) for r in got) == [(4, 3), (5, 3), (6, 4)]
+
+
+def test_places_of_a_seed_in_blocks(spark, docs, monkeypatch):
+    """Families whose members differ from the first document meet whatever the size of the blocks."""
+    monkeypatch.setattr(passages, "BLOCK", 3)
+    rng = random.Random(32)
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    line, rows = new(30), []
+    tails = [new(40) for _ in range(8)]
+    rows = [(100 - i, new(10) + line + tails[i % 8]) for i in range(16)]
+    got = passages.passages(docs([(i, " ".join(w)) for i, w in rows])).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(100 - i, 92 - i) for i in range(8)}
+
+
 def test_all_long_repeats_are_found(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
