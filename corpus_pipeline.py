@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import decontaminate, mixing, quality, sharding, simhash
+from feedloom.llm.scratch import small_batches
 from feedloom.llm.ship import shipping
 from feedloom.operators.stages import written
 
@@ -15,8 +16,9 @@ SHARD_BYTES = 1 << 20
 @shipping
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the rated ones among them."""
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model).where("_quality.kept").drop("_quality")
+    with small_batches(spark):
+        model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        return written(quality.scored(docs, model).where("_quality.kept").drop("_quality"))
 
 
 @shipping

@@ -251,3 +251,14 @@ def test_hot_address_over_many_days(spark):
             before = [f for f in full if (f[0], f[1]) < (r[2], r[0])]
             want = ("missing", None) if not before else ("resolved" if before[-1][2] == r[4] else "mismatch", before[-1][1])
             assert got[r[0]] == want
+
+
+def test_clean_reads_texts_in_small_batches(spark, docs, monkeypatch):
+    from feedloom.llm import scratch
+
+    seen, windows_of = [], decontaminate._windows_of
+    monkeypatch.setattr(decontaminate, "_windows_of", lambda *a: seen.append(spark.conf.get(scratch.BATCH_KEY)) or windows_of(*a))
+    before = spark.conf.get(scratch.BATCH_KEY)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert decontaminate.clean(docs(list(enumerate(TEXTS))), bench).count() < len(TEXTS)
+    assert seen and set(seen) == {str(scratch.BATCH_BYTES)} and spark.conf.get(scratch.BATCH_KEY) == before
