@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,29 +22,44 @@ def replay(rows: DataFrame, batch: Column, count: int, folder: str) -> Iterator[
         yield spark.readStream.schema(rows.schema).parquet(folder)
 
 
-def stream_dedupe(items: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
-    """Each text once per course within ``delay`` of the copy that was kept before it, in order of event time across batches. State is
-    keyed by course, digest and length of the text, holds one time, and expires when the watermark has passed it by ``delay``; what
-    arrives later than that is a new text. Columns come out as they went in."""
+DEDUPE_GROUPS = 512
+
+
+def stream_dedupe(items: DataFrame, keys: Sequence[str], time: str, delay: str, groups: int = DEDUPE_GROUPS) -> DataFrame:
+    """Each text once per course within ``delay`` of the copy that was kept before it, in order of event time across batches. State has
+    one time per digest of course, text and length, and expires when the watermark has passed it by ``delay``; what arrives later than
+    that is a new text. It lies in ``groups`` parts by digest, as a call of Python for each text would cost far more than its rows.
+    Columns come out as they went in."""
     prepared = tx.with_once(items, "text", tx.prepare_text(F.col("text"))).filter((F.col("text") != "") & F.col(time).isNotNull())
-    keyed = prepared.withWatermark(time, delay).withColumn("_d", F.md5("text")).withColumn("_l", F.length("text"))
+    of_course = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    digest = F.md5(F.concat(of_course, F.lit("\x1f"), F.md5("text"), F.length("text").cast("string")))
+    keyed = prepared.withWatermark(time, delay).withColumn("_d", digest).withColumn("_group", F.pmod(F.xxhash64("_d"), F.lit(groups)))
     wait, columns = int(pd.Timedelta(delay).total_seconds() * 1e6), items.columns
 
     def keep_first(_, frames, state):
-        if state.hasTimedOut:
+        if state.hasTimedOut:  # the latest of the group's times has expired
             state.remove()
             return
         rows = pd.concat(frames).sort_values(time, kind="stable")
-        last, keep = state.get[0] if state.exists else None, []
-        for i, at in enumerate(rows[time].astype("datetime64[us]").astype("int64")):
-            if last is None or at > last + wait:
+        last = {}
+        if state.exists:
+            packed, times = state.get
+            last = dict(zip((packed[i : i + 32] for i in range(0, len(packed), 32)), np.frombuffer(times, dtype="int64").tolist()))
+        keep = []
+        for i, (d, at) in enumerate(zip(rows["_d"], rows[time].astype("datetime64[us]").astype("int64").tolist())):
+            if d not in last or at > last[d] + wait:
                 keep.append(i)
-                last = at
-        state.update((int(last),))
-        state.setTimeoutTimestamp(max((int(last) + wait) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+                last[d] = at
+        mark = state.getCurrentWatermarkMs()
+        last = {d: at for d, at in last.items() if (at + wait) // 1000 + 1 > mark}
+        if last:
+            state.update(("".join(last), np.array(list(last.values()), dtype="int64").tobytes()))
+            state.setTimeoutTimestamp(max((max(last.values()) + wait) // 1000 + 1, mark + 1))
+        elif state.exists:
+            state.remove()
         yield rows.iloc[keep][columns]
 
-    return keyed.groupBy(*keys, "_d", "_l").applyInPandasWithState(keep_first, prepared.schema, "last long", "append", "EventTimeTimeout")
+    return keyed.groupBy("_group").applyInPandasWithState(keep_first, prepared.schema, "digests string, last binary", "append", "EventTimeTimeout")
 
 
 def stream_usage_windows(usage: DataFrame, window: str = "1 day", slide: str | None = None, delay: str = "1 day") -> DataFrame:

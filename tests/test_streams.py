@@ -25,6 +25,18 @@ def test_a_text_is_kept_once_per_delay(spark, tmp_path):
     assert kept == [[("c", 0), ("c", 30)], [("c", 0), ("c", 30), ("c", 55)], [("c", 0), ("c", 30), ("c", 55), ("c", 200), ("d", 200)]]
 
 
+def test_texts_share_few_groups_of_state(spark, tmp_path):
+    rows = [(c, at(h), f"x{i}") for c in ("c", None) for i in range(20) for h in (0, 3, 30)]
+    items = spark.createDataFrame(rows, "course_id string, at timestamp, text string")
+    stream = next(iter(jobs.replay(items, F.lit(0), 1, str(tmp_path / "in"))))
+    out = jobs.stream_dedupe(stream, ["course_id"], "at", "1 day", groups=2)
+    q = out.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+    q.awaitTermination()
+    kept = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(((r["at"] - START).total_seconds() / 3600, r["text"], r["course_id"] or "") for r in kept) == sorted((h, t, c or "") for c, a, t in rows for h in [(a - START).total_seconds() / 3600] if h != 3)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 2  # not one for each of 40 texts
+
+
 def test_late_usage_counts_within_the_delay(spark, tmp_path):
     rows = [(0, 1, 1), (0, 50, 2), (1, 2, 1), (1, 60, 2), (1, 26, 1), (2, 3, 1), (2, 30, 5), (2, 120, 2), (3, 70, 9)]
     usage = spark.createDataFrame([(b, at(h), u, False, 1.0, 1, 1) for b, h, u in rows], "b int, created_at timestamp, user_id int, used_own_key boolean, cost_usd double, input_tokens long, output_tokens long")
