@@ -11,6 +11,7 @@ from feedloom import dims
 from feedloom.functions.numbers import exact_mean, round2
 from feedloom.functions.text import strip_bullets
 from feedloom.operators.ordered import block_of, row_numbers
+from feedloom.operators.stages import written
 from feedloom.plans.report import reliability_label
 
 
@@ -185,7 +186,7 @@ def sort_comments(view: DataFrame, keys: Sequence[str], how: str = "original", i
         "low": F.coalesce("score", F.lit(6)),
         "high": -F.coalesce("score", F.lit(0)),
     }[how]
-    v = view.withColumn("_rank", rank.cast("int"))
+    v = written(view.withColumn("_rank", rank.cast("int")))  # positions read the rows twice
     block = F.struct(F.col("_rank"), block_of(F.col(index)))
     return row_numbers(v, keys, ["_rank", index], block, "position", "total").drop("_rank")
 
