@@ -156,3 +156,51 @@ def test_parities_never_exceed_the_difference_and_part_large_sets():
     assert all(g <= d and (g - d) % 2 == 0 for g, d in zip(got, differ))
     assert got[pairs.index((6, 8))] > (len(sets[6]) + len(sets[8])) / 9  # 9,000 shingles each, none shared: told apart
     assert list(_differing(pa.array([], pa.binary()), pa.array([], pa.binary()))) == []
+
+
+def test_sets_of_a_frequent_shingle_meet_in_blocks(spark, monkeypatch):
+    from feedloom.llm import shingles
+    from feedloom.llm.scratch import SHUFFLE_KEY, Scratch
+
+    monkeypatch.setattr(shingles, "FREQUENT", 5)
+    monkeypatch.setattr(shingles, "BLOCK", 128 * 7)  # some dozen blocks, and rows wider than others
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(1100)]
+    rows = [(0, "alone " * 3), (1, "")]
+    for i in range(2, 70):  # most are further from one another than from the base, which is not there
+        words = list(base[: rng.choice((60, 60, 70, 950, 1100))])
+        for at in rng.sample(range(len(words)), len(words) // rng.choice((12, 20, 40, 80))):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [grams(t) for _, t in rows]
+    want = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            a, b = sorted((want[i], want[j]))
+            want = [a if x == b else x for x in want]
+    seen, near = [], shingles._near_in_blocks
+
+    def noted(*args):
+        out = near(*args).localCheckpoint()
+        seen.append((args[0].groupBy("_h").count().selectExpr("sum(count * count)").first()[0] or 0, out.count()))
+        return out
+
+    monkeypatch.setattr(shingles, "_near_in_blocks", noted)
+    with Scratch(spark) as scratch:
+        assert spark.conf.get(SHUFFLE_KEY) == "true"
+        named, pairs = shingles.similar_pairs(spark.createDataFrame(rows, "_doc long, _text string"), scratch)
+        name = {r._doc: r._set for r in named.collect()}
+        links = [(r.a, r.b) for r in pairs.collect()]
+    got = {n: n for n in name.values()}
+    for a, b in links:
+        a, b = got[a], got[b]
+        got = {n: a if r == b else r for n, r in got.items()}
+    same = {(i, j) for i, j in itertools.combinations(name, 2) if got[name[i]] == got[name[j]]}
+    assert same == {(i, j) for i, j in itertools.combinations(name, 2) if want[i] == want[j]}
+    (all_rows, passed), = seen
+    assert all_rows > 5000 and passed < all_rows / 20  # a pair is a row only if it may be similar
