@@ -33,6 +33,9 @@ CUTS = (24, 6)  # gaps in words at which a chain is cut whose alignment is not s
 _RUN = np.uint64(0x5851F42D4C957F2D)
 DROP = 8  # an end grows until its score has fallen by this much
 SIGNATURE = 4096  # bits for the pairs of words within REACH of a seed
+USUAL = 128  # bits that most places of a block have are compared as words
+STRIP = 64  # places that are compared with all others of a block at once
+ROWS = 2048  # rows whose ends or signatures are worked out together
 BLOCK = 2048  # places of one seed that are compared with as many others in one piece
 
 
@@ -243,6 +246,40 @@ def alignments(a: list[int], b: list[int], x: np.ndarray, y: np.ndarray, least_w
     return found
 
 
+def grown_ends(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_grown`` of many ends at once: of row i, the first n[i] words of ``x`` and ``y`` count."""
+    if not x.shape[1]:
+        return np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    score = np.cumsum(np.where(x == y, np.int16(1), np.int16(-2)), axis=1, dtype=np.int16)
+    over = np.maximum.accumulate(np.maximum(score, 0), axis=1) - score > DROP
+    over |= np.arange(x.shape[1]) >= n[:, None]
+    score[np.logical_or.accumulate(over, axis=1)] = -1
+    best = score.argmax(axis=1)
+    top = score[np.arange(len(best)), best].astype(np.int64)
+    words = np.where(top > 0, best + 1, 0)
+    return words, np.where(top > 0, (2 * words + top) // 3, 0)  # the score is 3 for each equal word less 2 for each word
+
+
+def _ends(values: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words from place ``at`` on, in steps of 1 or -1 and up to REACH of them, of texts values[low:high]; and how many there are."""
+    there = np.clip(high - at if step > 0 else at - low + 1, 0, REACH)
+    places = np.clip(at[:, None] + step * np.arange(REACH), 0, max(len(values) - 1, 0))
+    return (values[places] if len(values) else np.zeros(places.shape, values.dtype)), there
+
+
+def single_alignments(a: np.ndarray, b: np.ndarray, x: pa.Array, y: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words to the left, words to the right, equal words) of the alignments of chains that have one link, (a[i], b[i]) of texts x[i], y[i]."""
+    sides = []
+    for lists, at in ((x, a), (y, b)):
+        offsets, values = lists.offsets.to_numpy().astype(np.int64), np.asarray(lists.values)
+        low, high = offsets[:-1], offsets[1:]
+        sides.append((_ends(values, low, high, low + at - 1, -1), _ends(values, low, high, low + at + K, 1)))
+    (left, right), (other_left, other_right) = sides
+    before, more = grown_ends(left[0], other_left[0], np.minimum(left[1], other_left[1]))
+    after, most = grown_ends(right[0], other_right[0], np.minimum(right[1], other_right[1]))
+    return before, after, K + more + most
+
+
 def passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, other_id, start, end, other_start, other_end, n_words, similarity): passages in word positions, end excluded.
 
@@ -311,18 +348,57 @@ def _not_in(links: DataFrame, found: DataFrame) -> DataFrame:
     return links.join(_spans(found), ["_row", "_to"], "left").where(~F.coalesce(inside, F.lit(False))).drop("_spans")
 
 
-def signature(words: np.ndarray, at: int) -> bytes:
-    """Bits of the pairs of neighbouring words outside the seed at ``at``; a pair that comes again has another bit each time."""
-    pair = words.view(np.uint16).astype(np.uint64)
-    pair = np.delete((pair[:-1] << np.uint64(16)) | pair[1:], slice(at, at + K - 1))
-    order = np.argsort(pair, kind="stable")
-    new = np.concatenate(([True], pair[order][1:] != pair[order][:-1]))[: len(pair)]
-    place = np.arange(len(pair))
-    again = np.empty(len(pair), dtype=np.uint64)
-    again[order] = place - np.maximum.accumulate(np.where(new, place, 0)) if len(pair) else place
-    bits = np.zeros(SIGNATURE, dtype=np.uint8)
-    bits[(mix(pair + (again << np.uint64(32))) % np.uint64(SIGNATURE)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+def signatures(words: pa.Array, at: np.ndarray) -> np.ndarray:
+    """Bits, a row for each of the lists ``words``, of the pairs of neighbouring words outside the seed at ``at``; a pair that comes again
+    has another bit each time."""
+    offsets, values = words.offsets.to_numpy().astype(np.int64), np.asarray(words.values).view(np.uint16).astype(np.uint64)
+    bits = np.zeros((len(at), SIGNATURE), dtype=np.uint8)
+    if len(values) > 1:
+        first = np.arange(offsets[0], offsets[-1] - 1)
+        row = np.searchsorted(offsets, first, side="right") - 1
+        inside = first - offsets[row] - at[row]
+        first = first[(first + 1 < offsets[row + 1]) & ((inside < 0) | (inside >= K - 1))]
+        row = np.searchsorted(offsets, first, side="right") - 1
+        pair = (values[first] << np.uint64(16)) | values[first + 1]
+        order = np.lexsort((pair, row))
+        row, pair = row[order], pair[order]
+        place = np.arange(len(pair))
+        new = np.ones(len(pair), dtype=bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])
+        again = place - np.maximum.accumulate(np.where(new, place, 0))
+        bits[row, (mix(pair + (again.astype(np.uint64) << np.uint64(32))) % np.uint64(SIGNATURE)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1)
+
+
+def alike(bits: np.ndarray, least: int):
+    """(i, j) in pieces: the pairs i < j of rows of bits (as ``signatures`` packs them) that have ``least`` bits in common. Bits that many rows have
+    are compared as words; a row meets the others that have one of its rare bits through the list of them."""
+    n = len(bits)
+    flat = np.unpackbits(bits, axis=1)
+    usual = np.sort(np.argsort(-flat.sum(axis=0, dtype=np.int64), kind="stable")[:USUAL])
+    dense = np.ascontiguousarray(np.packbits(flat[:, usual], axis=1)).view(np.uint64)
+    flat[:, usual] = 0
+    row, column = np.nonzero(flat)
+    del flat
+    holders = np.argsort(column, kind="stable")
+    begin = np.concatenate(([0], np.cumsum(np.bincount(column, minlength=SIGNATURE))))
+    place = np.empty(len(column), dtype=np.int64)
+    place[holders] = np.arange(len(column))
+    rest = begin[column + 1] - place - 1  # holders of the bit that come after the row itself
+    ends = np.searchsorted(row, np.arange(n + 1))
+    for a in range(0, n - 1, STRIP):
+        b = min(a + STRIP, n)
+        wide = n - a
+        entry = np.arange(ends[a], ends[b])
+        times = rest[entry]
+        total = int(times.sum())
+        other = np.arange(total) + np.repeat(place[entry] + 1 - (np.cumsum(times) - times), times)
+        common = np.bincount(np.repeat((row[entry] - a) * wide, times) + row[holders[other]] - a, minlength=(b - a) * wide).reshape(b - a, wide)
+        for w in range(dense.shape[1]):
+            common += np.bitwise_count(dense[a:b, w, None] & dense[None, a:, w])
+        i, j = np.nonzero(common >= least)
+        later = j > i
+        yield i[later] + a, j[later] + a
 
 
 def least_common(least_words: int, similarity: float) -> int:
@@ -342,7 +418,7 @@ def _all_links(state: DataFrame, words: DataFrame, least_words: int, similarity:
 
     def sign(batches):
         for part in pieces(batches, 1 << 20):
-            bits = [signature(np.asarray(x.values), i) for x, i in zip(part.column(5), part.column(6).to_pylist())]
+            bits = [row.tobytes() for i in range(0, part.num_rows, ROWS) for row in signatures(part.column(5)[i : i + ROWS], part.column(6)[i : i + ROWS].to_numpy())]
             yield pa.record_batch([*part.columns[:5], part.column(7), pa.array(bits, pa.binary())], ["_doc", "_seed", "_row", "_at", "_class", "_same", "_bits"])
 
     signed = written(around.mapInArrow(sign, f"_doc {kind}, _seed long, _row long, _at int, _class int, _same long, _bits binary"))
@@ -360,22 +436,15 @@ def _all_links(state: DataFrame, words: DataFrame, least_words: int, similarity:
 
     def compared(group: pa.Table):
         lo, hi = group["_lo"][0].as_py(), group["_hi"][0].as_py()
-        bits = np.frombuffer(b"".join(group["_bits"].to_pylist()), np.uint64).reshape(group.num_rows, -1)
+        bits = np.frombuffer(b"".join(group["_bits"].to_pylist()), np.uint8).reshape(group.num_rows, -1)
         own, number = group["_own"].to_numpy(), group["_class"].to_numpy()
-        one, two = [], []
-        for i in range(group.num_rows):
-            others = np.arange(i + 1, group.num_rows)
-            others = others[(number[others] != number[i]) | (number[i] == 0)]
+        doc = group["_doc"].combine_chunks().dictionary_encode().indices.to_numpy()
+        for one, two in alike(bits, least):
+            meet = ((number[one] != number[two]) | (number[one] == 0)) & (doc[one] != doc[two])
             if lo < hi:
-                others = others[own[others] != own[i]]
-            others = others[np.bitwise_count(bits[others] & bits[i]).sum(axis=1) >= least]
-            one += [i] * len(others)
-            two += others.tolist()
-            if len(one) >= 1 << 16:
-                yield group, one, two
-                one, two = [], []
-        if one:
-            yield group, one, two
+                meet &= own[one] != own[two]
+            if meet.any():
+                yield group, one[meet], two[meet]
 
     def pair(batches):
         names = ["_doc", "_row", "_at"]
@@ -421,10 +490,24 @@ def _met(links: DataFrame, words: DataFrame, least_words: int, similarity: float
         for part in pieces(batches, 2 << 20):
             rows = []
             x, y, a, b = [part.column(i) for i in (2, 3, 4, 5)]
-            for i, (x0, y0) in enumerate(zip(part.column(6).to_pylist(), part.column(7).to_pylist())):
+            x0, y0 = part.column(6).to_numpy(), part.column(7).to_numpy()
+            links = np.diff(a.offsets.to_numpy())
+            for start in range(0, part.num_rows, ROWS):
+                # nearly all chains have one link: their ends grow together
+                one = start + np.flatnonzero(links[start : start + ROWS] == 1)
+                take = pa.array(one)
+                p, q = (np.asarray(c.take(take).flatten()) - o[one] for c, o in ((a, x0), (b, y0)))
+                left, right, equal = single_alignments(p, q, x.take(take), y.take(take))
+                n = left + K + right
+                for k in np.flatnonzero((n >= least_words) & (equal >= similarity * n)).tolist():
+                    i, s, t, words = int(one[k]), int(p[k] - left[k]), int(q[k] - left[k]), int(n[k])
+                    s, t = s + int(x0[i]), t + int(y0[i])
+                    rows.append((i, s, s + words, t, t + words, words, int(equal[k]) / words))
+            for i in np.flatnonzero(links > 1).tolist():
                 xs, ys = np.asarray(x[i].values), np.asarray(y[i].values)
-                for s, e, t, f, n, share in alignments((np.asarray(a[i].values) - x0).tolist(), (np.asarray(b[i].values) - y0).tolist(), xs, ys, least_words, similarity):
-                    rows.append((i, s + x0, e + x0, t + y0, f + y0, n, share))
+                u, v = int(x0[i]), int(y0[i])
+                for s, e, t, f, n, share in alignments((np.asarray(a[i].values) - u).tolist(), (np.asarray(b[i].values) - v).tolist(), xs, ys, least_words, similarity):
+                    rows.append((i, s + u, e + u, t + v, f + v, n, share))
             if rows:
                 at, *columns = zip(*rows)
                 at = pa.array(at)

@@ -268,6 +268,25 @@ def test_places_of_a_seed_in_blocks(spark, docs, monkeypatch):
     assert {(r.doc_id, r.other_id) for r in got} == {(100 - i, 92 - i) for i in range(8)}
 
 
+def test_ends_and_common_bits_in_arrays():
+    """Many ends grow as one does, and rows of bits meet as they do one by one, whether a bit is rare or nearly all rows have it."""
+    r = np.random.default_rng(33)
+    x = r.integers(0, 4, (400, passages.REACH))
+    y, n = np.where(r.random(x.shape) < 0.85, x, 9), r.integers(0, passages.REACH + 1, len(x))
+    words, equal = passages.grown_ends(x, y, n)
+    assert list(zip(words, equal)) == [passages._grown(a[:k], b[:k]) for a, b, k in zip(x, y, n)]
+    texts = [r.integers(-6 if i % 2 else -30000, 6 if i % 2 else 30000, int(a) + passages.K + int(b)).astype(np.int16) for i, (a, b) in enumerate(r.integers(0, 65, (300, 2)))]
+    at = np.array([len(t) // 2 - passages.K // 2 for t in texts])
+    bits = passages.signatures(pa.array([texts[0], *texts], pa.list_(pa.int16()))[1:], at)
+    assert [int(b) for b in np.bitwise_count(bits).sum(axis=1)] == pytest.approx([len(t) - passages.K for t, a in zip(texts, at)], abs=8)
+    usual = np.zeros(passages.SIGNATURE, dtype=np.uint8)
+    usual[:40] = 1
+    bits[::3] |= np.packbits(usual)
+    for least in (1, 16, 40):
+        got = {(int(i), int(j)) for one, two in passages.alike(bits, least) for i, j in zip(one, two)}
+        assert got == {(i, j) for i in range(len(bits)) for j in range(i + 1, len(bits)) if np.bitwise_count(bits[i] & bits[j]).sum() >= least}
+
+
 def test_all_long_repeats_are_found(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
